@@ -24,9 +24,10 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 from tokenizers import Tokenizer
 
-from .common import table
+from .common import extended, table
 
 #: Entries of a worker's word and fragment caches, and the longest string that they keep: together a bound on memory.
 CACHE_ENTRIES, CACHE_LENGTH = 400_000, 40
@@ -248,17 +249,13 @@ def load(path: str) -> ForcedBoundaryBPE:
 
 
 def encode(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "token_ids") -> DataFrame:
-    """df with the ids of its texts, as an array column. vocabulary: path of a `tokenizers` JSON file on the driver."""
-    if ids in df.columns:
-        raise ValueError(f"column {ids} exists already")
-    return _mapped(df, vocabulary, [(ids, "array<bigint>", pa.list_(pa.int64()))], lambda v, texts: [[v.encode(t).tolist() for t in texts]], [text], keep=True)
+    """df with the ids of its texts, as an array column, which replaces one of that name. vocabulary: path of a `tokenizers` JSON file on the driver."""
+    return _mapped(df.drop(ids), vocabulary, [(ids, "array<bigint>", pa.list_(pa.int64()))], lambda v, texts: [[v.encode(t).tolist() for t in texts]], [text], keep=True)
 
 
 def decode(df: DataFrame, vocabulary: str, ids: str = "token_ids", text: str = "decoded") -> DataFrame:
-    """df with the decoded ids, as a string column; null ids count as none."""
-    if text in df.columns:
-        raise ValueError(f"column {text} exists already")
-    return _mapped(df, vocabulary, [(text, "string", pa.string())], lambda v, lists: [[v.decode(x or ()) for x in lists]], [ids], keep=True)
+    """df with the decoded ids, as a string column, which replaces one of that name; null ids count as none."""
+    return _mapped(df.drop(text), vocabulary, [(text, "string", pa.string())], lambda v, lists: [[v.decode(x or ()) for x in lists]], [ids], keep=True)
 
 
 def round_trip(df: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -281,7 +278,7 @@ def _mapped(df: DataFrame, vocabulary: str, out: list, run, of: list[str], keep:
     with open(vocabulary, encoding="utf-8") as f:
         spec = df.sparkSession.sparkContext.broadcast(f.read())  # the file's size, a few MB, bounds it
     kept = [f for f in df.schema.fields if keep or f.name not in of]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [f"`{n}` {t}" for n, t, _ in out])
+    schema = extended(StructType(kept), ", ".join(f"`{n}` {t}" for n, t, _ in out))
 
     def batches(it):
         v = _vocabulary(spec.value)

@@ -7,11 +7,14 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: Fixed value: words of the benchmark and licence contracts, on texts whose A-Z are lower-cased.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Fixed value: its complement, for splitting.
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same words in a text whose letters are as they were.
+CASED_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -60,6 +63,19 @@ def delete(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
+def extended(schema: StructType, more: str) -> StructType:
+    """schema with further fields, given as DDL; all may be null."""
+    return StructType([StructField(f.name, f.dataType) for f in [*schema.fields, *StructType.fromDDL(more).fields]])
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with as many underscores before it as no column of df has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z only; every other character as it is."""
     return F.translate(c, UPPER, LOWER)

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NOT_WORD, WORD, ascii_lower, table, words_of, written
+from .common import CASED_WORD, ascii_lower, table, words_of, written
 
 WINDOW = 10
 #: Grams of 8 bytes, and texts of about 20, up to which a side is broadcast: 20 MB.
@@ -116,23 +116,36 @@ def hit_words(spans: Column) -> Column:
     return F.aggregate(spans, zero, add, lambda acc: acc["n"])
 
 
+def _merged(spans: Column) -> Column:
+    """Sorted spans as disjoint ones, each with its start and end."""
+    kind = "array<struct<at:int,end:int>>"
+
+    def add(acc: Column, s: Column) -> Column:
+        last, end = F.element_at(acc, -1), s["at"] + s["m"]
+        apart = F.concat(acc, F.array(F.struct(s["at"].alias("at"), end.alias("end"))))
+        joined = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["at"].alias("at"), F.greatest(last["end"], end).alias("end"))))
+        return F.when(F.size(acc) == 0, apart).when(s["at"] > last["end"], apart).otherwise(joined)
+
+    return F.aggregate(spans, F.array().cast(kind), lambda acc, s: add(acc, s).cast(kind))
+
+
 def decontaminate(docs: DataFrame, items: DataFrame, mode: str = "documents", window: int = WINDOW, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """docs without the rows that hold a test window (mode documents), or without the words inside test windows and
     what stands before each of them (mode spans). Columns and other rows stay as they are."""
     if mode not in ("documents", "spans"):
         raise ValueError(f"mode {mode} is neither documents nor spans")
     hit = contamination(docs, items, window, key, text, item, item_text).where(F.size("spans") > 0)
-    hit = hit.groupBy("key", "print").agg(F.first("spans").alias("spans"))
+    hit = hit.groupBy("key", "print").agg(_merged(F.first("spans")).alias("spans"))
     names = {c: f"_hit_{c}" for c in hit.columns}
     hit = hit.withColumnsRenamed(names)
     same = docs[key].eqNullSafe(F.col("_hit_key")) & (F.xxhash64(docs[text]) == F.col("_hit_print"))
     if mode == "documents":
         return docs.join(hit, same, "left_anti")
     both = docs.join(hit, same, "left")
-    words, between = F.regexp_extract_all(F.col(text), F.lit(f"({WORD})"), 1), F.split(F.col(text), WORD)
-    inside = F.flatten(F.transform("_hit_spans", lambda s: F.sequence(s["at"], s["at"] + s["m"] - 1)))
-    parts = F.transform(words, lambda w, i: F.when(F.array_contains(inside, i), "").otherwise(F.concat(F.get(between, i), w)))
-    clean = F.concat(F.array_join(parts, ""), F.element_at(between, -1))
+    # Each word with what stands before it; what stands after the last word comes with a null word.
+    pairs = F.arrays_zip(F.split(F.col(text), CASED_WORD).alias("before"), F.regexp_extract_all(F.col(text), F.lit(f"({CASED_WORD})"), 1).alias("word"))
+    inside = lambda i: F.exists("_hit_spans", lambda s: (i >= s["at"]) & (i < s["end"]))
+    clean = F.array_join(F.transform(pairs, lambda p, i: F.when(inside(i), "").otherwise(F.concat(p["before"], F.coalesce(p["word"], F.lit(""))))), "")
     return both.withColumn(text, F.when(F.col("_hit_key").isNotNull() | F.col("_hit_print").isNotNull(), clean).otherwise(F.col(text))).select(*docs.columns)
 
 

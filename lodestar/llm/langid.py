@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import extended, table
 
 #: Documents of a language that are learned from, at most; its share of them that an n-gram must stand in.
 SAMPLE, SHARE = 1000, 0.005
@@ -164,12 +164,11 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
 
 
 def identify(docs: DataFrame, filters: Filters, text: str = "text") -> DataFrame:
-    """docs with lang_pred and score."""
-    if taken := {"lang_pred", "score"} & set(docs.columns):
-        raise ValueError(f"columns {sorted(taken)} exist already")
+    """docs with lang_pred and score; columns of these names are replaced."""
+    docs = docs.drop("lang_pred", "score")
     shared = docs.sparkSession.sparkContext.broadcast((filters.languages, filters.masks))  # SLOTS masks
     at = docs.columns.index(text)
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields] + ["lang_pred string", "score double"])
+    schema = extended(docs.schema, "lang_pred string, score double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine = Filters(*shared.value)

@@ -26,10 +26,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import extended, table
 
 DIMENSIONS = 1 << 18
 #: Labelled documents that are learned from, at most.
@@ -175,15 +175,14 @@ def fit(docs: DataFrame, grades: DataFrame, key: str = "doc_id", text: str = "te
     return fit_arrays(rows, t.column("grade").to_numpy())
 
 
-def score(docs: DataFrame, model: CumulativeLink | None, text: str = "text", keep: float = KEEP) -> DataFrame:
-    """docs with expected_grade, p_best and keep."""
-    if taken := {"expected_grade", "p_best", "keep"} & set(docs.columns):
-        raise ValueError(f"columns {sorted(taken)} exist already")
+def score(docs: DataFrame, model: CumulativeLink | None, text: str = "text", least: float = KEEP) -> DataFrame:
+    """docs with expected_grade, p_best and keep; columns of these names are replaced."""
+    docs = docs.drop("expected_grade", "p_best", "keep")
     if model is None:
         return docs.withColumns({"expected_grade": F.lit(None).cast("double"), "p_best": F.lit(None).cast("double"), "keep": F.lit(True)})
     shared = docs.sparkSession.sparkContext.broadcast((model.weights.astype(np.float32), model.cuts, model.least))  # DIMENSIONS weights: 1 MB
     at = docs.columns.index(text)
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields] + ["expected_grade double, p_best double"])
+    schema = extended(docs.schema, "expected_grade double, p_best double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine = CumulativeLink(*shared.value)
@@ -193,7 +192,7 @@ def score(docs: DataFrame, model: CumulativeLink | None, text: str = "text", kee
                 expected, best = mine.predict(b.column(at).to_pylist())
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(expected, pa.float64()), pa.array(best, pa.float64())], names=[*b.schema.names, "expected_grade", "p_best"])
 
-    return docs.mapInArrow(run, schema).withColumn("keep", F.col("p_best") >= keep)
+    return docs.mapInArrow(run, schema).withColumn("keep", F.col("p_best") >= least)
 
 
 def grades_of(labels: DataFrame) -> DataFrame:

@@ -16,7 +16,6 @@ without any entries all urls are allowed.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -26,7 +25,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import UPPER, LOWER, put_bytes, shared_path, table
+from .common import LOWER, UPPER, extended, put_bytes, shared_path, table
 
 #: The rules of the contract.
 RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
@@ -117,10 +116,10 @@ def split_url(url):
 
 
 def filter_urls(pages: DataFrame, rules: dict[str, str] = RULES, blocked: Iterable[str] = BLOCKED, url: str = "url") -> DataFrame:
-    """pages with host, path, rule, verdict and listed (the longest fitting entry of the block list)."""
+    """pages with host, path, rule, verdict and listed (the longest fitting entry of the block list); columns of these
+    names are replaced."""
     out = ["host", "path", "rule", "verdict", "listed"]
-    if taken := set(out) & set(pages.columns):
-        raise ValueError(f"columns {sorted(taken)} exist already")
+    pages = pages.drop(*out)
     spark = pages.sparkSession
     where = shared_path(spark, "urls")
     put_bytes(spark, where, build(rules, blocked))
@@ -128,7 +127,7 @@ def filter_urls(pages: DataFrame, rules: dict[str, str] = RULES, blocked: Iterab
     spark.sparkContext.addFile(where if "://" in where or where.startswith("file:") else f"file://{where}")
     host, path = split_url(F.col(url))
     df = pages.withColumns({"host": host, "path": path})
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields] + [f"{c} string" for c in out[2:]])
+    schema = extended(df.schema, "rule string, verdict string, listed string")
     at = [df.columns.index("host"), df.columns.index("path")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
