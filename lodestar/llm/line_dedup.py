@@ -26,12 +26,19 @@ from pyspark.sql import functions as F
 from .common import table, written
 
 DEPTH, MIN_TOKENS, GENERAL, SIMILAR, MIN_DOCS = 3, 4, 8, 0.7, 10
+#: Rows of some 60 bytes up to which a list of leaves, lines or templates is broadcast: 20 MB.
+LIST_ROWS = 300_000
 #: Fixed value: ASCII white space.
 SPACE = r"[\x09-\x0D\x20]+"
 FIELD = r"[^\x09-\x0D\x200-9]*+[0-9][^\x09-\x0D\x20]*+"
 VARIABLE = "<*>"
 
 
+def _counted(df: DataFrame) -> DataFrame:
+    """A written list, to be broadcast if it is short."""
+    return F.broadcast(df) if df.limit(LIST_ROWS + 1).count() <= LIST_ROWS else df
+
+
 def _tokens(line: Column) -> Column:
     return F.filter(F.split(line, SPACE), lambda t: t != "")
 
@@ -58,7 +65,7 @@ def _members(lines: DataFrame, similar: float, min_docs: int) -> DataFrame:
     """(leaf, n, own) of the lines that belong to their leaf's template."""
     counted = _documents(lines.where(F.col("n") >= GENERAL), "leaf", "n", "own").select("leaf", "n", "own", "docs")
     leaves = counted.groupBy("leaf", "n").agg(F.sum("docs").alias("weight"), F.count("*").alias("kinds"))
-    leaves = leaves.where((F.col("kinds") > 1) & (F.col("weight") >= min_docs)).select("leaf", "n", "weight")
+    leaves = _counted(written(leaves.where((F.col("kinds") > 1) & (F.col("weight") >= min_docs)).select("leaf", "n", "weight"), "leaves"))
     kinds = counted.join(leaves, ["leaf", "n"])
     texts = lines.join(leaves.select("leaf", "n"), ["leaf", "n"], "left_semi").groupBy("leaf", "n", "own").agg(F.min("masked").alias("masked"))
     kinds = written(kinds.join(texts, ["leaf", "n", "own"]).select("leaf", "n", "own", "docs", "weight", _tokens(F.col("masked")).alias("tokens")), "kinds")
@@ -73,18 +80,18 @@ def _members(lines: DataFrame, similar: float, min_docs: int) -> DataFrame:
 
 def recurring(lines: DataFrame, similar: float, min_docs: int) -> DataFrame:
     """The lines to drop: key, print and at."""
-    members = written(_members(lines, similar, min_docs), "members")
+    members = _counted(written(_members(lines, similar, min_docs), "members"))
     lines = lines.drop("masked").join(members, ["leaf", "n", "own"], "left")
     lines = lines.select("key", "print", "at", "leaf", "n", F.when(F.col("member"), F.lit(0).cast("bigint")).otherwise(F.col("own")).alias("own"))
-    templates = _documents(lines, "leaf", "n", "own").where(F.col("docs") >= min_docs)
+    templates = _counted(written(_documents(lines, "leaf", "n", "own").where(F.col("docs") >= min_docs), "templates"))
     first = F.col("key").eqNullSafe(F.col("first.key")) & (F.col("at") == F.col("first.at"))
     return lines.join(templates, ["leaf", "n", "own"]).where(~first).select("key", "print", "at")
 
 
-def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", similar: float = SIMILAR, min_docs: int = MIN_DOCS) -> DataFrame:
-    """docs with recurring lines dropped from the text, and the columns n_lines and n_dropped (long)."""
-    if taken := {"n_lines", "n_dropped"} & set(docs.columns):
-        raise ValueError(f"columns {sorted(taken)} exist already")
+def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", similar: float = SIMILAR, min_docs: int = MIN_DOCS, n_lines: str = "n_lines", n_dropped: str = "n_dropped") -> DataFrame:
+    """docs with recurring lines dropped from the text, and numbers of lines and of dropped ones (long), which replace
+    columns of these names."""
+    docs = docs.drop(n_lines, n_dropped)
     lines = written(_by_line(docs, key, text), "lines")
     drop = recurring(lines, similar, min_docs).groupBy("key", "print").agg(F.collect_set("at").alias("_dropped"))
     drop = drop.withColumnsRenamed({"key": "_dropped_key", "print": "_dropped_print"})
@@ -93,7 +100,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", simila
     parts = F.split(F.col(text), "\n")
     kept = F.array_join(F.filter(parts, lambda _, i: ~F.array_contains("_dropped", i)), "\n")
     out = [F.when(F.col("_dropped").isNotNull(), kept).otherwise(F.col(text)).alias(c) if c == text else docs[c] for c in docs.columns]
-    return both.select(*out, F.coalesce(F.size(parts), F.lit(0)).cast("bigint").alias("n_lines"), F.coalesce(F.size("_dropped"), F.lit(0)).cast("bigint").alias("n_dropped"))
+    return both.select(*out, F.coalesce(F.size(parts), F.lit(0)).cast("bigint").alias(n_lines), F.coalesce(F.size("_dropped"), F.lit(0)).cast("bigint").alias(n_dropped))
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
