@@ -90,16 +90,17 @@ def ks(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
     return d
 
 
-def running(df: DataFrame, order: str, columns: Sequence[str]) -> DataFrame:
-    """Running sums in the order of a column of distinct values, by ranges: sums within each range, plus the totals of
-    the ranges before it (a row for each range)."""
+def running(df: DataFrame, order: str, columns: Sequence[str], how: str = "sum") -> DataFrame:
+    """Running sums (or maxima) in the order of a column of distinct values, by ranges: those within each range, put
+    together with the totals of the ranges before it (a row for each range)."""
+    made, join = {"sum": (F.sum, lambda a, b: a + F.coalesce(b, F.lit(0))), "max": (F.max, F.greatest)}[how]
     ranged = df.repartitionByRange(order).withColumn("_part", F.spark_partition_id())
-    within = Window.partitionBy("_part").orderBy(order)
-    sums = ranged.withColumns({f"{c}_running": F.sum(c).over(within) for c in columns})
+    within = Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    each = ranged.withColumns({f"{c}_running": made(c).over(within) for c in columns})
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = sums.groupBy("_part").agg(*[F.max(f"{c}_running").alias(f"_{c}") for c in columns])
-    parts = parts.select("_part", *[F.coalesce(F.sum(f"_{c}").over(before), F.lit(0)).alias(f"_{c}") for c in columns])
-    return sums.join(F.broadcast(parts), "_part").select(*df.columns, *[(F.col(f"{c}_running") + F.col(f"_{c}")).alias(f"{c}_running") for c in columns])
+    parts = ranged.groupBy("_part").agg(*[made(c).alias(f"_{c}") for c in columns])
+    parts = parts.select("_part", *[made(f"_{c}").over(before).alias(f"_{c}") for c in columns])
+    return each.join(F.broadcast(parts), "_part").select(*df.columns, *[join(F.col(f"{c}_running"), F.col(f"_{c}")).alias(f"{c}_running") for c in columns])
 
 
 def ks_p_value(d: float, n: int, m: int) -> float:
