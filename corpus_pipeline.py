@@ -7,11 +7,11 @@ repeated rows and further columns as its operator's docstring says. All but the
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestar.llm import bpe, decontaminate, langid, line_dedup, simhash
-from lodestar.llm.common import table, written
+from lodestar.llm.common import free_name, table, written
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,21 +23,23 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def no_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops lines of recurring templates, and documents of which no word is left."""
-    out = line_dedup.dedup_lines(docs)
-    return out.where((F.col("n_dropped") == 0) | F.col("text").rlike(r"[^\x09-\x0D\x20]")).select(*docs.columns)
+    n_lines, n_dropped = free_name(docs, "n_lines"), free_name(docs, "n_dropped")
+    out = line_dedup.dedup_lines(docs, n_lines=n_lines, n_dropped=n_dropped)
+    return out.where((F.col(n_dropped) == 0) | F.col("text").rlike(r"[^\x09-\x0D\x20]")).select(*docs.columns)
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with a component's smallest doc_id; of rows that repeat it, the one with the smallest text
-    (null first)."""
-    first = simhash.near_duplicates(docs).where(F.col("key").eqNullSafe(F.col("component"))).select(F.col("component").alias("_kept")).distinct()
-    docs_ = docs.join(first, docs["doc_id"].eqNullSafe(F.col("_kept")), "left_semi")
-    # Rows that repeat a doc_id: the least of them by a hash of all columns, and one only where rows are equal.
-    print_ = F.struct(F.col("text"), F.xxhash64(*docs.columns))
-    least = docs_.groupBy("doc_id").agg(F.min(print_).alias("_least"), F.count("*").alias("_n")).where("_n > 1").select(F.col("doc_id").alias("_id"), "_least")
-    single = docs_.join(least, docs_["doc_id"].eqNullSafe(F.col("_id")), "left_anti")
-    several = docs_.join(least, docs_["doc_id"].eqNullSafe(F.col("_id")) & (print_ == F.col("_least")), "left_semi").dropDuplicates(["doc_id"])
-    return single.unionByName(several)
+    """Keeps the document with a component's smallest doc_id (null last); of texts that share that id, the one with the
+    smallest hash, and of equal rows any one. Texts are shuffled once, those of repeated rows twice."""
+    rows = simhash.near_duplicates(docs).groupBy("root", F.col("key").isNull().alias("no_key"), "key", "print").agg(F.count("*").alias("n"))
+    kept = rows.groupBy("root").agg(F.min(F.struct("no_key", "key", "print", "n")).alias("least"))
+    name = {c: free_name(docs, f"kept_{c}") for c in ("key", "print", "n")}
+    kept = kept.select(*[F.col(f"least.{c}").alias(x) for c, x in name.items()])
+    same = docs["doc_id"].eqNullSafe(F.col(name["key"])) & (F.xxhash64(docs["text"]) == F.col(name["print"]))
+    found = docs.join(kept, same)
+    rank = F.row_number().over(Window.partitionBy("doc_id", name["print"]).orderBy(F.xxhash64(*docs.columns)))
+    single, several = found.where(F.col(name["n"]) == 1), found.where(F.col(name["n"]) > 1).withColumn(name["n"], rank).where(F.col(name["n"]) == 1)
+    return single.unionByName(several).select(*docs.columns)
 
 
 def no_benchmark_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

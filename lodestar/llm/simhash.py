@@ -63,7 +63,7 @@ def fingerprint(text: str | None, size: int = 3) -> int:
 
 
 def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3) -> DataFrame:
-    """(key, fp): the fingerprint of each row as a long with the same bits."""
+    """(key, fp, print): the fingerprint of each row as a long with the same bits, and a hash of its text."""
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -71,9 +71,10 @@ def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", size: i
             for at in range(0, whole.num_rows, 512):
                 b = whole.slice(at, 512)
                 fps = np.fromiter((fingerprint(t, size) for t in b.column(1).to_pylist()), np.uint64, b.num_rows)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=["key", "fp"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64)), b.column(2)], names=["key", "fp", "print"])
 
-    return df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, fp bigint")
+    df = df.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("print"))
+    return df.mapInArrow(run, f"key {kind}, fp bigint, print bigint")
 
 
 def _bytes_at(positions: tuple[int, ...]) -> Column:
@@ -153,7 +154,8 @@ def _blanked(lists: DataFrame, distance: int) -> DataFrame:
         bits = [8 * p + i for p in range(BYTES) if p not in five for i in range(8)]
         rows += [(sum(1 << p for p in five), ~sum(1 << b for b in blank)) for blank in combinations(bits, distance)]
     masks = lists.sparkSession.createDataFrame([(slot, m if m >= -(1 << 63) else m + (1 << 64)) for slot, m in rows], "slot int, mask bigint")
-    under = lists.join(F.broadcast(masks), "slot")  # 56 x 2024 masks, whatever the input.select("slot", "mask", F.col("fp").bitwiseAND(F.col("mask")).alias("rest"), "fp")
+    # 56 x 2024 masks, whatever the input
+    under = lists.join(F.broadcast(masks), "slot").select("slot", "mask", F.col("fp").bitwiseAND(F.col("mask")).alias("rest"), "fp")
     star = under.groupBy("slot", "mask", "rest").agg(F.min("fp").alias("b"), F.count("*").alias("n")).where("n > 1")
     return under.join(star.drop("n"), ["slot", "mask", "rest"]).where("fp <> b").select(F.col("fp").alias("a"), "b").distinct()
 
@@ -182,13 +184,14 @@ def links(fps: DataFrame, distance: int = 3, list_rows: int = LIST_ROWS) -> Data
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3, distance: int = 3, list_rows: int = LIST_ROWS) -> DataFrame:
-    """(key, fp, component): each row's fingerprint and the smallest key that it reaches over links."""
+    """(key, fp, print, component, root): each row's fingerprint, a hash of its text, the smallest key that it reaches
+    over links, and the smallest fingerprint that it reaches, which tells components apart whose keys are all null."""
     rows = written(fingerprints(df, key, text, size), "fingerprints")
     distinct = rows.groupBy("fp").agg(F.min("key").alias("first"))
     groups = graph.components(links(distinct.select("fp"), distance, list_rows))
     rooted = distinct.join(groups.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     first = rooted.groupBy("root").agg(F.min("first").alias("component"))
-    return rows.join(rooted.join(first, "root").select("fp", "component"), "fp").select("key", "fp", "component")
+    return rows.join(rooted.join(first, "root").select("fp", "component", "root"), "fp").select("key", "fp", "print", "component", "root")
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
