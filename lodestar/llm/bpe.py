@@ -15,6 +15,7 @@ import hashlib
 import heapq
 import json
 import re
+import struct
 import sys
 import unicodedata
 from collections.abc import Iterable, Iterator
@@ -176,7 +177,10 @@ class ForcedBoundaryBPE:
 
     def _encode_word(self, word: str) -> bytes:
         raw = word.encode("utf-8")
-        return b"".join(self._encode_fragment(raw[a:b], b == len(raw)) for a, b in self.fragment_bounds(raw))
+        bounds = self.fragment_bounds(raw)
+        if len(bounds) == 1:
+            return self._encode_symbols(raw, True)  # the word cache keeps it
+        return b"".join(self._encode_fragment(raw[a:b], b == len(raw)) for a, b in bounds)
 
     def fragment_bounds(self, raw: bytes) -> list[tuple[int, int]]:
         """Where a word's bytes are certain to be cut."""
@@ -187,18 +191,21 @@ class ForcedBoundaryBPE:
         return list(zip([0, *at], [*at, n], strict=True))
 
     def _encode_fragment(self, raw: bytes, last: bool) -> bytes:
-        if (ids := self.fragments.get((raw, last))) is not None:
-            return ids
+        if (ids := self.fragments.get((raw, last))) is None:
+            ids = self._encode_symbols(raw, last)
+            if len(raw) <= CACHE_LENGTH:
+                if len(self.fragments) >= CACHE_ENTRIES:
+                    self.fragments.clear()
+                self.fragments[raw, last] = ids
+        return ids
+
+    def _encode_symbols(self, raw: bytes, last: bool) -> bytes:
         symbols = [self.to_symbols[b] for b in raw]
         if last and self.suffix:
             symbols[-1] = self.to_last[raw[-1]]
         symbols = [s for s in symbols if s >= 0]  # a byte without a token is passed over: there is no unknown token
-        ids = np.array(self._merge(symbols) if len(symbols) <= SHORT else self._merge_long(symbols), dtype="<u4").tobytes()
-        if len(raw) <= CACHE_LENGTH:
-            if len(self.fragments) >= CACHE_ENTRIES:
-                self.fragments.clear()
-            self.fragments[raw, last] = ids
-        return ids
+        ids = self._merge(symbols) if len(symbols) <= SHORT else self._merge_long(symbols)
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _merge(self, s: list[int]) -> list[int]:
         get = self.merges.get
