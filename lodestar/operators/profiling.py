@@ -12,6 +12,8 @@ from ..functions.stats import kurtosis, skewness
 
 #: Tokens that stand for an unknown category.
 UNKNOWN_TOKENS = ("unknown", "n/a", "na", "none", "null", "missing", "undefined", "?", "-")
+#: Tokens of binary columns.
+TRUE_TOKENS, FALSE_TOKENS = ("1", "1.0", "true", "yes", "y", "t"), ("0", "0.0", "false", "no", "n", "f")
 #: Patterns of personal data.
 PII = {
     "email": r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}",
@@ -45,7 +47,7 @@ def numeric(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         F.struct(
             F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).cast("double").alias("min"), F.max(c).cast("double").alias("max"),
             F.percentile(c, [0.25, 0.5, 0.75]).alias("q"), skewness(F.col(c)).alias("skewness"), kurtosis(F.col(c)).alias("kurtosis"),
-            F.count(F.when(F.col(c) == 0, 1)).alias("zeros"), F.count(F.when(F.col(c) < 0, 1)).alias("negatives"), F.count(F.when(F.abs(F.col(c).cast("double")) == float("inf"), 1)).alias("infinite"),
+            F.count(F.when(F.col(c) == F.floor(F.col(c).cast("double")), 1)).alias("whole"), F.count(F.when(F.col(c) == 0, 1)).alias("zeros"), F.count(F.when(F.col(c) < 0, 1)).alias("negatives"), F.count(F.when(F.abs(F.col(c).cast("double")) == float("inf"), 1)).alias("infinite"),
         ).alias(f"_{c}")
         for c in columns
     ])
@@ -59,7 +61,7 @@ def numeric(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
     row = both.agg(*[F.struct(F.first(f"_{c}").alias("p"), *outside(c)).alias(c) for c in columns])
     d = _long(row, columns)
-    return d.select("column", "p.n", "p.mean", "p.std", "p.min", F.col("p.q")[0].alias("q25"), F.col("p.q")[1].alias("q50"), F.col("p.q")[2].alias("q75"), "p.max", "p.skewness", "p.kurtosis", "p.zeros", "p.negatives", "p.infinite", "iqr_outliers", "z_outliers")
+    return d.select("column", "p.n", "p.mean", "p.std", "p.min", F.col("p.q")[0].alias("q25"), F.col("p.q")[1].alias("q50"), F.col("p.q")[2].alias("q75"), "p.max", "p.skewness", "p.kurtosis", "p.zeros", "p.whole", "p.negatives", "p.infinite", "iqr_outliers", "z_outliers")
 
 
 def histogram(df: DataFrame, column: str, bins: int = 10) -> DataFrame:
@@ -84,7 +86,7 @@ def categorical(df: DataFrame, column: str, rare: float = 0.01) -> DataFrame:
     c = counts.join(F.broadcast(total)).withColumn("p", F.col("n") / F.col("t"))  # one row
     cases = counts.groupBy(F.lower("v").alias("l")).agg(F.count("*").alias("k")).agg(F.count(F.when(F.col("k") > 1, 1)).alias("case_variants"))
     out = c.agg(
-        F.count("*").alias("cardinality"), (-F.sum(F.col("p") * F.log2("p"))).alias("entropy"), F.max("p").alias("top_share"), F.count(F.when(F.col("p") < rare, 1)).alias("rare_categories"),
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("cardinality"), (-F.sum(F.col("p") * F.log2("p"))).alias("entropy"), F.max("p").alias("top_share"), F.count(F.when(F.col("p") < rare, 1)).alias("rare_categories"),
         F.coalesce(F.sum(F.when(F.col("p") < rare, F.col("p"))), F.lit(0.0)).alias("_rare"), F.count(F.when(F.lower(F.trim("v")).isin(*UNKNOWN_TOKENS), 1)).alias("unknown_tokens"), F.count(F.when(F.col("v") != F.trim("v"), 1)).alias("padded_values"),
     )
     return out.withColumn("rare_pct", F.col("_rare") * 100).drop("_rare").join(F.broadcast(cases))  # one row
@@ -96,27 +98,53 @@ def text(df: DataFrame, column: str) -> DataFrame:
     length = F.length(c)
     return df.agg(
         F.count(c).alias("n"), F.avg(length).alias("mean_length"), F.min(length).alias("min_length"), F.max(length).alias("max_length"), F.avg(F.size(F.split(c, " "))).alias("mean_words"),
-        F.count(F.when(F.trim(c) == "", 1)).alias("empty"), *[F.count(F.when(c.rlike(p), 1)).alias(f"with_{n}") for n, p in PII.items()],
+        F.count_distinct(F.xxhash64(c)).alias("distinct"), F.count(F.when(F.trim(c) == "", 1)).alias("empty"), *[F.count(F.when(c.rlike(p), 1)).alias(f"with_{n}") for n, p in PII.items()],
     )
 
 
+def binary(df: DataFrame, column: str) -> DataFrame:
+    """Values, their number of kinds, the share of true ones in percent and those that are no known token."""
+    low = F.lower(F.trim(F.col(column).cast("string")))
+    true, false = low.isin(*TRUE_TOKENS), low.isin(*FALSE_TOKENS)
+    return df.agg(F.count(column).alias("n"), F.count_distinct(column).alias("distinct"), F.try_divide(F.count(F.when(true, 1)) * 100.0, F.count(F.when(true | false, 1)).cast("double")).alias("true_pct"), F.count(F.when(~(true | false), 1)).alias("unexpected"))
+
+
+def date_texts(df: DataFrame, column: str) -> DataFrame:
+    """Of texts that should be times: those that parse by the commonest format in percent, those that none parses, and the
+    number of kinds of zone offsets."""
+    c = F.col(column)
+    parses = [F.expr(f"try_to_timestamp(`{column}`, \"{f}\")").isNotNull() for f in TIME_FORMATS]
+    zone = F.when(c.rlike(r"(Z|[+-]\d{2}:?\d{2})$") & c.contains(":"), F.regexp_extract(c, r"(Z|[+-]\d{2}:?\d{2})$", 1)).when(c.isNotNull(), "")
+    any_ = parses[0]
+    for p in parses[1:]:
+        any_ = any_ | p
+    best = F.greatest(*[F.count(F.when(p, 1)) for p in parses])
+    return df.agg(F.count(c).alias("n"), F.try_divide(best * 100.0, F.count(c).cast("double")).alias("best_format_pct"), F.count(F.when(c.isNotNull() & ~(any_ | F.expr(f"try_cast(`{column}` as timestamp)").isNotNull()), 1)).alias("invalid"), F.count_distinct(zone).alias("zones"))
+
+
 def identifier(df: DataFrame, column: str) -> DataFrame:
+    """Repeated values, lengths, and the share of values with the commonest shape (letters and digits by runs)."""
     c = F.col(column).cast("string")
+    shape = F.regexp_replace(F.regexp_replace("v", "[A-Za-z]+", "a"), "[0-9]+", "0")
     each = df.groupBy(c.alias("v")).agg(F.count("*").alias("n"))
     n = F.when(F.col("v").isNotNull(), F.col("n"))
-    return each.agg(F.coalesce(F.sum(n), F.lit(0)).alias("n"), F.count("v").alias("distinct"), F.count(F.when(n > 1, 1)).alias("duplicated_values"), F.min(F.length("v")).alias("min_length"), F.max(F.length("v")).alias("max_length"), F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("n"))), F.lit(0)).alias("nulls"))
+    shapes = each.where("v is not null").groupBy(shape.alias("shape")).agg(F.sum("n").alias("k")).agg(F.try_divide(F.max("k") * 100.0, F.sum("k").cast("double")).alias("format_pct"))
+    return each.agg(F.coalesce(F.sum(n), F.lit(0)).alias("n"), F.count("v").alias("distinct"), F.count(F.when(n > 1, 1)).alias("duplicated_values"), F.min(F.length("v")).alias("min_length"), F.max(F.length("v")).alias("max_length"), F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("n"))), F.lit(0)).alias("nulls")).join(F.broadcast(shapes))  # one row
 
 
-def target(df: DataFrame, column: str) -> DataFrame:
-    each = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("string").alias("class")).agg(F.count("*").alias("n"))
-    return each.agg(F.count("*").alias("classes"), F.min(F.struct("n", "class"))["class"].alias("minority"), (F.min("n") * 100.0 / F.sum("n")).alias("minority_pct"), (F.max("n") / F.min("n")).alias("imbalance_ratio"))
+def target(df: DataFrame, column: str, expected: Sequence[str] | None = None) -> DataFrame:
+    whole = df.groupBy(F.col(column).cast("string").alias("class")).agg(F.count("*").alias("n"))
+    each = whole.where("class is not null")
+    odd = F.count(F.when(~F.col("class").isin(*expected), 1)) if expected else F.lit(0)
+    nulls = whole.agg(F.coalesce(F.sum(F.when(F.col("class").isNull(), F.col("n"))), F.lit(0)).alias("nulls"))
+    return each.agg(odd.alias("unexpected"), F.count("*").alias("classes"), F.min(F.struct("n", "class"))["class"].alias("minority"), (F.min("n") * 100.0 / F.sum("n")).alias("minority_pct"), F.try_divide(F.max("n").cast("double"), F.min("n").cast("double")).alias("imbalance_ratio")).join(F.broadcast(nulls))  # one row
 
 
 def datetimes(df: DataFrame, column: str, as_of: Column) -> DataFrame:
     t = F.col(column).cast("timestamp")
     return df.agg(
         F.count(t).alias("n"), F.date_format(F.min(t), "yyyy-MM-dd HH:mm:ss").alias("first"), F.date_format(F.max(t), "yyyy-MM-dd HH:mm:ss").alias("last"), F.count(F.when(t > as_of, 1)).alias("future"),
-        F.count(F.when(F.to_date(t).isin("1970-01-01", "1900-01-01", "9999-12-31"), 1)).alias("placeholders"), F.avg((F.weekday(t) >= 5).cast("double")).alias("weekend_share"),
+        F.count(F.when(F.to_date(t).isin("1970-01-01", "1900-01-01", "9999-12-31"), 1)).alias("placeholders"), F.avg((F.weekday(t) >= 5).cast("double")).alias("weekend_share"), ((F.unix_micros(F.max(t)) - F.unix_micros(F.min(t))) / (365.25 * 86_400_000_000)).alias("range_years"),
     )
 
 
@@ -184,7 +212,13 @@ CHECKS = (
     Check("FQ005", "numeric", "high", "100.0 * iqr_outliers / n > 50"), Check("FQ011", "numeric", "critical", "iqr_outliers = n"),
     Check("CN001", "categorical", "high", "cardinality > 100"), Check("CN002", "categorical", "medium", "cardinality > 50"), Check("CN003", "categorical", "medium", "rare_categories > 10"), Check("CN004", "categorical", "high", "rare_pct > 20"),
     Check("CN005", "categorical", "low", "case_variants > 0"), Check("CN006", "categorical", "low", "padded_values > 0"), Check("CN007", "categorical", "high", "cardinality = 1"), Check("CAT003", "categorical", "medium", "rare_pct > 20"), Check("CAT004", "categorical", "low", "unknown_tokens > 0"),
-    Check("FQ009", "categorical", "medium", "cardinality > 1000"),
+    Check("FQ009", "categorical", "medium", "cardinality > 1000"), Check("CAT001", "categorical", "medium", "cardinality > 0.95 * n"),
+    Check("NC008", "numeric", "low", "n > 10 and whole = n"), Check("NUM001", "universal_numeric", "low", "distinct < 10"),
+    Check("BN001", "binary", "critical", "distinct <> 2"), Check("BN002", "binary", "medium", "true_pct < 1 or true_pct > 99"), Check("BN003", "binary", "high", "distinct = 1"), Check("BN004", "binary", "high", "unexpected > 0"),
+    Check("DT003", "date_texts", "medium", "best_format_pct < 95"), Check("DT004", "date_texts", "medium", "zones > 1"), Check("DT005", "date_texts", "critical", "invalid > 0"),
+    Check("DT006", "datetime", "medium", "range_years > 50"), Check("FQ012", "datetime", "high", "range_years > 100"), Check("ID002", "identifier", "medium", "format_pct < 95"),
+    Check("TG001", "target", "critical", "nulls > 0"), Check("TG004", "target", "high", "unexpected > 0"), Check("TX004", "text", "medium", "distinct > 0.95 * n"),
+    Check("CN008", "similar", "medium", "pairs > 0"), Check("FQ008", "meaning", "medium", "type = 'unknown'"), Check("LEAK001", "meaning", "critical", "type = 'identifier' and feature"),
     Check("ID001", "identifier", "critical", "duplicated_values > 0"), Check("ID003", "identifier", "high", "nulls > 0"),
     Check("TG002", "target", "high", "minority_pct < 1"), Check("TG003", "target", "medium", "minority_pct < 10"), Check("TG005", "target", "critical", "classes = 1"), Check("CAT002", "target", "high", "imbalance_ratio > 20"),
     Check("DT001", "datetime", "high", "future > 0"), Check("DT002", "datetime", "medium", "placeholders > 0.05 * n"),
@@ -207,3 +241,44 @@ def similar_values(df: DataFrame, column: str, k: int = 100, least: float = 0.8)
     size = F.greatest(F.length("a"), F.length("b"))
     s = 1 - F.levenshtein("a", "b") / size
     return a.join(F.broadcast(b), F.col("a") < F.col("b")).select("a", "b", s.alias("similarity")).where((F.col("similarity") > least) & (F.col("similarity") < 1))  # k values
+
+
+KINDS = {
+    "identifier": ("universal", "identifier"), "target": ("universal", "target"), "binary": ("universal", "binary"), "numeric_continuous": ("universal", "universal_numeric", "numeric"), "numeric_discrete": ("universal", "universal_numeric", "numeric"),
+    "categorical_nominal": ("universal", "categorical", "similar"), "categorical_ordinal": ("universal", "categorical"), "categorical_cyclical": ("universal", "categorical"), "datetime": ("universal", "datetime"), "text": ("universal", "text"), "unknown": ("universal",),
+}
+
+
+def explore(df: DataFrame, as_of: Column, types: dict[str, str] | None = None, features: Sequence[str] = ()) -> DataFrame:
+    """All checks that fit each column's semantic type: (column, check_id, severity, passed)."""
+    types = types or semantic_types(df)
+    by = {k: [c for c, t in types.items() if k in KINDS.get(t, ())] for k in ("universal", "universal_numeric", "numeric")}
+    kinds = dict(df.dtypes)
+    out = [run_checks(universal(df, by["universal"]), "universal")]
+    if by["numeric"]:
+        out += [run_checks(numeric(df, by["numeric"]), "numeric"), run_checks(universal(df, by["universal_numeric"]), "universal_numeric")]
+    single = {"identifier": identifier, "target": target, "binary": binary, "categorical": categorical, "text": text}
+    for c, t in types.items():
+        for kind in KINDS.get(t, ()):
+            if kind in single:
+                out.append(run_checks(single[kind](df, c), kind, c))
+            elif kind == "datetime" and kinds[c] == "string":
+                out.append(run_checks(date_texts(df, c), "date_texts", c))
+            elif kind == "datetime":
+                out.append(run_checks(datetimes(df, c, as_of), kind, c))
+            elif kind == "similar":
+                out.append(run_checks(similar_values(df, c).agg(F.count("*").alias("pairs")), kind, c))
+    meaning = df.sparkSession.createDataFrame([(c, t, c in features) for c, t in types.items()], "column string, type string, feature boolean")
+    out.append(run_checks(meaning, "meaning"))
+    whole = out[0]
+    for d in out[1:]:
+        whole = whole.unionByName(d)
+    return whole
+
+
+def health(checks: DataFrame, null_pct: float) -> DataFrame:
+    """100, less half the null percentage (30 at most), 15 for each failed critical check and 5 for each failed medium one;
+    0 at least."""
+    failed = lambda s: F.count(F.when(~F.col("passed") & (F.col("severity") == s), 1))
+    score = 100.0 - min(30.0, 0.5 * null_pct) - 15 * failed("critical") - 5 * failed("medium")
+    return checks.agg(F.greatest(F.lit(0.0), score).alias("score"), failed("critical").alias("critical"), failed("high").alias("high"), failed("medium").alias("medium"))

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import stats
-from .operators import cleaning, joins, modeling, profiling, segments, temporal, transforms, validation, windows
+from .operators import cleaning, interpret, joins, modeling, monitoring, profiling, reduce, seasonality, segments, selection, temporal, timestamps, transforms, validation, windows
+from .plans import spec
+from .sources import features
 from .sources import tables as io
 from .streaming import events as stream
 
@@ -421,12 +423,12 @@ def _datetime(t: Tables) -> DataFrame:
 
 
 @query("quality_checks", "column check_id severity passed", "", """
-  with p as (select count(*) as n, count(*) filter (where x < q1 - 1.5 * (q3 - q1) or x > q3 + 1.5 * (q3 - q1)) as o, count(*) filter (where x = 0) as z, count(*) filter (where x < 0) as neg, skewness(x) as sk, stddev_samp(x) as sd
+  with p as (select count(*) as n, count(*) filter (where x < q1 - 1.5 * (q3 - q1) or x > q3 + 1.5 * (q3 - q1)) as o, count(*) filter (where x = 0) as z, count(*) filter (where x < 0) as neg, count(*) filter (where x = floor(x)) as w, skewness(x) as sk, stddev_samp(x) as sd
     from (select p_retailprice * p_size * p_size as x from part), (select quantile_cont(p_retailprice * p_size * p_size, 0.25) as q1, quantile_cont(p_retailprice * p_size * p_size, 0.75) as q3 from part))
   select 'x' as "column", c.check_id, c.severity, c.passed from p, unnest([
     {'check_id': 'NC001', 'severity': 'high', 'passed': not 100.0 * o / n > 5}, {'check_id': 'NC002', 'severity': 'medium', 'passed': not 100.0 * o / n > 1}, {'check_id': 'NC003', 'severity': 'medium', 'passed': not abs(sk) > 2}, {'check_id': 'NC004', 'severity': 'medium', 'passed': not 100.0 * z / n > 50},
     {'check_id': 'NC005', 'severity': 'high', 'passed': not neg > 0}, {'check_id': 'NC006', 'severity': 'critical', 'passed': true}, {'check_id': 'NC007', 'severity': 'high', 'passed': not sd = 0}, {'check_id': 'NUM002', 'severity': 'medium', 'passed': not abs(sk) > 1}, {'check_id': 'NUM003', 'severity': 'medium', 'passed': not 100.0 * o / n > 10},
-    {'check_id': 'NUM004', 'severity': 'low', 'passed': not 100.0 * z / n > 50}, {'check_id': 'FQ005', 'severity': 'high', 'passed': not 100.0 * o / n > 50}, {'check_id': 'FQ011', 'severity': 'critical', 'passed': not o = n}]) u(c)""")
+    {'check_id': 'NUM004', 'severity': 'low', 'passed': not 100.0 * z / n > 50}, {'check_id': 'FQ005', 'severity': 'high', 'passed': not 100.0 * o / n > 50}, {'check_id': 'FQ011', 'severity': 'critical', 'passed': not o = n}, {'check_id': 'NC008', 'severity': 'low', 'passed': not (n > 10 and w = n)}]) u(c)""")
 def _checks(t: Tables) -> DataFrame:
     d = t.part.select((F.col("p_retailprice") * F.col("p_size") * F.col("p_size")).alias("x"))
     return profiling.run_checks(profiling.numeric(d, ["x"]), "numeric")
@@ -840,3 +842,211 @@ def _warning(t: Tables) -> DataFrame:
 def _online(t: Tables) -> DataFrame:
     h = t.events.select(F.col("user_id").cast("string").alias("customer_id"), F.col("event_type").alias("feature_name"), F.col("value").alias("feature_value"), F.col("ts").alias("updated_at"))
     return stream.OnlineStore(h).lookup(h.select("customer_id").distinct(), {"click": -1.0, "purchase": -1.0}, "2024-01-20", 5 * 86400)
+
+
+# Times, selection, monitoring, interpretation, plans
+
+
+@query("time_discovery", "column how median_day role", "", """
+  select 'o_orderdate' as "column", 'time' as how, strftime(make_timestamp(cast(floor(quantile_cont(epoch_us(o_orderdate), 0.5)) as bigint)), '%Y-%m-%d') as median_day, 'other' as role from orders
+  union all select 'last_order', 'text', strftime(make_timestamp(cast(floor(quantile_cont(epoch_us(o_orderdate), 0.5)) as bigint)), '%Y-%m-%d'), 'activity' from orders""")
+def _discovery(t: Tables) -> DataFrame:
+    return timestamps.discover(t.orders.withColumn("last_order", F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss")))
+
+
+@query("derived_times", "o_orderkey feature_day label_day label_available_flag", "", """
+  select o_orderkey, strftime(o_orderdate, '%Y-%m-%d') as feature_day, strftime(o_orderdate + interval 180 day, '%Y-%m-%d') as label_day, o_orderdate + interval 180 day <= timestamp '2001-01-01' as label_available_flag from orders""")
+def _derived(t: Tables) -> DataFrame:
+    d = timestamps.with_times(t.orders, "derived", feature="o_orderdate", as_of="2001-01-01")
+    return d.withColumns({"feature_day": F.date_format("feature_timestamp", "yyyy-MM-dd"), "label_day": F.date_format("label_timestamp", "yyyy-MM-dd")})
+
+
+@query("cutoff_analysis", "bin n running", "train_share", """
+  select bin, coalesce(n, 0) as n, cast(sum(coalesce(n, 0)) over (order by bin) as bigint) as running, sum(coalesce(n, 0)) over (order by bin) / (sum(coalesce(n, 0)) over ())::double as train_share from (select unnest(range(20)) as bin) s
+  left join (select cast(least(floor((epoch_us(ts) - lo) / (hi - lo)::double * 20), 19) as int) as b, count(*) as n from events, (select min(epoch_us(ts)) as lo, max(epoch_us(ts)) as hi from events) group by 1) on bin = b""")
+def _cutoffs(t: Tables) -> DataFrame:
+    return timestamps.cutoffs(t.events, "ts")
+
+
+@query("feature_moments", "column", "variance cv", "\n union all ".join(f"""select '{c}' as "column", var_samp({c}) as variance, stddev_samp({c}) / abs(avg({c})) as cv from lineitem""" for c in _NUM))
+def _moments(t: Tables) -> DataFrame:
+    return selection.moments(t.lineitem, _NUM)
+
+
+@query("multicollinearity", "x y", "correlation", "select 'l_quantity' as x, 'double_quantity' as y, 1.0 as correlation")
+def _multicollinear(t: Tables) -> DataFrame:
+    d = t.lineitem.withColumn("double_quantity", F.col("l_quantity") * 2 + 1)
+    return selection.multicollinear(d, ["l_quantity", "double_quantity", "l_discount", "l_tax"])
+
+
+@query("feature_selection", "kind column", "", """select * from (values ('kept', 'double_price'), ('kept', 'l_quantity'), ('correlated', 'l_extendedprice'), ('low_variance', 'l_tax'), ('low_variance', 'l_discount')) t("kind", "column")""")
+def _selection(t: Tables) -> DataFrame:
+    d = t.lineitem.withColumn("double_price", F.col("l_extendedprice") * 2)
+    found = selection.select(d, ["l_quantity", "l_extendedprice", "double_price", "l_tax", "l_discount"])
+    return t.spark.createDataFrame([(k, c) for k, cs in found.items() for c in cs], "kind string, column string")
+
+
+@query("feature_capacity", "lang n minority features", "", f"select lang, count(*) as n, cast(least(sum(y), count(*) - sum(y)) as bigint) as minority, cast(floor(least(sum(y), count(*) - sum(y)) / 10) as bigint) as features from {_SCORED} group by 1")
+def _capacity(t: Tables) -> DataFrame:
+    return selection.capacity(_scored(t), "y", "lang")
+
+
+_Q = f"(select quantile_cont(o_totalprice, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) as e from {_A})"
+
+
+@query("baseline_drift", "column severity", "psi ks mean_shift variance_ratio missing_change", f"""
+  with a as (select len(list_filter(e, lambda v: o_totalprice >= v)) as b, count(*) / (select count(*)::double from {_A}) as p from {_A}, {_Q} group by 1), c as (select len(list_filter(e, lambda v: o_totalprice >= v)) as b, count(*) / (select count(*)::double from {_B}) as q from {_B}, {_Q} group by 1),
+  j as (select b, p, coalesce(q, 0) as q, sum(coalesce(q, 0) - p) over (order by b) as d from a left join c using (b)),
+  s as (select (select sum((greatest(q, 0.0001) - greatest(p, 0.0001)) * ln(greatest(q, 0.0001) / greatest(p, 0.0001))) from j) as psi, (select max(abs(d)) from j) as ks, abs(bm - am) / a_sd as mean_shift, bv / (a_sd * a_sd) as variance_ratio, 0.0 as missing_change from (select avg(o_totalprice) as am, stddev_samp(o_totalprice) as a_sd from {_A}), (select avg(o_totalprice) as bm, var_samp(o_totalprice) as bv from {_B}))
+  select 'o_totalprice' as "column", case when psi >= 0.2 or ks >= 0.1 or mean_shift >= 1 then 'critical' when psi >= 0.1 or ks >= 0.05 or mean_shift >= 0.5 then 'warning' else 'none' end as severity, * from s""")
+def _baseline_drift(t: Tables) -> DataFrame:
+    a, b = _halves(t)
+    return monitoring.drift(b, [monitoring.fit_baseline(a, "o_totalprice")])
+
+
+@query("alerts", "subject metric alert_id severity", "value bound", """
+  select subject, 'psi' as metric, case when value >= 0.2 then 'AL003' else 'AL004' end as alert_id, case when value >= 0.2 then 'critical' else 'warning' end as severity, value, case when value >= 0.2 then 0.2 else 0.1 end as bound from (select p_brand as subject, avg(p_size) / 100 as value from part group by 1) where value >= 0.1""")
+def _alerts(t: Tables) -> DataFrame:
+    return monitoring.alerts(t.part.groupBy(F.col("p_brand").alias("subject")).agg(F.lit("psi").alias("metric"), (F.avg("p_size") / 100).alias("value")))
+
+
+def _linear(df: DataFrame) -> DataFrame:
+    return df.withColumn("score", 1 / (1 + F.exp(-(F.col("p_size") - 25) / 10 - F.col("p_retailprice") / 10_000)))
+
+
+_LINEAR = "1 / (1 + exp(-({s} - 25) / 10.0 - p_retailprice / 10000))"
+
+
+@query("partial_dependence", "", "grid mean_score", f"select grid, avg({_LINEAR.format(s='grid')}) as mean_score from part, (values (5.0), (25.0), (45.0)) g(grid) group by 1")
+def _pdp(t: Tables) -> DataFrame:
+    return interpret.partial_dependence(t.part, "p_size", [5, 25, 45], _linear)
+
+
+@query("nearest_rows", "p_partkey", "distance", """
+  select p.p_partkey, sqrt(power((p.p_size - o.p_size) / s, 2) + power((p.p_retailprice - o.p_retailprice) / r, 2)) as distance from part p, (select * from part where p_partkey = 7) o, (select stddev_pop(p_size) as s, stddev_pop(p_retailprice) as r from part) where p.p_partkey <> 7 order by 2, 1 limit 5""")
+def _nearest(t: Tables) -> DataFrame:
+    return interpret.nearest(t.part, "p_partkey", ["p_size", "p_retailprice"], 7)
+
+
+@query("counterfactuals", "p_partkey column", "value new_score", f"""
+  select p_partkey, 'p_size' as "column", case when {_LINEAR.format(s='20.0')} < 0.5 then 20.0 else 10.0 end as value, case when {_LINEAR.format(s='20.0')} < 0.5 then {_LINEAR.format(s='20.0')} else {_LINEAR.format(s='10.0')} end as new_score from part where {_LINEAR.format(s='10.0')} < 0.5""")
+def _counterfactual(t: Tables) -> DataFrame:
+    return interpret.counterfactual(t.part, "p_partkey", {"p_size": [20, 10]}, _linear)
+
+
+@query("embedding_components", "vec_id", "e_pc0 e_pc1")
+def _components(t: Tables) -> DataFrame:
+    mean, components = reduce.fit_pca(t.embeddings, "embedding", most=2)
+    return reduce.project(t.embeddings, "embedding", mean, components, "e")
+
+
+@query("layered_plan", "c_custkey c_mktsegment orders", "c_acctbal", """
+  select c_custkey, lower(trim(c_mktsegment)) as c_mktsegment, n as orders, (greatest(lo, least(hi, c_acctbal)) - m) / s as c_acctbal
+  from (select c.*, n from customer c left join (select o_custkey, count(*) as n from orders group by 1) on c_custkey = o_custkey), (select q1 - 0.5 * (q3 - q1) as lo, q3 + 0.5 * (q3 - q1) as hi from (select quantile_cont(c_acctbal, 0.25) as q1, quantile_cont(c_acctbal, 0.75) as q3 from customer)),
+    (select avg(x) as m, stddev_pop(x) as s from (select greatest(lo, least(hi, c_acctbal)) as x from customer, (select q1 - 0.5 * (q3 - q1) as lo, q3 + 0.5 * (q3 - q1) as hi from (select quantile_cont(c_acctbal, 0.25) as q1, quantile_cont(c_acctbal, 0.75) as q3 from customer))))""")
+def _plan(t: Tables) -> DataFrame:
+    from .operators.cleaning import outlier_bounds
+
+    o = t.orders.groupBy("o_custkey").agg(F.count("*").alias("orders"))
+    bounds = {c: list(b) for c, b in outlier_bounds(t.customer, ["c_acctbal"], "iqr", 0.5).items()}
+    plan = spec.Plan([
+        spec.Step("bronze", "consistent", {"columns": ["c_mktsegment"]}), spec.Step("bronze", "outliers", {"columns": ["c_acctbal"]}, bounds),
+        spec.Step("silver", "join", {"source": "orders", "on": {"c_custkey": "o_custkey"}}), spec.Step("gold", "scale", {"columns": ["c_acctbal"]}),
+    ])
+    return plan.run(t.customer, {"orders": o})
+
+
+@query("registry_features", "user_id clicks_7d", "spend_30d top_7d", f"""
+  select user_id, coalesce(sum(value) filter (where ts <= timestamp '{REF}' and ts >= timestamp '{REF}' - interval 30 day), 0.0) as spend_30d, max(value) filter (where ts <= timestamp '{REF}' and ts >= timestamp '{REF}' - interval 7 day) as top_7d, count(value) filter (where ts <= timestamp '{REF}' and ts >= timestamp '{REF}' - interval 7 day) as clicks_7d from events group by 1""")
+def _registry(t: Tables) -> DataFrame:
+    r = features.Registry()
+    r.register(features.FeatureDefinition("spend_30d", "value", "sum", "30d"), features.FeatureDefinition("top_7d", "value", "max", "7d"), features.FeatureDefinition("clicks_7d", "value", "count", "7d"))
+    return r.compute(t.events, "user_id", "ts", REF)
+
+
+@query("combined_scores", "doc_id", "batch_only override ensemble most boost", f"""
+  select doc_id, p as batch_only, coalesce(case when a <= 24 then q end, p) as override, case when a <= 24 then 0.7 * p + 0.3 * q else p end as ensemble, greatest(p, case when a <= 24 then q end) as most, case when a <= 24 and q > p then least(1.0, p + 0.1) else p end as boost from (select doc_id, p, n_chars % 97 / 97.0 as q, n_chars % 48 as a from {_SCORED})""")
+def _combined(t: Tables) -> DataFrame:
+    d = _scored(t).withColumns({"q": F.col("n_chars") % 97 / 97.0, "a": F.col("n_chars") % 48})
+    return d.select("doc_id", *[stream.combine_scores(F.col("p"), F.col("q"), how, F.col("a")).alias(n) for n, how in (("batch_only", "batch_only"), ("override", "override"), ("ensemble", "ensemble"), ("most", "max"), ("boost", "boost"))])
+
+
+@query("recency_target_rates", "bucket n", "rate", f"""
+  select case when d <= 7 then '0-7d' when d <= 30 then '8-30d' when d <= 90 then '31-90d' when d <= 180 then '91-180d' else '180d+' end as bucket, count(*) as n, avg(y) as rate from (select {_days(f'''timestamp '{ORDERS_REF}' ''', 'o_orderdate')} as d, case when o_orderstatus = 'F' then 1.0 else 0.0 end as y from orders) group by 1""")
+def _recency_target(t: Tables) -> DataFrame:
+    from .time import as_time, days_between
+
+    d = t.orders.select(days_between(as_time(ORDERS_REF), F.col("o_orderdate")).alias("d"), (F.col("o_orderstatus") == "F").cast("int").alias("y"))
+    return segments.recency_target(d, "d", "y")
+
+
+@query("segment_profiles", "c_mktsegment n", "c_acctbal_mean c_acctbal_median", "select c_mktsegment, count(*) as n, avg(c_acctbal) as c_acctbal_mean, quantile_cont(c_acctbal, 0.5) as c_acctbal_median from customer group by 1")
+def _segment_profiles(t: Tables) -> DataFrame:
+    return segments.segment_profiles(t.customer, "c_mktsegment", ["c_acctbal"])
+
+
+@query("future_rows", "column violations", "", """select 'l_shipdate' as "column", count(*) filter (where l_shipdate > o_orderdate) as violations from orders join lineitem on o_orderkey = l_orderkey""")
+def _future_rows(t: Tables) -> DataFrame:
+    return joins.future_rows(t.orders.join(t.lineitem, F.col("o_orderkey") == F.col("l_orderkey")), "o_orderdate", ["l_shipdate"])
+
+
+# Seasonal patterns and explorations
+
+
+@query("weekly_seasonality", "seasonal peak_day", "cv", "select s / m > 0.15 as seasonal, d as peak_day, s / m as cv from (select stddev_samp(n) as s, avg(n) as m, arg_max(d, n * 10 - d) as d from (select isodow(o_orderdate) - 1 as d, count(*) as n from orders group by 1))")
+def _weekly(t: Tables) -> DataFrame:
+    return seasonality.weekly(t.orders, "o_orderdate")
+
+
+@query("year_by_month", "year jan jun dec", "", "select year(o_orderdate) as year, nullif(count(*) filter (where month(o_orderdate) = 1), 0) as jan, nullif(count(*) filter (where month(o_orderdate) = 6), 0) as jun, nullif(count(*) filter (where month(o_orderdate) = 12), 0) as dec from orders group by 1")
+def _year_month(t: Tables) -> DataFrame:
+    return seasonality.year_by_month(t.orders, "o_orderdate").withColumnsRenamed({"1": "jan", "6": "jun", "12": "dec"})
+
+
+@query("peak_months", "month n kind", "", "select * from (select month(o_orderdate) as month, count(*) as n, 'peak' as kind from orders group by 1 order by n desc, month limit 3) union all select * from (select month(o_orderdate) as month, count(*) as n, 'trough' as kind from orders group by 1 order by n, month limit 3)")
+def _peaks(t: Tables) -> DataFrame:
+    return seasonality.peak_months(t.orders, "o_orderdate")
+
+
+@query("volume_trend", "trend", "earlier later change", "select case when (l - e) / e > 0.25 then 'growing' when (l - e) / e < -0.25 then 'declining' else 'stable' end as trend, e as earlier, l as later, (l - e) / e as change from (select avg(n) filter (where r <= floor(k / 2.0)) as e, avg(n) filter (where r > floor(k / 2.0)) as l from (select count(*) as n, row_number() over (order by date_trunc('month', o_orderdate)) as r, count(*) over () as k from orders group by date_trunc('month', o_orderdate)))")
+def _volume(t: Tables) -> DataFrame:
+    return seasonality.volume_trend(temporal.period_counts(t.orders, "o_orderdate"))
+
+
+@query("new_entities", "month new_entities", "", "select strftime(date_trunc('month', d), '%Y-%m') as month, count(*) as new_entities from (select min(o_orderdate) as d from orders group by o_custkey) group by 1")
+def _new_entities(t: Tables) -> DataFrame:
+    return seasonality.new_entities(t.orders, "o_custkey", "o_orderdate").withColumn("month", F.date_format("period", "yyyy-MM"))
+
+
+@query("eta_squared", "", "eta_squared", "select sum(n * power(m - g, 2)) / max(t) as eta_squared from (select count(*) as n, avg(o_totalprice) as m from orders group by o_orderpriority), (select avg(o_totalprice) as g, var_pop(o_totalprice) * count(*) as t from orders)")
+def _eta(t: Tables) -> DataFrame:
+    return seasonality.eta_squared(t.orders, "o_totalprice", "o_orderpriority")
+
+
+@query("recency_by_target", "y n", "mean_days median_days", f"""
+  with e as (select {_days(f'''timestamp '{REF}' ''', 'max(ts)')} as d, max(case when event_type = 'purchase' then 1 else 0 end) as y from events group by user_id) select y, count(*) as n, avg(x) as mean_days, quantile_cont(x, 0.5) as median_days from (select y, least(d::double, (select quantile_cont(d, 0.99) from e)) as x from e) group by y""")
+def _recency_by_target(t: Tables) -> DataFrame:
+    d = t.events.withColumn("y", (F.col("event_type") == "purchase").cast("int"))
+    return seasonality.recency_by_target(d, "user_id", "ts", "y", F.lit(REF).cast("timestamp"))
+
+
+@query("daily_change", "d", "mean velocity acceleration", "select d, mean, v as velocity, v - lag(v) over (order by d) as acceleration from (select d, mean, mean - lag(mean) over (order by d) as v from (select strftime(ts, '%Y-%m-%d') as d, avg(value) as mean from events group by 1))")
+def _daily_change(t: Tables) -> DataFrame:
+    return seasonality.daily_change(t.events, "ts", "value").withColumn("d", F.date_format("day", "yyyy-MM-dd"))
+
+
+@query("cohort_series", "event_type week", "mean velocity", "select event_type, strftime(w, '%Y-%m-%d') as week, mean, mean - lag(mean) over (partition by event_type order by w) as velocity from (select event_type, date_trunc('week', ts) as w, avg(value) as mean from events group by 1, 2)")
+def _cohort_series(t: Tables) -> DataFrame:
+    return seasonality.cohort_series(t.events, "ts", "value", "event_type", "week").withColumn("week", F.date_format("period", "yyyy-MM-dd"))
+
+
+@query("window_recommendation", "days entities recommended", "share", "\n union all ".join(f"select {w} as days, count(*) filter (where duration_days >= {2 * w}) as entities, count(*) filter (where duration_days >= {2 * w}) / count(*)::double >= 0.1 as recommended, count(*) filter (where duration_days >= {2 * w}) / count(*)::double as share from ({_LIVES})" for w in (1, 7, 14, 30)))
+def _recommend(t: Tables) -> DataFrame:
+    return seasonality.recommend_windows(temporal.entity_lifecycle(t.events, "user_id", "ts"), [1, 7, 14, 30])
+
+
+@query("exploration_failures", "column check_id severity", "", """select 'c_acctbal' as "column", 'NC005' as check_id, 'high' as severity from customer having min(c_acctbal) < 0 union all select 'c_nationkey', 'NC008', 'low' from customer having count(distinct c_nationkey) > 20""")
+def _explore(t: Tables) -> DataFrame:
+    d = t.customer.select("c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment")
+    types = {"c_custkey": "identifier", "c_nationkey": "numeric_continuous", "c_acctbal": "numeric_continuous", "c_mktsegment": "categorical_nominal"}
+    return profiling.explore(d, F.lit(REF).cast("timestamp"), types).where("not passed")
