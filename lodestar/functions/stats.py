@@ -5,9 +5,11 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranks import quantiles, running
+
 
 def skewness(c: Column) -> Column:
     """Bias-corrected."""
@@ -90,19 +92,6 @@ def ks(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
     return d
 
 
-def running(df: DataFrame, order: str, columns: Sequence[str], how: str = "sum") -> DataFrame:
-    """Running sums (or maxima) in the order of a column of distinct values, by ranges: those within each range, put
-    together with the totals of the ranges before it (a row for each range)."""
-    made, join = {"sum": (F.sum, lambda a, b: a + F.coalesce(b, F.lit(0))), "max": (F.max, F.greatest)}[how]
-    ranged = df.repartitionByRange(order).withColumn("_part", F.spark_partition_id())
-    within = Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    each = ranged.withColumns({f"{c}_running": made(c).over(within) for c in columns})
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = ranged.groupBy("_part").agg(*[made(c).alias(f"_{c}") for c in columns])
-    parts = parts.select("_part", *[made(f"_{c}").over(before).alias(f"_{c}") for c in columns])
-    return each.join(F.broadcast(parts), "_part").select(*df.columns, *[join(F.col(f"{c}_running"), F.col(f"_{c}")).alias(f"{c}_running") for c in columns])
-
-
 def ks_p_value(d: float, n: int, m: int) -> float:
     """Asymptotic."""
     e = math.sqrt(n * m / (n + m))
@@ -147,8 +136,7 @@ def chi_square_proportions(df: DataFrame, column: str, expected: dict[str, float
 
 
 def quantile_edges(df: DataFrame, column: str, bins: int = 10) -> list[float]:
-    q = df.agg(F.percentile(F.col(column).cast("double"), [i / bins for i in range(bins + 1)])).first()[0]
-    return sorted(set(q or []))
+    return sorted(set(quantiles(df, [column], [i / bins for i in range(bins + 1)])[column] or []))
 
 
 def information_value(df: DataFrame, column: str, target: str, bins: int = 10, floor: float = 1e-4) -> DataFrame:

@@ -7,15 +7,22 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ranks import quantile_row, quantiles, quantiles_by
+
 MAD_SCALE = 1.4826
 
 
 def fit_fill(df: DataFrame, strategies: dict[str, str], constants: dict | None = None) -> dict:
     """Per column the value that fills it: mean, median, mode (the smallest of equally frequent ones) or constant."""
-    made = {"mean": F.avg, "median": F.median, "mode": lambda c: F.mode(c, True)}
-    fitted = {c: s for c, s in strategies.items() if s != "constant"}
-    row = df.agg(*[made[s](F.col(c)).alias(c) for c, s in fitted.items()]).first() if fitted else None
-    out = {c: row[c] for c in fitted} | {c: (constants or {})[c] for c, s in strategies.items() if s == "constant"}
+    out = {c: (constants or {})[c] for c, s in strategies.items() if s == "constant"}
+    means, medians, modes = ([c for c, s in strategies.items() if s == kind] for kind in ("mean", "median", "mode"))
+    if means:
+        out |= df.agg(*[F.avg(c).alias(c) for c in means]).first().asDict()
+    if medians:
+        out |= {c: q and q[0] for c, q in quantiles(df, medians, [0.5]).items()}
+    for c in modes:
+        top = df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count("*").alias("n")).orderBy(F.desc("n"), c).first()
+        out[c] = top and top[0]
     if empty := sorted(c for c, v in out.items() if v is None):
         raise ValueError(f"columns {empty} have no value to fill with")
     return out
@@ -57,7 +64,7 @@ def outlier_bounds(df: DataFrame, columns: Sequence[str], method: str = "iqr", f
     d = df.select(*c)
     if method == "iqr":
         k = 1.5 if factor is None else factor
-        row = d.agg(*[F.percentile(x, [0.25, 0.75]).alias(x) for x in columns]).first()
+        row = quantiles(d, columns, [0.25, 0.75])
         return {x: (row[x][0] - k * (row[x][1] - row[x][0]), row[x][1] + k * (row[x][1] - row[x][0])) for x in columns if row[x]}
     if method == "zscore":
         k = 3.0 if factor is None else factor
@@ -65,12 +72,12 @@ def outlier_bounds(df: DataFrame, columns: Sequence[str], method: str = "iqr", f
         return {x: (row[x].m - k * (row[x].s or 0), row[x].m + k * (row[x].s or 0)) for x in columns if row[x].m is not None}
     if method == "modified_zscore":
         k = 3.5 if factor is None else factor
-        mid = d.agg(*[F.median(x).alias(x) for x in columns]).first()
-        mad = d.agg(*[F.median(F.abs(F.col(x) - F.lit(mid[x]))).alias(x) for x in columns]).first()
-        return {x: (mid[x] - k * MAD_SCALE * mad[x], mid[x] + k * MAD_SCALE * mad[x]) for x in columns if mid[x] is not None}
+        mid = {x: q[0] for x, q in quantiles(d, columns, [0.5]).items() if q}
+        mad = {x: q[0] for x, q in quantiles(d.select(*[F.abs(F.col(x) - F.lit(m)).alias(x) for x, m in mid.items()]), list(mid), [0.5]).items()} if mid else {}
+        return {x: (m - k * MAD_SCALE * mad[x], m + k * MAD_SCALE * mad[x]) for x, m in mid.items()}
     if method == "percentile":
         p = 0.01 if factor is None else factor
-        row = d.agg(*[F.percentile(x, [p, 1 - p]).alias(x) for x in columns]).first()
+        row = quantiles(d, columns, [p, 1 - p])
         return {x: tuple(row[x]) for x in columns if row[x]}
     raise ValueError(f"method {method} is not known")
 
@@ -95,16 +102,16 @@ def treat_outliers(df: DataFrame, bounds: dict[str, tuple[float, float]], treatm
     raise ValueError(f"treatment {treatment} is not known")
 
 
-def _fences(column: str, k: float = 1.5) -> list[Column]:
-    q = F.percentile(column, [0.25, 0.75])
+def _fences(q: Column, k: float = 1.5) -> list[Column]:
     return [(q[0] - k * (q[1] - q[0])), (q[1] + k * (q[1] - q[0]))]
 
 
 def segment_outliers(df: DataFrame, column: str, segment: str) -> DataFrame:
     """Per segment: rows, outliers by all rows' fences, by the segment's own, and those that only the former sees."""
-    lo, hi = _fences(column)
-    whole = df.agg(lo.alias("_lo"), hi.alias("_hi"))
-    own = df.groupBy(segment).agg(lo.alias("_slo"), hi.alias("_shi"))
+    lo, hi = _fences(F.col(column))
+    whole = quantile_row(df, [column], [0.25, 0.75]).select(lo.alias("_lo"), hi.alias("_hi"))
+    lo, hi = _fences(F.col("values"))
+    own = quantiles_by(df, segment, column, [0.25, 0.75]).select(F.col("key").alias(segment), lo.alias("_slo"), hi.alias("_shi"))
     d = df.select(segment, column).join(F.broadcast(whole)).join(own, segment)  # one row; a row for each segment
     out, own_out = ~F.col(column).between(F.col("_lo"), F.col("_hi")), ~F.col(column).between(F.col("_slo"), F.col("_shi"))
     return d.groupBy(segment).agg(F.count("*").alias("rows"), F.count(F.when(out, 1)).alias("global_outliers"), F.count(F.when(own_out, 1)).alias("segment_outliers"), F.count(F.when(out & ~own_out, 1)).alias("false_outliers"))

@@ -8,7 +8,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import running
+from ..functions.ranks import running
 from ..time import as_time
 from .segments import risk_segment
 

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ranks import quantile_row
 from ..functions.stats import kurtosis, skewness
 
 #: Tokens that stand for an unknown category.
@@ -42,26 +43,27 @@ def universal(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
 
 def numeric(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Moments, exact quartiles, zeros, negatives, infinities, and outliers by quartile fences and by three deviations.
-    Two passes; the first one's row is broadcast to the second."""
+    Quartiles come from ranks by ranges; the rows of the first passes are broadcast to the last."""
     first = df.agg(*[
         F.struct(
             F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).cast("double").alias("min"), F.max(c).cast("double").alias("max"),
-            F.percentile(c, [0.25, 0.5, 0.75]).alias("q"), skewness(F.col(c)).alias("skewness"), kurtosis(F.col(c)).alias("kurtosis"),
+            skewness(F.col(c)).alias("skewness"), kurtosis(F.col(c)).alias("kurtosis"),
             F.count(F.when(F.col(c) == F.floor(F.col(c).cast("double")), 1)).alias("whole"), F.count(F.when(F.col(c) == 0, 1)).alias("zeros"), F.count(F.when(F.col(c) < 0, 1)).alias("negatives"), F.count(F.when(F.abs(F.col(c).cast("double")) == float("inf"), 1)).alias("infinite"),
         ).alias(f"_{c}")
         for c in columns
     ])
-    both = df.select(*columns).join(F.broadcast(first))  # one row
+    quartiles = quantile_row(df, columns, [0.25, 0.5, 0.75]).select(*[F.col(c).alias(f"_q_{c}") for c in columns])
+    both = df.select(*columns).join(F.broadcast(first.join(F.broadcast(quartiles))))  # one row each
 
     def outside(c: str) -> list[Column]:
-        q, x = F.col(f"_{c}.q"), F.col(c)
+        q, x = F.col(f"_q_{c}"), F.col(c)
         low, high = q[0] - 1.5 * (q[2] - q[0]), q[2] + 1.5 * (q[2] - q[0])
         z = F.abs(x - F.col(f"_{c}.mean")) > 3 * F.col(f"_{c}.std")
         return [F.count(F.when((x < low) | (x > high), 1)).alias("iqr_outliers"), F.count(F.when(z, 1)).alias("z_outliers")]
 
-    row = both.agg(*[F.struct(F.first(f"_{c}").alias("p"), *outside(c)).alias(c) for c in columns])
+    row = both.agg(*[F.struct(F.first(f"_{c}").alias("p"), F.first(f"_q_{c}").alias("q"), *outside(c)).alias(c) for c in columns])
     d = _long(row, columns)
-    return d.select("column", "p.n", "p.mean", "p.std", "p.min", F.col("p.q")[0].alias("q25"), F.col("p.q")[1].alias("q50"), F.col("p.q")[2].alias("q75"), "p.max", "p.skewness", "p.kurtosis", "p.zeros", "p.whole", "p.negatives", "p.infinite", "iqr_outliers", "z_outliers")
+    return d.select("column", "p.n", "p.mean", "p.std", "p.min", F.col("q")[0].alias("q25"), F.col("q")[1].alias("q50"), F.col("q")[2].alias("q75"), "p.max", "p.skewness", "p.kurtosis", "p.zeros", "p.whole", "p.negatives", "p.infinite", "iqr_outliers", "z_outliers")
 
 
 def histogram(df: DataFrame, column: str, bins: int = 10) -> DataFrame:

@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ranks import quantile_row
 from ..time import days_between
 
 
@@ -57,7 +58,7 @@ def eta_squared(df: DataFrame, value: str, group: str) -> DataFrame:
 def recency_by_target(events: DataFrame, entity: str, time: str, target: str, reference: Column, cap: float = 0.99) -> DataFrame:
     """Per class of entities: days since the last event (capped at that quantile of all): count, mean and median."""
     each = events.groupBy(entity).agg(days_between(reference, F.max(F.col(time).cast("timestamp"))).alias("_d"), F.max(target).alias(target))
-    top = each.agg(F.percentile("_d", cap).alias("_c"))
+    top = quantile_row(each, ["_d"], [cap]).select(F.col("_d")[0].alias("_c"))
     d = each.join(F.broadcast(top)).withColumn("_d", F.least(F.col("_d").cast("double"), F.col("_c")))  # one row
     return d.groupBy(target).agg(F.count("*").alias("n"), F.avg("_d").alias("mean_days"), F.median("_d").alias("median_days"))
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ranks import quantile_row
 from ..time import days_between
 
 RECENCY = ((7, "0-7d"), (30, "8-30d"), (90, "31-90d"), (180, "91-180d"))
@@ -50,7 +51,7 @@ def tenure_bucket(days: Column) -> Column:
 
 def value_frequency(df: DataFrame, value: str, frequency: str) -> DataFrame:
     """Halves by the medians of both."""
-    m = df.agg(F.median(value).alias("_v"), F.median(frequency).alias("_f"))
+    m = quantile_row(df, [value, frequency], [0.5]).select(F.col(value)[0].alias("_v"), F.col(frequency)[0].alias("_f"))
     high, often = F.col(value) >= F.col("_v"), F.col(frequency) >= F.col("_f")
     name = F.when(high & often, "High_Value_Frequent").when(high, "High_Value_Infrequent").when(often, "Low_Value_Frequent").otherwise("Low_Value_Infrequent")
     return df.join(F.broadcast(m)).withColumn("segment", name).drop("_v", "_f")  # one row

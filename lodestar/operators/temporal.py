@@ -8,6 +8,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ranks import quantile_row
 from ..time import as_time, days_between, exact_days
 
 AGGREGATES = {"sum": lambda v: F.coalesce(F.sum(v), F.lit(0.0)), "mean": F.avg, "count": F.count, "max": F.max, "min": F.min}
@@ -89,14 +90,14 @@ def entity_lifecycle(events: DataFrame, entity: str, time: str) -> DataFrame:
 def lifecycle_quadrants(lives: DataFrame) -> DataFrame:
     """Long or short by the median duration, intense or sparse by the median of events per day (a day at least)."""
     d = lives.withColumn("intensity", F.col("event_count") / F.greatest(F.col("duration_days"), F.lit(1)))
-    cut = d.agg(F.median("duration_days").alias("_d"), F.median("intensity").alias("_i"))
+    cut = quantile_row(d, ["duration_days", "intensity"], [0.5]).select(F.col("duration_days")[0].alias("_d"), F.col("intensity")[0].alias("_i"))
     long_, busy = F.col("duration_days") >= F.col("_d"), F.col("intensity") >= F.col("_i")
     name = F.when(long_ & busy, "steady_loyal").when(long_, "occasional_loyal").when(busy, "intense_brief").otherwise("one_shot")
     return d.join(F.broadcast(cut)).withColumn("quadrant", name).drop("_d", "_i")  # one row
 
 
 def activity_segments(lives: DataFrame) -> DataFrame:
-    q = lives.agg(F.percentile("event_count", 0.25).alias("_a"), F.percentile("event_count", 0.75).alias("_b"))
+    q = quantile_row(lives, ["event_count"], [0.25, 0.75]).select(F.col("event_count")[0].alias("_a"), F.col("event_count")[1].alias("_b"))
     n = F.col("event_count")
     name = F.when(n <= 1, "one_time").when(n <= F.col("_a"), "low").when(n <= F.col("_b"), "medium").otherwise("high")
     return lives.join(F.broadcast(q)).withColumn("activity", name).drop("_a", "_b")  # one row

@@ -8,6 +8,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ranks import quantile_row
 from ..sources.snapshots import AVAILABLE, FEATURE_TIME, LABEL_TIME
 from ..time import as_time
 
@@ -21,7 +22,7 @@ ROLES = {
 
 def discover(df: DataFrame, least: float = 0.8) -> DataFrame:
     """(column, how, median_day, role) of columns that hold times: timestamps and dates, texts that parse in that share,
-    and whole numbers that lie between 2000 and 2100 as seconds or milliseconds. In order of their medians; one pass."""
+    and whole numbers that lie between 2000 and 2100 as seconds or milliseconds. In order of their medians."""
     tries = []
     for c, kind in df.dtypes:
         if kind.startswith(("timestamp", "date")):
@@ -34,7 +35,9 @@ def discover(df: DataFrame, least: float = 0.8) -> DataFrame:
             tries.append((c, "milliseconds", F.when(x.between(946_684_800_000, 4_102_444_800_000), F.timestamp_millis(x))))
     if not tries:
         return df.sparkSession.createDataFrame([], "column string, how string, median_day string, role string")
-    row = df.agg(*[F.struct(F.try_divide(F.count(t).cast("double"), F.count(c).cast("double")).alias("share"), F.percentile(F.unix_micros(t), 0.5).alias("mid")).alias(f"c{i}") for i, (c, _, t) in enumerate(tries)])
+    row = df.agg(*[F.struct(F.try_divide(F.count(t).cast("double"), F.count(c).cast("double")).alias("share")).alias(f"c{i}") for i, (c, _, t) in enumerate(tries)])
+    medians = quantile_row(df.select(*[F.unix_micros(t).alias(f"m{i}") for i, (_, _, t) in enumerate(tries)]), [f"m{i}" for i in range(len(tries))], [0.5])
+    row = row.join(F.broadcast(medians)).withColumns({f"c{i}": F.struct(F.col(f"c{i}.share").alias("share"), F.col(f"m{i}")[0].alias("mid")) for i in range(len(tries))})  # one row
     rows = row.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.lit(how).alias("how"), F.col(f"c{i}").alias("s")) for i, (c, how, _) in enumerate(tries)])).alias("r")).select("r.column", "r.how", "r.s.*")
     role = F.lit("other")
     for name, words in reversed(ROLES.items()):

@@ -9,6 +9,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ranks import quantiles
 from ..time import days_between
 
 PERIODS = {"month": 12, "day_of_week": 7, "day_of_year": 365, "quarter": 4, "hour": 24, "minute": 60}
@@ -34,15 +35,13 @@ class Scaler:
 
 
 def fit_scaler(df: DataFrame, columns: Sequence[str], method: str = "standard") -> Scaler:
-    """standard (population deviation), minmax, robust (median and quartile range) or maxabs; one aggregation."""
-    made = {
-        "standard": lambda c: (F.avg(c), F.stddev_pop(c)),
-        "minmax": lambda c: (F.min(c), F.max(c) - F.min(c)),
-        "robust": lambda c: (F.median(c), F.percentile(c, 0.75) - F.percentile(c, 0.25)),
-        "maxabs": lambda c: (F.lit(0.0), F.max(F.abs(c))),
-    }
+    """standard (population deviation), minmax, robust (median and quartile range) or maxabs."""
+    if method == "robust":
+        q = {c: v or [0.0, 0.0, 0.0] for c, v in quantiles(df, columns, [0.25, 0.5, 0.75]).items()}
+        return Scaler({c: v[1] for c, v in q.items()}, {c: v[2] - v[0] for c, v in q.items()})
+    made = {"standard": lambda c: (F.avg(c), F.stddev_pop(c)), "minmax": lambda c: (F.min(c), F.max(c) - F.min(c)), "maxabs": lambda c: (F.lit(0.0), F.max(F.abs(c)))}
     if method not in made:
-        raise ValueError(f"method {method} is none of {sorted(made)}")
+        raise ValueError(f"method {method} is none of robust and {sorted(made)}")
     row = df.agg(*[F.struct(*[x.cast("double").alias(n) for n, x in zip("ab", made[method](F.col(c)), strict=True)]).alias(c) for c in columns]).first()
     return Scaler({c: row[c].a or 0.0 for c in columns}, {c: row[c].b or 0.0 for c in columns})
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ranks import quantile_row, running
 from ..time import days_between, exact_days
 
 
@@ -78,7 +79,7 @@ def series_shape(df: DataFrame, entity: str, time: str) -> DataFrame:
     """Rows and entities, median hours between an entity's events, and the kind of table that suggests."""
     t = F.col(time).cast("timestamp")
     g = df.select(entity, (exact_days(t, F.lag(t).over(Window.partitionBy(entity).orderBy(t))) * 24).alias("h"))
-    out = g.agg(F.count("*").alias("rows"), F.count_distinct(entity).alias("entities"), F.median("h").alias("median_gap_hours"))
+    out = g.agg(F.count("*").alias("rows"), F.count_distinct(entity).alias("entities")).join(F.broadcast(quantile_row(g, ["h"], [0.5]).select(F.col("h")[0].alias("median_gap_hours"))))  # one row
     per = F.try_divide(F.col("rows").cast("double"), F.col("entities").cast("double"))
     h = F.col("median_gap_hours")
     frequency = F.when(h.isNull(), "none").when(h <= 2, "hourly").when(h <= 36, "daily").when(h <= 240, "weekly").when(h <= 1080, "monthly").otherwise("irregular")
@@ -102,8 +103,6 @@ def leakage(df: DataFrame, features: Sequence[str], target: str, high: float = 0
 
 def feature_auc(df: DataFrame, feature: str, target: str) -> DataFrame:
     """Area under the curve of one feature by ranks (larger side): values are counted first, ranks are running counts."""
-    from ..functions.stats import running
-
     each = df.where(F.col(feature).isNotNull() & F.col(target).isNotNull()).groupBy(F.col(feature).cast("double").alias("x")).agg(F.sum((F.col(target) == 1).cast("bigint")).alias("p"), F.sum((F.col(target) == 0).cast("bigint")).alias("q"))
     r = running(each, "x", ["q"])
     won = F.sum(F.col("p") * (F.col("q_running") - F.col("q") / 2))

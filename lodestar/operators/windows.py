@@ -1,4 +1,5 @@
-"""Event tables to entity features over many time windows: one aggregation for all windows, columns and functions."""
+"""Event tables to entity features over many time windows: one aggregation for all windows, columns and functions, and
+two small ones for each column whose distinct values are counted."""
 
 from __future__ import annotations
 
@@ -20,7 +21,7 @@ FUNCTIONS = {
     "count": lambda v, t: F.count(v),
     "std": lambda v, t: F.stddev_samp(v),
     "median": lambda v, t: F.median(v),
-    "nunique": lambda v, t: F.count_distinct(v),
+    "nunique": None,
     "first": lambda v, t: F.min_by(v, F.when(v.isNotNull(), t)),
     "last": lambda v, t: F.max_by(v, F.when(v.isNotNull(), t)),
     "mode": lambda v, t: F.mode(v, True),
@@ -57,7 +58,7 @@ def aggregate(events: DataFrame, entity: str, time: str, plan: WindowPlan, refer
         ref: Column = F.col("_reference")
     else:
         ref = as_time(reference)
-    out = []
+    out, distinct = [], sorted({c for c, fs in plan.values.items() if "nunique" in fs})
     kinds = dict(events.dtypes)
     for w in plan.windows:
         keep = inside(t, ref, w, upper_bound)
@@ -65,6 +66,8 @@ def aggregate(events: DataFrame, entity: str, time: str, plan: WindowPlan, refer
             out.append(F.count(F.when(keep, 1)).alias(f"event_count_{w}"))
         for c, functions in plan.values.items():
             for f in functions:
+                if f == "nunique":
+                    continue
                 text = kinds[c] == "string" and f not in TEXT_FUNCTIONS
                 v = F.when(keep, F.lit(None).cast("double") if text else F.col(c))
                 out.append(FUNCTIONS[f](v, t).alias(f"{c}_{f}_{w}"))
@@ -73,7 +76,19 @@ def aggregate(events: DataFrame, entity: str, time: str, plan: WindowPlan, refer
         out.append(days_between(F.first(ref), F.max(seen)).alias("days_since_last_event"))
     if plan.tenure:
         out.append(days_between(F.first(ref), F.min(seen)).alias("days_since_first_event"))
-    return events.groupBy(entity).agg(*out)
+    whole = events.groupBy(entity).agg(*out) if out else events.select(entity).distinct()
+    for c in distinct:
+        whole = whole.join(_distinct_values(events, entity, c, t, ref, plan, upper_bound), F.col(entity).eqNullSafe(F.col("_entity"))).drop("_entity")
+    return whole.select(entity, *plan.names)
+
+
+def _distinct_values(events: DataFrame, entity: str, column: str, t: Column, ref: Column, plan: WindowPlan, upper_bound: bool) -> DataFrame:
+    """Distinct values of all windows in two aggregations: windows end together, so a value is in a window if its last
+    occurrence is."""
+    last = F.max(t if not upper_bound else F.when(t <= ref, t)).alias("_last")
+    each = events.groupBy(F.col(entity).alias("_entity"), F.col(column).alias("_v")).agg(last, F.first(ref).alias("_ref"))
+    seen = lambda w: F.when(F.col("_v").isNotNull() & inside(F.col("_last"), F.col("_ref"), w, upper_bound), 1)
+    return each.groupBy("_entity").agg(*[F.count(seen(w)).alias(f"{column}_nunique_{w}") for w in plan.windows if "nunique" in plan.values[column]])
 
 
 def category_features(events: DataFrame, entity: str, column: str, time: str, window: str, reference: str | datetime, values: Sequence[str] = ()) -> DataFrame:

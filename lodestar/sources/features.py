@@ -60,7 +60,7 @@ class FeatureStore:
         return f"`{self.database}`.`{table}`"
 
     def tables(self) -> list[str]:
-        return sorted(t.name for t in self.spark.catalog.listTables(self.database))
+        return sorted(t.name for t in self.spark.catalog.listTables(self.database) if not t.isTemporary)
 
     def write(self, df: DataFrame, table: str, keys: Sequence[str], time: str, mode: str = "merge") -> None:
         """overwrite, append, or merge (of rows with equal keys and time the newly written one stays)."""

@@ -9,7 +9,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import running
+from ..functions.ranks import running
 from ..time import UNITS, as_time, exact_days
 
 #: Event types and the sources that emit them.

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from lodestar.functions import stats
+from lodestar.functions import ranks, stats
 from lodestar.operators import cleaning, joins, modeling, profiling, segments, temporal, transforms, validation, windows
 from lodestar.sources import snapshots, tables
 from lodestar.streaming import events as stream
@@ -98,11 +98,19 @@ def test_bins_and_running_sums(spark):
     assert [r.b for r in d.select(stats.cut(F.col("x"), [0, 5, 10], ["low", "high"]).alias("b")).collect()] == ["low"] * 6 + ["high"] * 5
     assert [r.b for r in d.select(stats.bin_of(F.col("x"), [0, 5, 10]).alias("b")).collect()] == [0] * 5 + [1] * 6
     many = spark.range(5000).select("id", F.lit(1).alias("n"))
-    bad = stats.running(many.repartition(7), "id", ["n"]).where("n_running <> id + 1").count()
+    bad = ranks.running(many.repartition(7), "id", ["n"]).where("n_running <> id + 1").count()
     assert bad == 0
     assert stats.ks_p_value(0.5, 100, 100) < 1e-6 and stats.sample_size(0.1, 0.1) > 10_000
 
 
+def test_quantiles_are_exact_and_interpolated(spark):
+    d = spark.createDataFrame([("a", float(x)) for x in (5, 1, 1, 1, 9)] + [("b", 2.0), ("b", None), (None, 7.0)], "k string, x double")
+    got = {r.key: r["values"] for r in ranks.quantiles_by(d.repartition(3), "k", "x", [0.0, 0.25, 0.5, 0.9, 1.0]).collect()}
+    assert got["a"] == pytest.approx([1.0, 1.0, 1.0, 7.4, 9.0]) and got["b"] == [2.0] * 5 and got[None] == [7.0] * 5
+    big = spark.range(10_001).select((F.col("id") * 7919 % 10_001).cast("double").alias("x"), F.lit(None).cast("double").alias("none"))
+    assert ranks.quantiles(big.repartition(9), ["x", "none"], [0.25, 0.5]) == {"x": [2500.0, 5000.0], "none": None}
+
+
 def test_psi_of_equal_samples_is_zero(spark):
     d = spark.createDataFrame([(float(i % 10), str(i % 3)) for i in range(300)], "x double, c string")
     assert one(stats.psi_numeric(d, d, "x", [0.0, 5.0, 10.0])).psi == 0
