@@ -161,3 +161,45 @@ def train(df: DataFrame, features: Sequence[str], target: str, kind: str = "logi
     made = {"logistic": LogisticRegression, "forest": RandomForestClassifier, "boosted": GBTClassifier}[kind]
     options = {"labelCol": target, "featuresCol": "_features"} | ({"weightCol": weight} if weight else {})
     return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="_features", handleInvalid="skip"), made(**options)]).fit(df)
+
+
+def cross_validate(df: DataFrame, key: str, features: Sequence[str], target: str, kind: str = "logistic", k: int = 5, seed: int = 42) -> DataFrame:
+    """(fold, roc_auc, average_precision) of models that were trained on the other folds."""
+    from pyspark.ml.functions import vector_to_array
+
+    d = folds(df, key, k, seed)
+    out = None
+    for i in range(k):
+        scored = train(d.where(F.col("fold") != i), features, target, kind).transform(d.where(F.col("fold") == i))
+        r = ranking(scored.select(target, vector_to_array("probability")[1].alias("_p")), target, "_p").select(F.lit(i).alias("fold"), "roc_auc", "average_precision")
+        out = r if out is None else out.unionByName(r)
+    return out
+
+
+def compare(models: dict[str, dict[str, float]], metric: str = "roc_auc") -> list[tuple[str, float]]:
+    """Models by a metric, best first, ties by name."""
+    return sorted(((n, m[metric]) for n, m in models.items()), key=lambda x: (-x[1], x[0]))
+
+
+def assign_arms(df: DataFrame, key: str, stratum: str, arms: Sequence[str] = ("control", "treatment"), seed: int = 42) -> DataFrame:
+    """Arms of an experiment, of equal size within each stratum, by rank of the key's hash."""
+    rank = F.row_number().over(Window.partitionBy(stratum).orderBy(_hash(key, seed), key)) - 1
+    return df.withColumn("arm", F.element_at(F.array(*map(F.lit, arms)), (rank % len(arms) + 1).cast("int")))
+
+
+def with_noise(df: DataFrame, columns: Sequence[str], share: float, seed: int = 42) -> DataFrame:
+    """Columns with Gaussian noise of that share of their deviation, to see how far scores move."""
+    sd = df.agg(*[F.stddev_pop(c).alias(f"_s_{c}") for c in columns])
+    d = df.join(F.broadcast(sd))  # one row
+    return d.withColumns({c: F.col(c) + F.randn(seed + i) * F.col(f"_s_{c}") * share for i, c in enumerate(columns)}).drop(*[f"_s_{c}" for c in columns])
+
+
+def overfitting(train_metric: float, test_metric: float, cv: Sequence[float] = ()) -> list[str]:
+    """What the gap between training and test, and the spread over folds, say."""
+    gap = train_metric - test_metric
+    out = ["severe_gap"] if gap > 0.10 else ["gap"] if gap > 0.05 else []
+    if len(cv) > 1:
+        mean = sum(cv) / len(cv)
+        sd = (sum((x - mean) ** 2 for x in cv) / (len(cv) - 1)) ** 0.5
+        out += ["unstable"] if sd > 0.05 else []
+    return out

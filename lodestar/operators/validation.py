@@ -123,3 +123,19 @@ def quality_score(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def late_days(df: DataFrame, earlier: str, later: str) -> Column:
     return days_between(F.col(later).cast("timestamp"), F.col(earlier).cast("timestamp"))
+
+
+def same_scores(a: DataFrame, b: DataFrame, key: str, columns: Sequence[str], tolerance: float = 1e-6) -> DataFrame:
+    """Two scoring paths compared: per column rows, differing rows, largest difference, and a severity by the share that
+    differs (any: low, over 1 percent: medium, over 10: high)."""
+    from .joins import compare_on_key
+
+    d = compare_on_key(a, b, key, columns, tolerance)
+    share = F.try_divide(F.col("differ").cast("double"), F.col("rows").cast("double"))
+    return d.withColumn("severity", F.when(share > 0.10, "high").when(share > 0.01, "medium").when(share > 0, "low").otherwise("none"))
+
+
+def business_gate(facts: dict[str, float | bool]) -> list[str]:
+    """What stands in the way of use: no explanation, a return below 1, missing sign-offs, unfair selection."""
+    rules = {"not explainable": not facts.get("explainable", False), "return below 1": facts.get("roi", 0.0) < 1.0, "no sign-off": not facts.get("signed_off", False), "disparate impact": facts.get("disparate_impact", 1.0) < 0.8}
+    return [n for n, hit in rules.items() if hit]

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import stats
-from .operators import cleaning, interpret, joins, modeling, monitoring, profiling, reduce, seasonality, segments, selection, temporal, timestamps, transforms, validation, windows
+from .operators import cleaning, interpret, joins, modeling, monitoring, profiling, reduce, relations, seasonality, segments, selection, temporal, timestamps, transforms, validation, windows
 from .plans import spec
 from .sources import features
 from .sources import tables as io
@@ -1050,3 +1050,31 @@ def _explore(t: Tables) -> DataFrame:
     d = t.customer.select("c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment")
     types = {"c_custkey": "identifier", "c_nationkey": "numeric_continuous", "c_acctbal": "numeric_continuous", "c_mktsegment": "categorical_nominal"}
     return profiling.explore(d, F.lit(REF).cast("timestamp"), types).where("not passed")
+
+
+# Relations, experiments, comparisons
+
+
+_EFFECT = "from (select *, case when l_returnflag = 'A' then 1 else 0 end as y from lineitem)"
+
+
+@query("numeric_effects", "column", "mean_0 mean_1 cohens_d correlation", "\n union all ".join(f"""select '{c}' as "column", avg(a) as mean_0, avg(b) as mean_1, (avg(b) - avg(a)) / sqrt(((count(a) - 1) * var_samp(a) + (count(b) - 1) * var_samp(b)) / (count(a) + count(b) - 2)) as cohens_d, corr({c}, y) as correlation from (select {c}, y, case when y = 0 then {c} end as a, case when y = 1 then {c} end as b {_EFFECT})""" for c in _NUM))
+def _effects(t: Tables) -> DataFrame:
+    return relations.numeric_effects(t.lineitem.withColumn("y", (F.col("l_returnflag") == "A").cast("int")), _NUM, "y")
+
+
+@query("group_statistics", "p_type n", "mean std q25 median q75", "select p_type, count(p_retailprice) as n, avg(p_retailprice) as mean, stddev_samp(p_retailprice) as std, quantile_cont(p_retailprice, 0.25) as q25, quantile_cont(p_retailprice, 0.5) as median, quantile_cont(p_retailprice, 0.75) as q75 from part group by 1")
+def _group_statistics(t: Tables) -> DataFrame:
+    return relations.group_statistics(t.part, "p_type", "p_retailprice")
+
+
+@query("experiment_arms", "c_mktsegment arm n", "", "select c_mktsegment, arm, cast(case when arm = 'control' then ceil(n / 2.0) else floor(n / 2.0) end as bigint) as n from (select c_mktsegment, count(*) as n from customer group by 1), (values ('control'), ('treatment')) a(arm)")
+def _arms(t: Tables) -> DataFrame:
+    return modeling.assign_arms(t.customer, "c_custkey", "c_mktsegment").groupBy("c_mktsegment", "arm").agg(F.count("*").alias("n"))
+
+
+@query("scoring_paths", "column rows differ severity", "largest", f"""select 'p' as "column", count(*) as rows, count(*) filter (where n_chars % 7 = 0) as differ, case when count(*) filter (where n_chars % 7 = 0) > 0.1 * count(*) then 'high' when count(*) filter (where n_chars % 7 = 0) > 0.01 * count(*) then 'medium' else 'low' end as severity, max(case when n_chars % 7 = 0 then 0.25 else 0.0 end) as largest from {_SCORED}""")
+def _paths(t: Tables) -> DataFrame:
+    a = _scored(t)
+    b = a.withColumn("p", F.when(F.col("n_chars") % 7 == 0, F.col("p") + 0.25).otherwise(F.col("p")))
+    return validation.same_scores(a, b, "doc_id", ["p"])

@@ -80,3 +80,17 @@ class Snapshots:
     def compare(self, name: str, a: int, b: int) -> dict:
         x, y = self.meta(name, a), self.meta(name, b)
         return {"rows": y.rows - x.rows, "added": sorted(set(y.columns) - set(x.columns)), "removed": sorted(set(x.columns) - set(y.columns)), "same": x.hash == y.hash}
+
+
+def snapshot_or(store: Snapshots, name: str, otherwise: DataFrame) -> tuple[DataFrame, bool]:
+    """The newest snapshot of that name, and True; else the given table, and False."""
+    return (store.load(name), True) if store.versions(name) else (otherwise, False)
+
+
+def prune(store: Snapshots, name: str, keep: int = 5) -> list[int]:
+    """Deletes all but the newest versions; returns those that are gone."""
+    gone = store.versions(name)[:-keep]
+    for v in gone:
+        fs, p = store._fs(f"{store.root}/{name}/v{v}")
+        fs.delete(p, True)
+    return gone

@@ -84,6 +84,37 @@ def load(spark: SparkSession, source: SourceConfig) -> DataFrame:
     return df if source.sample is None else df.limit(source.sample)
 
 
+@dataclass(frozen=True)
+class LoadResult:
+    """What a source turned out to be; error instead of an exception."""
+
+    name: str
+    rows: int = 0
+    columns: tuple[str, ...] = ()
+    duplicates: tuple[str, ...] = ()
+    error: str | None = None
+
+
+def try_load(spark: SparkSession, source: SourceConfig) -> tuple[DataFrame | None, LoadResult]:
+    try:
+        df = load(spark, source)
+        return df, LoadResult(source.name, df.count(), tuple(df.columns), tuple(duplicate_columns(df.columns)))
+    except Exception as e:  # noqa: BLE001  whatever a reader says is reported
+        return None, LoadResult(source.name, error=str(e).splitlines()[0])
+
+
+def save_with_metadata(df: DataFrame, path: str, metadata: dict[str, str], partition_by: list[str] | None = None) -> None:
+    """Parquet whose first column's field carries the metadata, such as an aggregation's reference date."""
+    first = df.columns[0]
+    df = df.withMetadata(first, {**df.schema[first].metadata, **metadata})
+    writer = df.write.mode("overwrite")
+    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+
+
+def metadata_of(df: DataFrame) -> dict[str, str]:
+    return dict(df.schema[df.columns[0]].metadata)
+
+
 class Catalog:
     """Sources by name."""
 

@@ -136,3 +136,31 @@ def test_seasonal_reports_of_empty_tables(spark):
     assert seasonality.eta_squared(d, "v", "e").first().eta_squared is None
     assert tables.duplicate_columns(["a", "B", "b"]) == ["b"]
     assert timestamps.discover(spark.createDataFrame([], "x double")).count() == 0
+
+
+def test_cross_validation_and_arms(spark):
+    d = spark.range(300).select("id", (F.col("id") % 2).cast("double").alias("y"), ((F.col("id") % 2) * 3 + F.rand(3)).alias("x"))
+    rows = modeling.cross_validate(d, "id", ["x"], "y", k=3).collect()
+    assert len(rows) == 3 and all(r.roc_auc == 1.0 for r in rows)
+    assert modeling.compare({"a": {"roc_auc": 0.7}, "b": {"roc_auc": 0.9}}) == [("b", 0.9), ("a", 0.7)]
+    assert modeling.overfitting(0.95, 0.80, [0.7, 0.9, 0.8]) == ["severe_gap", "unstable"]
+    assert modeling.with_noise(d, ["x"], 0.0).where("x is null").count() == 0
+    arms = {(r.y, r.arm): r.n for r in modeling.assign_arms(d, "id", "y").groupBy("y", "arm").agg(F.count("*").alias("n")).collect()}
+    assert set(arms.values()) == {75}
+
+
+def test_load_results_metadata_and_pruning(spark, tmp_path):
+    from lodestar.sources import snapshots
+
+    df, bad = tables.try_load(spark, tables.SourceConfig("s", f"{tmp_path}/nothing"))
+    assert df is None and bad.error
+    d = spark.createDataFrame([(1, "2024-01-01", "2024-02-01", True)], "k int, feature_timestamp string, label_timestamp string, label_available_flag boolean")
+    tables.save_with_metadata(d, f"{tmp_path}/m", {"reference_date": "2024-03-01"})
+    back, ok = tables.try_load(spark, tables.SourceConfig("m", f"{tmp_path}/m"))
+    assert ok.rows == 1 and tables.metadata_of(back)["reference_date"] == "2024-03-01"
+    store = snapshots.Snapshots(spark, f"{tmp_path}/s")
+    assert snapshots.snapshot_or(store, "a", d)[1] is False
+    d = d.withColumn("feature_timestamp", F.col("feature_timestamp").cast("timestamp"))
+    for _ in range(3):
+        store.create(d, "a", "2024-12-31")
+    assert snapshots.prune(store, "a", 1) == [1, 2] and store.versions("a") == [3] and snapshots.snapshot_or(store, "a", d)[1]
