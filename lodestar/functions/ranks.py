@@ -57,3 +57,13 @@ def quantile_row(df: DataFrame, columns: Sequence[str], probabilities: Sequence[
 def quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float]) -> dict[str, list[float] | None]:
     row = quantile_row(df, columns, probabilities).first()
     return {c: row[c] for c in columns}
+
+
+def with_quantiles(groups: DataFrame, df: DataFrame, group: str, names: dict[str, tuple[str, float]]) -> DataFrame:
+    """groups, a row for each value of group, with exact quantiles of df: {name: (column, probability)}."""
+    for column in dict.fromkeys(c for c, _ in names.values()):
+        mine = {n: p for n, (c, p) in names.items() if c == column}
+        q = quantiles_by(df, group, column, list(mine.values()))
+        q = q.select(F.col("key").alias("_group"), *[F.col("values")[i].alias(n) for i, n in enumerate(mine)])
+        groups = groups.join(q, F.col(group).eqNullSafe(F.col("_group")), "left").drop("_group")
+    return groups

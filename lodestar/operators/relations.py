@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ranks import with_quantiles
 from ..functions.stats import correlations
 
 
@@ -41,4 +42,5 @@ def recommendations(df: DataFrame, columns: Sequence[str], target: str, strong:
 
 
 def group_statistics(df: DataFrame, group: str, value: str) -> DataFrame:
-    return df.groupBy(group).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.percentile(value, [0.25, 0.5, 0.75]).alias("q")).select(group, "n", "mean", "std", *[F.col("q")[i].alias(n) for i, n in enumerate(("q25", "median", "q75"))])
+    each = df.groupBy(group).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"))
+    return with_quantiles(each, df, group, {"q25": (value, 0.25), "median": (value, 0.5), "q75": (value, 0.75)})

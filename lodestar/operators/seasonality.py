@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ranks import quantile_row
+from ..functions.ranks import quantile_row, with_quantiles
 from ..time import days_between
 
 
@@ -60,7 +60,8 @@ def recency_by_target(events: DataFrame, entity: str, time: str, target: str, re
     each = events.groupBy(entity).agg(days_between(reference, F.max(F.col(time).cast("timestamp"))).alias("_d"), F.max(target).alias(target))
     top = quantile_row(each, ["_d"], [cap]).select(F.col("_d")[0].alias("_c"))
     d = each.join(F.broadcast(top)).withColumn("_d", F.least(F.col("_d").cast("double"), F.col("_c")))  # one row
-    return d.groupBy(target).agg(F.count("*").alias("n"), F.avg("_d").alias("mean_days"), F.median("_d").alias("median_days"))
+    groups = d.groupBy(target).agg(F.count("*").alias("n"), F.avg("_d").alias("mean_days"))
+    return with_quantiles(groups, d, target, {"median_days": ("_d", 0.5)})
 
 
 def daily_change(events: DataFrame, time: str, value: str, rows: int = 1) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ranks import quantile_row
+from ..functions.ranks import quantile_row, with_quantiles
 from ..time import days_between
 
 RECENCY = ((7, "0-7d"), (30, "8-30d"), (90, "31-90d"), (180, "91-180d"))
@@ -137,7 +137,8 @@ def clusters(df: DataFrame, columns: Sequence[str], k: int, seed: int = 42) -> D
 
 
 def segment_profiles(df: DataFrame, segment: str, columns: Sequence[str]) -> DataFrame:
-    return df.groupBy(segment).agg(F.count("*").alias("n"), *[x for c in columns for x in (F.avg(c).alias(f"{c}_mean"), F.median(c).alias(f"{c}_median"))])
+    each = df.groupBy(segment).agg(F.count("*").alias("n"), *[F.avg(c).alias(f"{c}_mean") for c in columns])
+    return with_quantiles(each, df, segment, {f"{c}_median": (c, 0.5) for c in columns})
 
 
 def coverage(events: DataFrame, entity: str, time: str, windows: Sequence[int], reference: Column) -> DataFrame:
