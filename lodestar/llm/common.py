@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
+from ..scratch import shared_path, written  # noqa: F401  used by the operators
+
 #: Fixed value: words of the benchmark and licence contracts, on texts whose A-Z are lower-cased.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Fixed value: its complement, for splitting.
@@ -22,26 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        named = tempfile.mkdtemp(prefix="lodestar-")
-        spark.sparkContext.setCheckpointDir(named)
-    return named
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: lineage ends there, and lost executors cost a reread only."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def hadoop_path(spark: SparkSession, path: str):
     """The Hadoop file system of a path and the path itself."""
     jvm = spark.sparkContext._jvm
@@ -76,6 +55,13 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def about(want: int, of: int, *key: str) -> Column:
+    """Whether a row is among about `want` of `of` rows by the hash of a key: a cut that every task makes for itself, after
+    which the smallest hashes can be ranked in one place."""
+    u = F.pmod(F.xxhash64(*key), F.lit(1 << 40)) / float(1 << 40)
+    return F.lit(True) if of <= want else u < want / of
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z only; every other character as it is."""
     return F.translate(c, UPPER, LOWER)

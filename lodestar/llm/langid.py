@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import extended, table
+from .common import about, extended, table, written
 
 #: Documents of a language that are learned from, at most; its share of them that an n-gram must stand in.
 SAMPLE, SHARE = 1000, 0.005
@@ -129,14 +129,20 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     """Learns from text and lang of documents that are not held out, at most `sample` of each language."""
     mine = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
     mine = mine.where(~held_out("key") & F.col("key").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("key"), "key", F.xxhash64("text")))
-    chosen = mine.select("lang", "key", F.xxhash64("text").alias("print"), rank.alias("rank")).where(F.col("rank") <= sample).drop("rank")
-    languages = sorted(r[0] for r in chosen.select("lang").distinct().collect())
+    sizes = {r.lang: r["n"] for r in mine.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    languages = sorted(sizes)
     if not languages:
         return Filters([], np.zeros((SLOTS, 1), np.uint64))
     index = {name: i for i, name in enumerate(languages)}
+    # Before ranking, each language is cut to about twice the sample, so that no task ranks more, whatever the input.
+    near = F.lit(False)
+    for name, n in sizes.items():
+        near = near | ((F.col("lang") == name) & about(2 * sample, n, "key"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("key"), "key", "print"))
+    few = mine.where(near).select("lang", "key", F.xxhash64("text").alias("print")).distinct()
+    chosen = written(few.withColumn("rank", rank).where(F.col("rank") <= sample).drop("rank"), "sample")
     picked = chosen.select("key", "print").distinct()
-    texts = mine.withColumn("print", F.xxhash64("text")).join(F.broadcast(picked), ["key", "print"], "left_semi").select("lang", "text")  # at most `sample` keys of each language
+    texts = mine.withColumn("print", F.xxhash64("text")).join(F.broadcast(picked), ["key", "print"], "left_semi").groupBy("lang", "key", "print").agg(F.first("text").alias("text")).select("lang", "text")  # at most `sample` keys of each language
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each document's distinct n-grams."""
@@ -150,11 +156,11 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
             at = slots(b.column(1).to_numpy().view(np.uint64))
             yield pa.RecordBatch.from_arrays([pa.array(np.tile(b.column(0).to_numpy(), HASHES)), pa.array(np.concatenate(at))], names=["l", "slot"])
 
-    sizes = chosen.groupBy("lang").agg(F.count("*").alias("docs"))
+    docs_of = chosen.groupBy("lang").agg(F.count("*").alias("docs"))
     least = F.create_map(*[x for name, i in index.items() for x in (F.lit(name), F.lit(i))])[F.col("lang")]
-    sizes = sizes.select(least.alias("l"), F.greatest(F.ceil(F.col("docs") * share), F.lit(2 if share else 1)).alias("least"))
+    docs_of = docs_of.select(least.alias("l"), F.greatest(F.ceil(F.col("docs") * share), F.lit(2 if share else 1)).alias("least"))
     common = texts.mapInArrow(seen, "l int, h bigint").groupBy("l", "h").agg(F.count("*").alias("n"))
-    common = common.join(F.broadcast(sizes), "l").where("n >= least").select("l", "h")  # a row for each language
+    common = common.join(F.broadcast(docs_of), "l").where("n >= least").select("l", "h")  # a row for each language
     word = F.floor(F.col("l") / 64).cast("int")
     bits = common.mapInArrow(placed, "l int, slot bigint").groupBy("slot", word.alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, l % 64)")).alias("mask")).collect()
     masks = np.zeros((SLOTS, (len(languages) + 63) // 64), np.uint64)
@@ -163,20 +169,20 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     return Filters(languages, masks)
 
 
-def identify(docs: DataFrame, filters: Filters, text: str = "text") -> DataFrame:
-    """docs with lang_pred and score; columns of these names are replaced."""
-    docs = docs.drop("lang_pred", "score")
+def identify(docs: DataFrame, filters: Filters, text: str = "text", lang_pred: str = "lang_pred", score: str = "score") -> DataFrame:
+    """docs with the language and its score; columns of these names are replaced."""
+    docs = docs.drop(lang_pred, score)
     shared = docs.sparkSession.sparkContext.broadcast((filters.languages, filters.masks))  # SLOTS masks
     at = docs.columns.index(text)
-    schema = extended(docs.schema, "lang_pred string, score double")
+    schema = extended(docs.schema, f"`{lang_pred}` string, `{score}` double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine = Filters(*shared.value)
         for whole in batches:
             for a in range(0, whole.num_rows, 256):
                 b = whole.slice(a, 256)
-                name, score = mine.predict(b.column(at).to_pylist())
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(name, pa.string()), pa.array(score, pa.float64())], names=[*b.schema.names, "lang_pred", "score"])
+                names, scores = mine.predict(b.column(at).to_pylist())
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*b.schema.names, lang_pred, score])
 
     return docs.mapInArrow(run, schema)
 
