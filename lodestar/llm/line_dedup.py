@@ -28,15 +28,17 @@ from .common import table, written
 DEPTH, MIN_TOKENS, GENERAL, SIMILAR, MIN_DOCS = 3, 4, 8, 0.7, 10
 #: Rows of some 60 bytes up to which a list of leaves, lines or templates is broadcast: 20 MB.
 LIST_ROWS = 300_000
+#: The same for templates with their fields, of 1 KB or so.
+TEMPLATE_ROWS = 20_000
 #: Fixed value: ASCII white space.
 SPACE = r"[\x09-\x0D\x20]+"
 FIELD = r"[^\x09-\x0D\x200-9]*+[0-9][^\x09-\x0D\x20]*+"
 VARIABLE = "<*>"
 
 
-def _counted(df: DataFrame) -> DataFrame:
+def _counted(df: DataFrame, rows: int = LIST_ROWS) -> DataFrame:
     """A written list, to be broadcast if it is short."""
-    return F.broadcast(df) if df.limit(LIST_ROWS + 1).count() <= LIST_ROWS else df
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
 def _tokens(line: Column) -> Column:
@@ -74,6 +76,7 @@ def _members(lines: DataFrame, similar: float, min_docs: int) -> DataFrame:
     top = votes.groupBy("leaf", "n", "p").agg(F.min(F.struct((-F.col("votes")).alias("less"), "token")).alias("top"), F.first("weight").alias("weight"))
     constant = F.when(-2 * F.col("top.less") >= F.col("weight"), F.col("top.token"))
     template = top.select("leaf", "n", F.struct("p", constant.alias("token")).alias("field")).groupBy("leaf", "n").agg(F.array_sort(F.collect_list("field")).alias("fields"))
+    template = _counted(written(template, "fields"), TEMPLATE_ROWS)
     same = F.size(F.filter(F.zip_with("tokens", "fields", lambda t, f: t == f["token"]), lambda x: x))
     return kinds.join(template, ["leaf", "n"]).where(same >= F.col("n") * similar).select("leaf", "n", "own", F.lit(True).alias("member"))
 
