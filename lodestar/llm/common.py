@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from ..scratch import shared_path, written  # noqa: F401  used by the operators
+from ..scratch import put_bytes, shared_path, ship, written  # noqa: F401  used by the operators
 
 #: Fixed value: words of the benchmark and licence contracts, on texts whose A-Z are lower-cased.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -21,27 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def hadoop_path(spark: SparkSession, path: str):
-    """The Hadoop file system of a path and the path itself."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
-
-
-def put_bytes(spark: SparkSession, path: str, data: bytes) -> None:
-    fs, p = hadoop_path(spark, path)
-    out = fs.create(p, True)
-    try:
-        out.write(bytearray(data))
-    finally:
-        out.close()
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    fs, p = hadoop_path(spark, path)
-    fs.delete(p, True)
-
-
 def extended(schema: StructType, more: str) -> StructType:
     """schema with further fields, given as DDL; all may be null."""
     return StructType([StructField(f.name, f.dataType) for f in [*schema.fields, *StructType.fromDDL(more).fields]])

@@ -121,10 +121,9 @@ def filter_urls(pages: DataFrame, rules: dict[str, str] = RULES, blocked: Iterab
     out = ["host", "path", "rule", "verdict", "listed"]
     pages = pages.drop(*out)
     spark = pages.sparkSession
-    where = shared_path(spark, "urls")
-    put_bytes(spark, where, build(rules, blocked))
+    where = put_bytes(spark, shared_path(spark, "urls"), build(rules, blocked))
     name = where.rsplit("/", 1)[1]
-    spark.sparkContext.addFile(where if "://" in where or where.startswith("file:") else f"file://{where}")
+    spark.sparkContext.addFile(where)
     host, path = split_url(F.col(url))
     df = pages.withColumns({"host": host, "path": path})
     schema = extended(df.schema, "rule string, verdict string, listed string")
