@@ -11,14 +11,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestar.llm import bpe, decontaminate, langid, line_dedup, simhash
-from lodestar.llm.common import free_name, table, written
+from lodestar.llm.common import free_name, ship, table, written
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts without a letter (null ones among them) and those that fit no learned language."""
-    judged = langid.identify(docs.select("text", F.struct(*docs.columns).alias("row")), langid.fit(docs))
-    kept = judged.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= langid.MIN_SCORE))
-    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+    ship(spark)
+    lang, score = free_name(docs, "lang_pred"), free_name(docs, "score")
+    judged = langid.identify(docs, langid.fit(docs), lang_pred=lang, score=score)
+    return judged.where((F.col(lang) != langid.UNKNOWN) & (F.col(score) >= langid.MIN_SCORE)).select(*docs.columns)
 
 
 def no_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,6 +32,7 @@ def no_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with a component's smallest doc_id (null last); of texts that share that id, the one with the
     smallest hash, and of equal rows any one. Texts are shuffled once, those of repeated rows twice."""
+    ship(spark)
     rows = simhash.near_duplicates(docs).groupBy("root", F.col("key").isNull().alias("no_key"), "key", "print").agg(F.count("*").alias("n"))
     kept = rows.groupBy("root").agg(F.min(F.struct("no_key", "key", "print", "n")).alias("least"))
     name = {c: free_name(docs, f"kept_{c}") for c in ("key", "print", "n")}
@@ -49,6 +51,7 @@ def no_benchmark_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Per document the number of its token ids and digests of these and of the decoded text."""
+    ship(spark)
     return bpe.round_trip(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
