@@ -30,6 +30,8 @@ from .common import about, extended, table, written
 
 #: Documents of a language that are learned from, at most; its share of them that an n-gram must stand in.
 SAMPLE, SHARE = 1000, 0.005
+#: From so many documents of a language on an n-gram must stand in two at least.
+FEW = 20
 SIZES, SLOTS, HASHES = (3, 4), 1 << 18, 3
 #: Code points that are hashed at once.
 BLOCK = 1 << 19
@@ -158,7 +160,7 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
 
     docs_of = chosen.groupBy("lang").agg(F.count("*").alias("docs"))
     least = F.create_map(*[x for name, i in index.items() for x in (F.lit(name), F.lit(i))])[F.col("lang")]
-    docs_of = docs_of.select(least.alias("l"), F.greatest(F.ceil(F.col("docs") * share), F.lit(2 if share else 1)).alias("least"))
+    docs_of = docs_of.select(least.alias("l"), F.greatest(F.ceil(F.col("docs") * share), F.when(F.col("docs") < FEW, 1).otherwise(2)).alias("least"))
     common = texts.mapInArrow(seen, "l int, h bigint").groupBy("l", "h").agg(F.count("*").alias("n"))
     common = common.join(F.broadcast(docs_of), "l").where("n >= least").select("l", "h")  # a row for each language
     word = F.floor(F.col("l") / 64).cast("int")
