@@ -637,7 +637,7 @@ def _cohorts(t: Tables) -> DataFrame:
 
 
 @query("category_target_rates", "lang n retained", "rate lift share", f"""
-  select lang, n, retained, retained / n::double as rate, (retained / n::double) / (sum(retained) over () / sum(n) over ()) as lift, n / (sum(n) over ())::double as share from (select lang, count(*) as n, cast(sum(y) as bigint) as retained from {_SCORED} group by 1) where n >= 10""")
+  select * from (select lang, n, retained, retained / n::double as rate, (retained / n::double) / (sum(retained) over () / sum(n) over ()) as lift, n / (sum(n) over ())::double as share from (select lang, count(*) as n, cast(sum(y) as bigint) as retained from {_SCORED} group by 1)) where n >= 10""")
 def _category_rates(t: Tables) -> DataFrame:
     return segments.category_rates(_scored(t), "lang", "y")
 
