@@ -29,11 +29,16 @@ def no_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return out.where((F.col(n_dropped) == 0) | F.col("text").rlike(r"[^\x09-\x0D\x20]")).select(*docs.columns)
 
 
+#: Fixed values of the near-dedup stage: words of a shingle, and the least Jaccard similarity of near copies.
+NEAR_WORDS, NEAR_LEAST = 5, 0.8
+
+
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with a component's smallest doc_id (null last); of texts that share that id, the one with the
-    smallest hash, and of equal rows any one. Texts are shuffled once, those of repeated rows twice."""
+    smallest hash, and of equal rows any one. Near copies are what op4 links and texts of which NEAR_LEAST of the shingles of
+    NEAR_WORDS words are shared. Kept texts are shuffled once, those of repeated rows twice."""
     ship(spark)
-    rows = simhash.near_duplicates(docs).groupBy("root", F.col("key").isNull().alias("no_key"), "key", "print").agg(F.count("*").alias("n"))
+    rows = simhash.near_duplicates(docs, words=NEAR_WORDS, least=NEAR_LEAST).groupBy("root", F.col("key").isNull().alias("no_key"), "key", "print").agg(F.count("*").alias("n"))
     kept = rows.groupBy("root").agg(F.min(F.struct("no_key", "key", "print", "n")).alias("least"))
     name = {c: free_name(docs, f"kept_{c}") for c in ("key", "print", "n")}
     kept = kept.select(*[F.col(f"least.{c}").alias(x) for c, x in name.items()])

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import graph
+from . import graph, jaccard
 from .common import table, written
 
 #: Longest posting list that one task compares in memory (512 KB of fingerprints, about a second).
@@ -183,12 +183,21 @@ def links(fps: DataFrame, distance: int = 3, list_rows: int = LIST_ROWS) -> Data
     return edges.unionByName(_blanked(again.where(F.col("n") > list_rows).drop("n"), distance))
 
 
-def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3, distance: int = 3, list_rows: int = LIST_ROWS) -> DataFrame:
+def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3, distance: int = 3, list_rows: int = LIST_ROWS, words: int = 5, least: float | None = None) -> DataFrame:
     """(key, fp, print, component, root): each row's fingerprint, a hash of its text, the smallest key that it reaches
-    over links, and the smallest fingerprint that it reaches, which tells components apart whose keys are all null."""
+    over links, and the smallest fingerprint that it reaches, which tells components apart whose keys are all null.
+    least: also links texts whose shingles of `words` words have a Jaccard similarity of `least` or more."""
     rows = written(fingerprints(df, key, text, size), "fingerprints")
     distinct = rows.groupBy("fp").agg(F.min("key").alias("first"))
-    groups = graph.components(links(distinct.select("fp"), distance, list_rows))
+    edges = links(distinct.select("fp"), distance, list_rows)
+    groups = graph.components(edges)
+    if least is not None:
+        roots = rows.select("print", "fp").distinct().join(groups.withColumnRenamed("node", "fp"), "fp", "left")
+        roots = roots.groupBy("print").agg(F.min(F.coalesce("root", "fp")).alias("root"))
+        texts = df.select(F.xxhash64(text).alias("print"), F.col(text).alias("text"))
+        more = jaccard.links(texts, roots, words, least)
+        known = groups.select(F.col("node").alias("a"), F.col("root").alias("b"))
+        groups = graph.components(known.unionByName(more))
     rooted = distinct.join(groups.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     first = rooted.groupBy("root").agg(F.min("first").alias("component"))
     return rows.join(rooted.join(first, "root").select("fp", "component", "root"), "fp").select("key", "fp", "print", "component", "root")

@@ -86,6 +86,44 @@ def test_one_of_each_group_of_copies_stays(spark, sf):
     assert ids == sorted(components) and 1 in ids and 3 not in ids
 
 
+def test_edited_copies_are_near_copies(spark, sf):
+    """Six of 300 words changed: a five-word Jaccard similarity of 266 / 326."""
+    words = [f"w{i * i % 9973}x{i}" for i in range(300)]
+    edit = lambda n: " ".join(f"new{i}" if i % 40 == 20 and i // 40 < n else w for i, w in enumerate(words))
+    docs = spark.createDataFrame([(1, edit(0)), (2, edit(6)), (3, " ".join(f"v{i}" for i in range(300)))], "doc_id long, text string")
+    assert len({r.fp for r in simhash.near_duplicates(docs).collect()}) == 3
+    assert len({r.component for r in simhash.near_duplicates(docs).collect()}) == 3
+    assert sorted(r.doc_id for r in corpus_pipeline.one_of_near_copies(spark, docs, sf).collect()) == [1, 3]
+    # 1 and 4 are too far apart to be linked, but both are near 2
+    chain = [(1, edit(0)), (2, edit(4)), (4, edit(4) + " " + " ".join(f"u{i}" for i in range(60)))]
+    a, b, c = ({tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for _, t in chain)
+    assert len(a & b) >= 0.8 * len(a | b) and len(b & c) >= 0.8 * len(b | c) and len(a & c) < 0.8 * len(a | c)
+    docs = spark.createDataFrame(chain, "doc_id long, text string")
+    assert [r.doc_id for r in corpus_pipeline.one_of_near_copies(spark, docs, sf).collect()] == [1]
+    assert sorted(r.doc_id for r in corpus_pipeline.one_of_near_copies(spark, docs.where("doc_id <> 2"), sf).collect()) == [1, 4]
+
+
+def test_near_dedup_equals_all_pairs(spark, sf):
+    """On the documents as they are, against every pair's fingerprints and shingle sets."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = sorted(docs.collect(), key=lambda r: r.doc_id)
+    words = [(r.text or "").encode().lower().split() for r in rows]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in words]
+    fps = [simhash.fingerprint(r.text) for r in rows]
+    root = list(range(len(rows)))
+    only_sets = 0
+    for j in range(len(rows)):
+        for i in range(j):
+            bits, shared = (fps[i] ^ fps[j]).bit_count() <= 3, len(sets[i] & sets[j])
+            similar = shared > 0 and shared >= 0.8 * (len(sets[i]) + len(sets[j]) - shared)
+            only_sets += similar and not bits
+            if (bits or similar) and root[i] != root[j]:
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    assert only_sets
+    assert sorted(r.doc_id for r in corpus_pipeline.one_of_near_copies(spark, docs, sf).collect()) == sorted({rows[r].doc_id for r in root})
+
+
 def test_stage_order_and_columns():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "line_dedup", "near_dedup", "decontamination", "bpe"]
     assert langid.UNKNOWN == "und" and line_dedup.MIN_DOCS > 1
