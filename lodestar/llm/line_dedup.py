@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from .common import table, written
 
 DEPTH, MIN_TOKENS, GENERAL, SIMILAR, MIN_DOCS = 3, 4, 8, 0.7, 10
+#: Tokens from which a line is long.
+LONG_TOKENS = 50
 #: Rows of some 60 bytes up to which a list of leaves, lines or templates is broadcast: 20 MB.
 LIST_ROWS = 300_000
 #: The same for templates with their fields, of 1 KB or so.
@@ -50,10 +52,10 @@ def _by_line(docs: DataFrame, key: str, text: str) -> DataFrame:
     and n), its own hash and its text with the variable fields masked."""
     lines = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("print"), F.posexplode(F.split(text, "\n")).alias("at", "line"))
     masked = F.when(F.col("line").rlike("[0-9]"), F.regexp_replace("line", FIELD, F.lit(VARIABLE))).otherwise(F.col("line"))
-    lines = lines.select("key", "print", "at", masked.alias("masked")).withColumn("tokens", _tokens(F.col("masked")))
+    lines = lines.select("key", "print", "at", masked.alias("masked"), F.xxhash64("line").alias("exact")).withColumn("tokens", _tokens(F.col("masked")))
     lines = lines.where(F.size("tokens") >= MIN_TOKENS)
     leaf = F.xxhash64(F.size("tokens"), *[F.get("tokens", F.lit(i)) for i in range(DEPTH)])
-    return lines.select("key", "print", "at", F.size("tokens").alias("n"), leaf.alias("leaf"), F.xxhash64("tokens").alias("own"), "masked")
+    return lines.select("key", "print", "at", F.size("tokens").alias("n"), leaf.alias("leaf"), F.xxhash64("tokens").alias("own"), "masked", "exact")
 
 
 def _documents(lines: DataFrame, *by: str) -> DataFrame:
@@ -84,19 +86,31 @@ def _members(lines: DataFrame, similar: float, min_docs: int) -> DataFrame:
 def recurring(lines: DataFrame, similar: float, min_docs: int) -> DataFrame:
     """The lines to drop: key, print and at."""
     members = _counted(written(_members(lines, similar, min_docs), "members"))
-    lines = lines.drop("masked").join(members, ["leaf", "n", "own"], "left")
+    lines = lines.drop("masked", "exact").join(members, ["leaf", "n", "own"], "left")
     lines = lines.select("key", "print", "at", "leaf", "n", F.when(F.col("member"), F.lit(0).cast("bigint")).otherwise(F.col("own")).alias("own"))
     templates = _counted(written(_documents(lines, "leaf", "n", "own").where(F.col("docs") >= min_docs), "templates"))
     first = F.col("key").eqNullSafe(F.col("first.key")) & (F.col("at") == F.col("first.at"))
     return lines.join(templates, ["leaf", "n", "own"]).where(~first).select("key", "print", "at")
 
 
-def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", similar: float = SIMILAR, min_docs: int = MIN_DOCS, n_lines: str = "n_lines", n_dropped: str = "n_dropped") -> DataFrame:
+def _repeated(lines: DataFrame, long_docs: int) -> DataFrame:
+    """The long lines to drop that stand in long_docs documents or more just as they are: key, print and at."""
+    long_ = lines.where(F.col("n") >= LONG_TOKENS).select("key", "print", "at", "exact")
+    found = _counted(written(_documents(long_, "exact").where(F.col("docs") >= long_docs), "repeated"))
+    first = F.col("key").eqNullSafe(F.col("first.key")) & (F.col("at") == F.col("first.at"))
+    return long_.join(found, "exact").where(~first).select("key", "print", "at")
+
+
+def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", similar: float = SIMILAR, min_docs: int = MIN_DOCS, n_lines: str = "n_lines", n_dropped: str = "n_dropped", long_docs: int | None = None) -> DataFrame:
     """docs with recurring lines dropped from the text, and numbers of lines and of dropped ones (long), which replace
-    columns of these names."""
+    columns of these names. long_docs: also drops lines of LONG_TOKENS tokens or more that stand in so many documents
+    without any change, numbers included, but for their first place."""
     docs = docs.drop(n_lines, n_dropped)
     lines = written(_by_line(docs, key, text), "lines")
-    drop = recurring(lines, similar, min_docs).groupBy("key", "print").agg(F.collect_set("at").alias("_dropped"))
+    drop = recurring(lines, similar, min_docs)
+    if long_docs is not None:
+        drop = drop.unionByName(_repeated(lines, long_docs))
+    drop = drop.groupBy("key", "print").agg(F.collect_set("at").alias("_dropped"))
     drop = drop.withColumnsRenamed({"key": "_dropped_key", "print": "_dropped_print"})
     same = docs[key].eqNullSafe(F.col("_dropped_key")) & (F.xxhash64(docs[text]) == F.col("_dropped_print"))
     both = docs.join(drop, same, "left")

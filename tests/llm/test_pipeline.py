@@ -103,6 +103,15 @@ def test_edited_copies_are_near_copies(spark, sf):
     assert sorted(r.doc_id for r in corpus_pipeline.one_of_near_copies(spark, docs.where("doc_id <> 2"), sf).collect()) == [1, 4]
 
 
+def test_long_lines_of_few_documents_are_dropped(spark, sf):
+    line = " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(93))
+    numbers = lambda i: " ".join(str(i * 1000 + n) for n in range(60))
+    docs = spark.createDataFrame([(i, f"own {i} here\n{line}\n{numbers(i)}" if i < 4 else f"own {i}\nshort line of two documents") for i in range(6)], "doc_id long, text string")
+    out = {r.doc_id: r.text for r in corpus_pipeline.no_recurring_lines(spark, docs, sf).collect()}
+    assert line in out[0] and all(out[i] == f"own {i} here\n{numbers(i)}" for i in (1, 2, 3))
+    assert out[4] == "own 4\nshort line of two documents" and out[5] == "own 5\nshort line of two documents"
+
+
 def test_near_dedup_equals_all_pairs(spark, sf):
     """On the documents as they are, against every pair's fingerprints and shingle sets."""
     docs = spark.read.parquet(f"{sf}/documents.parquet")
