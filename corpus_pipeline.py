@@ -22,14 +22,15 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return judged.where((F.col(lang) != langid.UNKNOWN) & (F.col(score) >= langid.MIN_SCORE)).select(*docs.columns)
 
 
-#: Fixed value of the line-dedup stage: documents in which a long line recurs.
-LONG_LINE_DOCS = 2
+#: Fixed values of the line-dedup stage: documents in which a long line recurs, and share of the documents in which one of
+#: under line_dedup.MIN_TOKENS tokens does.
+LONG_LINE_DOCS, SHORT_LINE_SHARE = 2, 0.002
 
 
 def no_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops lines of recurring templates, long lines that stand in two documents, and documents of which no word is left."""
     n_lines, n_dropped = free_name(docs, "n_lines"), free_name(docs, "n_dropped")
-    out = line_dedup.dedup_lines(docs, n_lines=n_lines, n_dropped=n_dropped, long_docs=LONG_LINE_DOCS)
+    out = line_dedup.dedup_lines(docs, n_lines=n_lines, n_dropped=n_dropped, long_docs=LONG_LINE_DOCS, short_share=SHORT_LINE_SHARE)
     return out.where((F.col(n_dropped) == 0) | F.col("text").rlike(r"[^\x09-\x0D\x20]")).select(*docs.columns)
 
 

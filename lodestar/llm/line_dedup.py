@@ -13,13 +13,15 @@ stands in a third of all documents is never gathered in one task; only line numb
 tokens of leaves that recur.
 
 Rows: a null text stays null and has no lines; an empty text is one line without tokens; lines of fewer than MIN_TOKENS
-tokens are kept; rows that repeat a key count as one document and lose the same lines; rows with a null key lose
+tokens are kept, unless `short_share` counts them; rows that repeat a key count as one document and lose the same lines; rows with a null key lose
 recurring lines but count as no document; texts of any length are handled whole; an empty table gives an empty one;
 other columns are kept as they are.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,13 +49,13 @@ def _tokens(line: Column) -> Column:
     return F.filter(F.split(line, SPACE), lambda t: t != "")
 
 
-def _by_line(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """One row for each line that can be dropped: the document, the line's number from 0, its place in the tree (leaf
+def _by_line(docs: DataFrame, key: str, text: str, min_tokens: int = MIN_TOKENS) -> DataFrame:
+    """One row for each line that can be dropped, those of min_tokens tokens or more: the document, the line's number from 0, its place in the tree (leaf
     and n), its own hash and its text with the variable fields masked."""
     lines = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("print"), F.posexplode(F.split(text, "\n")).alias("at", "line"))
     masked = F.when(F.col("line").rlike("[0-9]"), F.regexp_replace("line", FIELD, F.lit(VARIABLE))).otherwise(F.col("line"))
     lines = lines.select("key", "print", "at", masked.alias("masked"), F.xxhash64("line").alias("exact")).withColumn("tokens", _tokens(F.col("masked")))
-    lines = lines.where(F.size("tokens") >= MIN_TOKENS)
+    lines = lines.where(F.size("tokens") >= min_tokens)
     leaf = F.xxhash64(F.size("tokens"), *[F.get("tokens", F.lit(i)) for i in range(DEPTH)])
     return lines.select("key", "print", "at", F.size("tokens").alias("n"), leaf.alias("leaf"), F.xxhash64("tokens").alias("own"), "masked", "exact")
 
@@ -83,12 +85,13 @@ def _members(lines: DataFrame, similar: float, min_docs: int) -> DataFrame:
     return kinds.join(template, ["leaf", "n"]).where(same >= F.col("n") * similar).select("leaf", "n", "own", F.lit(True).alias("member"))
 
 
-def recurring(lines: DataFrame, similar: float, min_docs: int) -> DataFrame:
-    """The lines to drop: key, print and at."""
+def recurring(lines: DataFrame, similar: float, min_docs: int, short_docs: int | None = None) -> DataFrame:
+    """The lines to drop: key, print and at. short_docs: documents for a template of fewer than MIN_TOKENS tokens."""
+    least = F.lit(min_docs) if short_docs is None else F.when(F.col("n") < MIN_TOKENS, F.lit(short_docs)).otherwise(F.lit(min_docs))
     members = _counted(written(_members(lines, similar, min_docs), "members"))
     lines = lines.drop("masked", "exact").join(members, ["leaf", "n", "own"], "left")
     lines = lines.select("key", "print", "at", "leaf", "n", F.when(F.col("member"), F.lit(0).cast("bigint")).otherwise(F.col("own")).alias("own"))
-    templates = _counted(written(_documents(lines, "leaf", "n", "own").where(F.col("docs") >= min_docs), "templates"))
+    templates = _counted(written(_documents(lines, "leaf", "n", "own").where(F.col("docs") >= least), "templates"))
     first = F.col("key").eqNullSafe(F.col("first.key")) & (F.col("at") == F.col("first.at"))
     return lines.join(templates, ["leaf", "n", "own"]).where(~first).select("key", "print", "at")
 
@@ -101,13 +104,15 @@ def _repeated(lines: DataFrame, long_docs: int) -> DataFrame:
     return long_.join(found, "exact").where(~first).select("key", "print", "at")
 
 
-def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", similar: float = SIMILAR, min_docs: int = MIN_DOCS, n_lines: str = "n_lines", n_dropped: str = "n_dropped", long_docs: int | None = None) -> DataFrame:
+def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", similar: float = SIMILAR, min_docs: int = MIN_DOCS, n_lines: str = "n_lines", n_dropped: str = "n_dropped", long_docs: int | None = None, short_share: float | None = None) -> DataFrame:
     """docs with recurring lines dropped from the text, and numbers of lines and of dropped ones (long), which replace
     columns of these names. long_docs: also drops lines of LONG_TOKENS tokens or more that stand in so many documents
-    without any change, numbers included, but for their first place."""
+    without any change, numbers included, but for their first place. short_share: also drops lines of 1 to MIN_TOKENS - 1
+    tokens whose template stands in that share of the rows and 2 * min_docs documents, but for its first place."""
     docs = docs.drop(n_lines, n_dropped)
-    lines = written(_by_line(docs, key, text), "lines")
-    drop = recurring(lines, similar, min_docs)
+    lines = written(_by_line(docs, key, text, MIN_TOKENS if short_share is None else 1), "lines")
+    short_docs = None if short_share is None else max(2 * min_docs, math.ceil(short_share * docs.count()))
+    drop = recurring(lines, similar, min_docs, short_docs)
     if long_docs is not None:
         drop = drop.unionByName(_repeated(lines, long_docs))
     drop = drop.groupBy("key", "print").agg(F.collect_set("at").alias("_dropped"))

@@ -112,6 +112,14 @@ def test_long_lines_of_few_documents_are_dropped(spark, sf):
     assert out[4] == "own 4\nshort line of two documents" and out[5] == "own 5\nshort line of two documents"
 
 
+def test_short_lines_of_many_documents_are_dropped(spark, sf):
+    own = lambda i: f"own{chr(97 + i % 26)}{chr(97 + i // 26)} text"
+    docs = spark.createDataFrame([(i, own(i) + "\nAll rights reserved." + ("\nChance." if i < 15 else "")) for i in range(30)], "doc_id long, text string")
+    out = {r.doc_id: r.text for r in corpus_pipeline.no_recurring_lines(spark, docs, sf).collect()}
+    assert out[0] == own(0) + "\nAll rights reserved.\nChance."
+    assert all(out[i] == own(i) + ("\nChance." if i < 15 else "") for i in range(1, 30))
+
+
 def test_near_dedup_equals_all_pairs(spark, sf):
     """On the documents as they are, against every pair's fingerprints and shingle sets."""
     docs = spark.read.parquet(f"{sf}/documents.parquet")
