@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Complete rows that neighbours are looked for in, at most: they are broadcast.
+#: Complete rows that one task compares with a block of incomplete ones, about.
 REFERENCE = 5000
-#: Rows of a class that one task makes synthetic rows from, about.
+#: Rows of a class that one task makes synthetic rows from, and incomplete rows that one task compares, about.
 BLOCK = 2000
 
 
@@ -21,28 +21,47 @@ def _hash(key: str):
 
 def knn_impute(df: DataFrame, key: str, columns: Sequence[str], k: int = 5, reference: int = REFERENCE) -> DataFrame:
     """Missing values as means of the k nearest complete rows, by the columns that are there, scaled by their deviations.
-    Neighbours come from at most `reference` complete rows, those with the smallest hashes of their keys; every row with
-    a missing value is filled. A row without any value gets means."""
-    complete = df.dropna(subset=list(columns))
-    ref = np.array([tuple(map(float, r)) for r in complete.orderBy(_hash(key), key).limit(reference).select(*columns).collect()])  # `reference` rows
-    if not len(ref):
+    Neighbours and deviations come from all complete rows: each block of `reference` of them is compared with each block
+    of incomplete rows, and the k nearest of the blocks are merged. Of equally near rows those with the smallest hashes
+    of their keys count. A row without any value gets means."""
+    w, v = [f"_w{i}" for i in range(len(columns))], [f"_v{i}" for i in range(len(columns))]
+    value = {c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in columns}
+    typed = df.withColumns(value)
+    complete = typed.dropna(subset=list(columns)).select(F.col(key).cast("string").alias("_k"), _hash(key).alias("_h"), *[F.col(c).alias(x) for c, x in zip(columns, v, strict=True)])
+    stats = complete.agg(F.count("*").alias("n"), *[F.avg(x).alias(f"m{x}") for x in v], *[F.stddev_pop(x).alias(f"s{x}") for x in v]).first()
+    if not stats["n"]:
         return df
-    sd = ref.std(axis=0)
-    shared = df.sparkSession.sparkContext.broadcast((ref, np.where(sd > 0, sd, 1.0)))
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        r, s = shared.value
-        for f in frames:
-            x = f[list(columns)].to_numpy(dtype=float, copy=True)
-            for i in np.flatnonzero(np.isnan(x).any(axis=1)):
-                has = ~np.isnan(x[i])
-                d = (((r[:, has] - x[i, has]) / s[has]) ** 2).sum(axis=1) if has.any() else np.zeros(len(r))
-                near = np.argsort(d, kind="stable")[: k if has.any() else None]
-                x[i, ~has] = r[near][:, ~has].mean(axis=0)
-            yield f.assign(**{c: x[:, j] for j, c in enumerate(columns)})
-
-    typed = df.withColumns({c: F.col(c).cast("double") for c in columns})
-    return typed.mapInPandas(run, typed.schema)
+    sd = np.array([stats[f"s{x}"] or 1.0 for x in v])
+    has = [F.col(c).isNotNull().cast("int") for c in columns]
+    partly = sum(has[1:], has[0])
+    missing = typed.where((partly > 0) & (partly < len(columns))).select(*[F.col(c).alias(x) for c, x in zip(columns, w, strict=True)]).distinct()
+    rows, refs = -(-missing.count() // BLOCK) or 1, -(-stats["n"] // reference)
+
+    def nearest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        right = right.sort_values(["_h", "_k"], kind="stable")
+        x, r = left[w].to_numpy(dtype=float), right[v].to_numpy(dtype=float)
+        out = []
+        for i in range(len(x) if len(r) else 0):
+            known = ~np.isnan(x[i])
+            d = (((r[:, known] - x[i, known]) / sd[known]) ** 2).sum(axis=1)
+            near = np.argsort(d, kind="stable")[:k]
+            out.append(pd.concat([pd.DataFrame(np.repeat(x[i : i + 1], len(near), axis=0), columns=w), right.iloc[near].drop(columns=["_i", "_j"]).reset_index(drop=True).assign(_d=d[near])], axis=1))
+        return pd.concat(out)[[*w, "_d", "_h", "_k", *v]] if out else pd.DataFrame(columns=[*w, "_d", "_h", "_k", *v])
+
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = missing.withColumn("_i", F.pmod(F.xxhash64(*w), F.lit(rows)).cast("int")).withColumn("_j", every(refs))
+    right = complete.withColumn("_j", F.pmod(F.xxhash64("_k", *v), F.lit(refs)).cast("int")).withColumn("_i", every(rows))
+    schema = ", ".join([*[f"{x} double" for x in w], "_d double, _h bigint, _k string", *[f"{x} double" for x in v]])
+    found = left.groupBy("_i", "_j").cogroup(right.groupBy("_i", "_j")).applyInPandas(nearest, schema)
+    # NaN is how pandas gives back a value that is missing.
+    found = found.withColumns({x: F.when(~F.isnan(x), F.col(x)) for x in w})
+    best = found.groupBy(*w).agg(F.slice(F.array_sort(F.collect_list(F.struct("_d", "_h", "_k", *v))), 1, k).alias("_near"))
+    same = F.lit(True)
+    for c, x in zip(columns, w, strict=True):
+        same = same & typed[c].eqNullSafe(best[x])
+    mean = {c: F.expr(f"aggregate(_near, 0d, (a, e) -> a + e.{x}) / size(_near)") for c, x in zip(columns, v, strict=True)}
+    filled = typed.join(best, same, "left")
+    return filled.select(*[F.coalesce(F.col(c), mean[c], F.lit(stats[f"m{v[list(columns).index(c)]}"])).alias(c) if c in mean else F.col(c) for c in df.columns])
 
 
 def undersample(df: DataFrame, key: str, target: str, seed: int = 42) -> DataFrame:

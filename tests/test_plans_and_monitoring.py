@@ -65,6 +65,17 @@ def test_pca_reconstructs_variance(spark):
     assert np.allclose(got @ parts + mean, x)
 
 
+def test_knn_impute_takes_all_complete_rows(spark):
+    rows = [(i, float(i), float(2 * i), "a") for i in range(12_000)] + [(12_000, 7777.2, None, "b"), (12_001, None, float("nan"), "c"), (12_002, None, 31.0, "d")]
+    d = spark.createDataFrame(rows, "k long, x double, y double, z string")
+    out = sampling.knn_impute(d, "k", ["x", "y"], k=2)
+    by = {r.k: r for r in out.where("k >= 12000 or k = 5").collect()}
+    assert out.columns == d.columns and out.count() == len(rows) and by[5].y == 10.0
+    assert by[12_000].y == 2 * 7777.5 and by[12_000].z == "b"
+    assert abs(by[12_001].x - 5999.5) < 1e-6 and abs(by[12_001].y - 11999.0) < 1e-6
+    assert by[12_002].x == 15.5
+
+
 def test_knn_impute_and_smote(spark):
     rows = [(i, float(i % 2) * 10 + i / 1000, float(i % 2) * 10) for i in range(200)]
     d = spark.createDataFrame([*rows, (900, 10.0, None), (901, None, None)], "k int, x double, y double")
