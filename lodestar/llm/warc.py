@@ -2,8 +2,8 @@
 
 Writing: a payload that stands in several records, of MIN_REVISIT bytes or more, is stored once, in the record with the
 largest key; the others are revisit records that refer to it. Records are composed by Spark and written by its text
-writer with the record separator CRLF CRLF, so archives go to whatever file system Spark writes to; a file holds
-FILE_RECORDS records at most.
+writer with the record separator CRLF CRLF, so archives go to whatever file system Spark writes to. Records are written
+by classes of size (CLASSES), so that a file holds some 128 MB of payloads, or one payload of more than 4 MB.
 
 Reading: each archive is read in one piece and parsed by the records' lengths. Payload digests are computed anew and
 must agree with the headers'.
@@ -16,7 +16,8 @@ range order that is the global order of all capture histories.
 Rows: a null payload counts as empty; empty payloads and payloads under MIN_REVISIT bytes are always responses; rows
 that repeat the largest key of a payload are all responses; a null key is written and read back as null, and is never
 the one referred to unless all keys are null (then all are responses); a null url has an empty url key; payloads of any
-length are whole; an empty table gives no archives and an empty index; other columns are not stored.
+length are whole; any long is a key; a line break in a url is written as %0D or %0A, and the url as it was in a header
+of its own; an empty table gives no archives and an empty index; other columns are not stored.
 """
 
 from __future__ import annotations
@@ -24,22 +25,26 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Callable, Iterator
+from urllib.parse import unquote_plus
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_path, table, written
+from .common import keyed_join, shared_path, table, written
 
 MIN_REVISIT = 1000
-FILE_RECORDS = 2048
+#: Bytes from which a payload belongs to a class, and the records of a file of that class.
+CLASSES = ((0, 2048), (1 << 16, 32), (1 << 22, 1))
 #: Captures of a merged range, about.
 MERGE_ROWS = 50_000
 #: Payloads that recur, up to which their list is broadcast: 30 MB.
 LIST_ROWS = 300_000
 CRLF = "\r\n"
-#: Captures without a time of their own are dated from here, a second for each key.
+#: The time of captures that come without one.
 EPOCH = "2024-01-01T00:00:00Z"
+#: The header of a url that cannot stand in a header as it is.
+OWN_URI = "X-Percent-Encoded-URI"
 CAPTURE = "urlkey string, timestamp string, key bigint, url string, kind string, refers_to bigint, payload_bytes bigint, digest string, file string, offset bigint, length bigint"
 
 
@@ -54,31 +59,41 @@ def planned(pages: DataFrame, key: str, payload: str) -> DataFrame:
     """pages with payload_bytes, digest, kind and refers_to."""
     body = F.coalesce(F.col(payload).cast("binary"), F.lit(b""))
     sized = pages.withColumns({"_bytes": F.octet_length(body).cast("bigint"), "_digest": F.sha1(body)})
-    large = sized.where(F.col("_bytes") >= MIN_REVISIT)
-    last = large.groupBy("_digest", "_bytes").agg(F.max(key).alias("_last"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    small = last.limit(LIST_ROWS + 1).count() <= LIST_ROWS
-    both = sized.join(F.broadcast(last) if small else last, ["_digest", "_bytes"], "left")
+    large = F.col("_bytes") >= MIN_REVISIT
+    last = sized.where(large).groupBy("_digest", "_bytes").agg(F.max(key).alias("_last"), F.count("*").alias("_n")).where("_n > 1")
+    last = written(last.select(F.concat_ws("-", "_digest", "_bytes").alias("_on"), "_last", "_n"), "payloads")
+    # Payloads that can have no partner meet nothing, and not each other either.
+    on = F.when(large, F.concat_ws("-", "_digest", "_bytes")).otherwise(F.hex(F.xxhash64(key)))
+    both = keyed_join(sized.withColumn("_on", on), last, ["_on"], LIST_ROWS, "left", n="_n").drop("_on")
     revisit = F.col("_last").isNotNull() & ~F.col(key).eqNullSafe(F.col("_last"))
     return both.withColumns({"_kind": F.when(revisit, "revisit").otherwise("response"), "_refers": F.when(revisit, F.col("_last"))}).drop("_last")
 
 
-def write(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", payload: str = "html") -> None:
-    """Archives of pages in the folder path."""
-    df = planned(pages.select(F.col(key).cast("bigint").alias("key"), F.col(url).alias("url"), F.col(payload).alias("payload")), "key", "payload")
-    name = lambda k: F.concat(F.lit("<urn:page:"), k.cast("string"), F.lit(">"))
+def write(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", payload: str = "html", date: str | None = None) -> None:
+    """Archives of pages in folders of path. date: a column with the captures' times, in UTC."""
+    time = F.lit(None).cast("timestamp") if date is None else F.col(date).cast("timestamp")
+    pages = pages.select(F.col(key).cast("bigint").alias("key"), F.col(url).alias("url"), F.col(payload).alias("payload"), time.alias("time"))
+    df = planned(pages, "key", "payload")
     line = lambda head, v: F.when(v.isNotNull(), F.concat(F.lit(f"{head}: "), v, F.lit(CRLF))).otherwise(F.lit(""))
-    date = F.date_format(F.timestamp_seconds(F.unix_timestamp(F.lit(EPOCH).cast("timestamp")) + F.coalesce("key", F.lit(0))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    name = lambda k: F.concat(F.lit("<urn:page:"), k.cast("string"), F.lit(">"))
+    unnamed = F.concat(F.lit("<urn:uuid:"), F.regexp_replace(F.md5(F.concat_ws(" ", "url", "_digest")), "^(.{8})(.{4})(.{4})(.{4})", "$1-$2-$3-$4-"), F.lit(">"))
+    stamp = F.coalesce(F.date_format("time", "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit(EPOCH))
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.col("_bytes").cast("string"), F.lit(CRLF * 2))
     body = F.when(F.col("_kind") == "response", F.coalesce(F.col("payload").cast("string"), F.lit(""))).otherwise(F.lit(""))
-    escaped = F.url_encode("url")  # no line break of a url reaches a header
+    uri = F.replace(F.replace(F.col("url"), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
     head = F.concat(
-        F.lit(f"WARC/1.1{CRLF}WARC-Type: "), F.col("_kind"), F.lit(CRLF), line("WARC-Record-ID", name(F.col("key"))), line("WARC-Target-URI", escaped),
-        F.lit("WARC-Date: "), date, F.lit(f"{CRLF}WARC-Payload-Digest: sha1:"), F.col("_digest"), F.lit(f"{CRLF}Content-Type: application/http;msgtype=response{CRLF}"),
+        F.lit(f"WARC/1.1{CRLF}WARC-Type: "), F.col("_kind"), F.lit(CRLF), line("WARC-Record-ID", F.coalesce(name(F.col("key")), unnamed)), line("WARC-Target-URI", uri), line(OWN_URI, F.when(uri != F.col("url"), F.url_encode("url"))),
+        F.lit("WARC-Date: "), stamp, F.lit(f"{CRLF}WARC-Payload-Digest: sha1:"), F.col("_digest"), F.lit(f"{CRLF}Content-Type: application/http;msgtype=response{CRLF}"),
         line("WARC-Refers-To", name(F.col("_refers"))), F.when(F.col("_kind") == "revisit", f"WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest{CRLF}").otherwise(""),
         F.lit("Content-Length: "), (F.octet_length(http) + F.octet_length(body)).cast("string"), F.lit(CRLF * 2),
     )
-    out = df.select(F.concat(head, http, body).alias("value")).write.option("lineSep", CRLF * 2).option("maxRecordsPerFile", FILE_RECORDS)
-    out.text(path)
+    size = F.coalesce(F.octet_length("payload"), F.lit(0))
+    bounds = [*(low for low, _ in CLASSES), None]
+    within = [(size >= low) & (F.lit(True) if high is None else size < high) for low, high in zip(bounds, bounds[1:], strict=False)]
+    count = pages.agg(*[F.count(F.when(w, 1)) for w in within]).first()
+    for i, (_, records) in enumerate(CLASSES):
+        if count[i] or not i:  # the first one leaves a folder to read, even if it's empty
+            df.where(within[i]).select(F.concat(head, http, body).alias("value")).write.option("lineSep", CRLF * 2).option("maxRecordsPerFile", records).text(f"{path}/class={i}")
 
 
 def parse(data: memoryview) -> Iterator[tuple[int, int, dict[str, str], memoryview]]:
@@ -99,7 +114,7 @@ def parse(data: memoryview) -> Iterator[tuple[int, int, dict[str, str], memoryvi
 
 
 def _number(name: str | None) -> int | None:
-    return int(name[len("<urn:page:") : -1]) if name else None
+    return int(name[len("<urn:page:") : -1]) if name and name.startswith("<urn:page:") else None
 
 
 def _captures(file: str, data: bytes) -> list[tuple]:
@@ -111,7 +126,8 @@ def _captures(file: str, data: bytes) -> list[tuple]:
         if heads["WARC-Type"] == "response" and (len(body) != size or hashlib.sha1(body).hexdigest() != digest):
             raise ValueError(f"{file}, {offset}: the payload is not the one that was written")
         time = "".join(filter(str.isdigit, heads["WARC-Date"]))
-        out.append((None, time, _number(heads.get("WARC-Record-ID")), heads.get("WARC-Target-URI"), heads["WARC-Type"], _number(heads.get("WARC-Refers-To")), size, digest, file, offset, length))
+        url = unquote_plus(heads[OWN_URI]) if OWN_URI in heads else heads.get("WARC-Target-URI")
+        out.append((None, time, _number(heads.get("WARC-Record-ID")), url, heads["WARC-Type"], _number(heads.get("WARC-Refers-To")), size, digest, file, offset, length))
     return out
 
 
@@ -125,14 +141,14 @@ _ORDER = ("urlkey", "timestamp", "key", "file", "offset")
 
 def read_runs(spark: SparkSession, path: str) -> DataFrame:
     """The captures of the archives in path; those of a file together, in order."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(path).select("path", "content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for file, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 yield _batch(_captures(file, data.as_py()), _SCHEMA)
 
-    parsed = files.mapInArrow(run, CAPTURE).withColumn("url", F.try_url_decode("url")).withColumn("urlkey", url_key(F.col("url")))
+    parsed = files.mapInArrow(run, CAPTURE).withColumn("urlkey", url_key(F.col("url")))
     return parsed.sortWithinPartitions("file", *_ORDER[:3])
 
 
@@ -198,11 +214,11 @@ def merge(runs: DataFrame) -> DataFrame:
     return ranges.mapInArrow(run, CAPTURE).withColumn("position", F.monotonically_increasing_id())
 
 
-def archive_and_index(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str = "html", path: str | None = None) -> DataFrame:
+def archive_and_index(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str = "html", path: str | None = None, date: str | None = None) -> DataFrame:
     """Writes the archives (to path, or a folder of their own in the shared one), reads them back, and merges their index."""
     spark = pages.sparkSession
     path = path or shared_path(spark, "warc")
-    write(pages, path, key, url, payload)
+    write(pages, path, key, url, payload, date)
     return merge(written(read_runs(spark, path), "runs"))
 
 
