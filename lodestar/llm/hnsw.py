@@ -9,10 +9,13 @@ the order by angle is that by inner product.
 A node's level is geometric, from a hash. Layers are built from the top; a layer's nodes are inserted in blocks, those
 of the layer above first. Since a shard is bounded, a block's candidates among the nodes before it are found exactly, by
 matrix products; of these each node is tied to up to M (twice that in layer 0) that are nearer to it than to each other
-(the usual pruning), and back. A search goes down greedily and keeps EF nodes in layer 0, many queries in step. Scores
-are inner products of the original vectors in double precision.
+(the usual pruning), and back. A search goes down greedily and keeps EF nodes in layer 0, many queries in step. There it
+starts from the shard's LONGEST vectors as well and, where links don't lead from every node to every other one, from seeds
+in all parts. Scores are inner products of the original vectors in double precision.
 
-The query set is all rows whose id is a multiple of `every`; each is sent to each shard, in blocks. All rows are indexed.
+The query set is all rows whose id is a multiple of `every`. Queries are packed in blocks of QUERY_BYTES, each of which is
+broadcast in turn and searched in every shard, so no vector is shuffled to a shard. All rows are indexed. A shard holds
+SHARD_BYTES of vectors and links at most, whatever their length.
 
 Rows: vectors that are null, empty, zero, or hold a null, NaN or infinite component take no part, nor do rows without an
 id; vectors of different lengths are never compared; rows that repeat id and vector count once; with fewer candidates
@@ -36,8 +39,12 @@ from .common import table, written
 K, EVERY = 20, 20
 #: Links of a node, candidates for them, nodes that a search keeps.
 M, CANDIDATES, EF = 16, 64, 128
-#: Shards at least (a few per core), and nodes of a shard, about, beyond which there are more shards.
-SHARDS, SHARD_ROWS = 12, 32_768
+#: Shards at least (a few per core), and nodes and bytes of a shard, about, beyond which there are more shards.
+SHARDS, SHARD_ROWS, SHARD_BYTES = 12, 32_768, 64 << 20
+#: Bytes of the queries that are broadcast at once, and of a packed row of them.
+QUERY_BYTES, PACK_BYTES = 128 << 20, 4 << 20
+#: Longest vectors of a shard at which every search of the lowest layer starts too.
+LONGEST = 32
 #: Nodes inserted, and queries searched, at once.
 BLOCK = 256
 
@@ -46,7 +53,7 @@ def augmented(x: np.ndarray) -> np.ndarray:
     norm = np.linalg.norm(x, axis=1)
     scale = norm.max() or 1.0
     rest = np.sqrt(np.clip(1 - (norm / scale) ** 2, 0, None))
-    return np.concatenate([x / scale, rest[:, None]], axis=1).astype(np.float32)
+    return np.concatenate([x / scale, rest[:, None]], axis=1)
 
 
 def levels(n: int, m: int = M) -> np.ndarray:
@@ -123,27 +130,57 @@ class Graph:
 
     def __init__(self, x: np.ndarray, ids: list[list[int]], m: int = M):
         self.x, self.ids = x, ids
-        self.a = augmented(x.astype(np.float64))
+        self.least = np.array([i[0] for i in ids], np.int64)
+        # Links are told apart in doubles: short vectors beside a long one differ in the last component by very little.
+        a = augmented(x.astype(np.float64))
+        self.a = a.astype(np.float32)
         level = levels(len(x), m)
         self.layers: list[tuple[np.ndarray, np.ndarray]] = []  # from the top: nodes, their neighbours
         order = np.zeros(0, np.int64)
         for at in range(int(level.max()), -1, -1):
             order = np.concatenate([order, np.flatnonzero(level == at)])
-            links = _link(self.a, order, m if at else 2 * m)
+            links = _link(a, order, m if at else 2 * m)
             self.layers.append((order[:1], links))
+        # Inner products are largest with long vectors, to which a walk from short ones may not lead.
+        longest = np.argsort(-np.linalg.norm(x, axis=1), kind="stable")[:LONGEST]
+        self.seeds = np.union1d(longest, self._seeds(order[0], links))
+
+    @staticmethod
+    def _seeds(first: int, links: np.ndarray) -> np.ndarray:
+        """Where a search of the lowest layer is to start besides, if links don't lead from every node to every other one
+        (clusters that are far apart): nodes from which together all are reached, and their neighbours."""
+        n = len(links)
+        by, to = np.repeat(np.arange(n), links.shape[1])[links.ravel() >= 0], links.ravel()[links.ravel() >= 0]
+
+        def spread(seen: np.ndarray, node: int, by: np.ndarray, to: np.ndarray) -> np.ndarray:
+            seen[node], count = True, -1
+            while count != (count := int(seen.sum())):
+                seen[to[seen[by]]] = True
+            return seen
+
+        seen, starts = spread(np.zeros(n, bool), first, by, to), [first]
+        while not seen.all():
+            starts.append(int(seen.argmin()))
+            seen = spread(seen, starts[-1], by, to)
+        if len(starts) == 1 and spread(np.zeros(n, bool), first, to, by).all():
+            return np.zeros(0, np.int64)
+        return np.unique(np.concatenate([starts, links[starts][links[starts] >= 0]])).astype(np.int64)
 
     def search(self, q: np.ndarray, k: int, ef: int) -> tuple[np.ndarray, np.ndarray]:
-        """Node numbers (-1: none) and inner products of the k nearest found of each query, nearest first."""
+        """Node numbers (-1: none) and inner products of the k nearest found of each query, nearest first, of equally
+        near ones that with the smaller id."""
         q = q.astype(np.float64)
         unit = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
         unit = np.concatenate([unit, np.zeros((len(q), 1))], axis=1).astype(np.float32)
         entry = np.full((len(q), 1), self.layers[0][0][0], np.int64)
         for i, (_, links) in enumerate(self.layers):
             last = i == len(self.layers) - 1
-            entry = self._walk(unit, entry, links, max(ef, k) if last else 1)
+            if last:
+                entry = np.concatenate([entry, np.where(self.seeds == entry, -1, self.seeds)], axis=1)
+            entry = self._walk(unit, entry, links, max(ef, k, entry.shape[1]) if last else 1)
         score = np.einsum("rd,rcd->rc", q, self.x[entry].astype(np.float64))
         score[entry < 0] = -np.inf
-        order = np.argsort(-score, axis=1, kind="stable")[:, :k]
+        order = np.lexsort((self.least[entry], -score), axis=1)[:, :k]
         return np.take_along_axis(entry, order, 1), np.take_along_axis(score, order, 1)
 
     def _walk(self, q: np.ndarray, entry: np.ndarray, links: np.ndarray, ef: int, wide: int = 4) -> np.ndarray:
@@ -152,8 +189,9 @@ class Graph:
         best = np.full((len(q), ef), -1, np.int64)
         near = np.full((len(q), ef), -np.inf, np.float32)
         best[:, : entry.shape[1]] = entry
-        near[:, : entry.shape[1]] = np.einsum("rd,rcd->rc", q, self.a[entry])
+        near[:, : entry.shape[1]] = np.where(entry < 0, -np.inf, np.einsum("rd,rcd->rc", q, self.a[entry]))
         seen[rows, entry] = True
+        seen[:, -1] = False
         done = best < 0
         wide = min(wide, ef)
         while True:
@@ -202,43 +240,81 @@ def build(rows: DataFrame, shards: int, keep: int) -> DataFrame:
         g = Graph(_matrix(t.column("v")), t.column("ids").to_pylist())
         return pa.table({"dim": t.column("dim").slice(0, 1), "shard": t.column("shard").slice(0, 1), "graph": pa.array([pickle.dumps(g)], pa.binary())})
 
-    return nodes.groupBy("dim", "shard").applyInArrow(make, "dim int, shard int, graph binary")
+    # A task builds a shard or two, however little there is.
+    return nodes.repartition(2 * shards, "dim", "shard").groupBy("dim", "shard").applyInArrow(make, "dim int, shard int, graph binary")
 
 
-def neighbours(df: DataFrame, k: int = K, every: int = EVERY, key: str = "vec_id", vector: str = "embedding", ef: int = EF, shards: int = SHARDS, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def _packed(queries: DataFrame) -> DataFrame:
+    """(dim, n, ids, vectors): queries of one length in blocks of about PACK_BYTES, as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            dims = b.column(2).to_numpy()
+            for dim in np.unique(dims).tolist():
+                own = b.filter(pa.array(dims == dim))
+                step = max(1, PACK_BYTES // (8 * dim))
+                for at in range(0, own.num_rows, step):
+                    part = own.slice(at, step)
+                    ids, v = part.column(0).to_numpy(), np.ascontiguousarray(_matrix(part.column(1)))
+                    yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([len(ids)], pa.int32()), pa.array([ids.tobytes()], pa.binary()), pa.array([v.tobytes()], pa.binary())], names=["dim", "n", "ids", "vectors"])
+
+    return queries.mapInArrow(run, "dim int, n int, ids binary, vectors binary")
+
+
+def neighbours(
+    df: DataFrame, k: int = K, every: int = EVERY, key: str = "vec_id", vector: str = "embedding", ef: int = EF, shards: int = SHARDS, shard_rows: int = SHARD_ROWS, shard_bytes: int = SHARD_BYTES, query_bytes: int = QUERY_BYTES
+) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each row whose key is a multiple of `every`."""
+    spark = df.sparkSession
     rows = written(_valid(df, key, vector), "vectors")
-    shards = max(shards, math.ceil(rows.count() / shard_rows))
+    # doubles, floats and links of a node
+    of = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(12 * F.col("dim") + 4 + 16 * M), F.lit(0)).alias("bytes")).first()
+    shards = max(shards, math.ceil(of.n / shard_rows), math.ceil(of.bytes / shard_bytes))
     graphs = written(build(rows, shards, k + 1), "graphs")
-    queries = rows.where(F.pmod("id", F.lit(every)) == 0)
-    asked = queries.select("dim", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(None).cast("binary").alias("graph"), "id", "v")
-    both = graphs.select("dim", "shard", "graph", F.lit(None).cast("bigint").alias("id"), F.lit(None).cast("array<double>").alias("v")).unionByName(asked)
-    both = both.repartition(2 * shards, "dim", "shard").sortWithinPartitions("dim", "shard", F.col("graph").isNull())
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, graph = None, None
-        for b in batches:
-            place = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
-            start = 0
-            while start < len(place):
-                end = start + 1
-                if b.column(2)[start].is_valid:
-                    at, graph = place[start], pickle.loads(b.column(2)[start].as_py())  # noqa: S301  written by build
-                elif place[start] != at:  # a shard without nodes
-                    start = end
-                    continue
-                else:
-                    while end < len(place) and end - start < BLOCK and place[end] == at and not b.column(2)[end].is_valid:
-                        end += 1
-                    part = b.slice(start, end - start)
-                    yield _found(graph, part.column(3).to_numpy(), _matrix(part.column(4)), k, ef)
-                start = end
-
-    found = both.mapInArrow(search, "query_id bigint, print bigint, vec_id bigint, score double")
+    packed = written(_packed(rows.where(F.pmod("id", F.lit(every)) == 0).select("id", "v", "dim")), "queries")
+    found = _searched(spark, graphs, packed, k, ef, query_bytes)
     rank = F.row_number().over(Window.partitionBy("query_id", "print").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def _searched(spark: SparkSession, graphs: DataFrame, packed: DataFrame, k: int, ef: int, query_bytes: int) -> DataFrame:
+    """The nearest found of each query in each shard. The driver holds one block of queries, of query_bytes or a row of
+    packed, at a time."""
+    out, block, size = [], [], 0
+
+    def flush() -> None:
+        nonlocal block, size
+        shared = spark.sparkContext.broadcast(block)  # query_bytes
+        block, size = [], 0
+
+        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for dim, data in zip(b.column(0).to_pylist(), b.column(2), strict=True):
+                    mine = [p for p in shared.value if p[0] == dim]
+                    if not mine:
+                        continue
+                    graph = pickle.loads(data.as_py())  # noqa: S301  written by build
+                    for _, ids, vectors in mine:
+                        ids, q = np.frombuffer(ids, np.int64), np.frombuffer(vectors, np.float64).reshape(-1, dim)
+                        for at in range(0, len(ids), BLOCK):
+                            yield _found(graph, ids[at : at + BLOCK], q[at : at + BLOCK], k, ef)
+
+        found = graphs.select("dim", "shard", "graph").mapInArrow(search, "query_id bigint, print bigint, vec_id bigint, score double")
+        out.append(written(found, "found"))
+        shared.destroy()
+
+    for r in packed.toLocalIterator():
+        if block and size + len(r.vectors) > query_bytes:
+            flush()
+        block.append((r.dim, bytes(r.ids), bytes(r.vectors)))
+        size += len(r.vectors)
+    flush()
+    whole = out[0]
+    for o in out[1:]:
+        whole = whole.unionByName(o)
+    return whole
+
+
 def _found(graph: Graph, ids: np.ndarray, q: np.ndarray, k: int, ef: int) -> pa.RecordBatch:
     """Up to k rows of each query, its own id left out. print tells vectors apart that share an id."""
     nodes, scores = graph.search(q, k + 1, ef)
