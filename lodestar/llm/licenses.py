@@ -5,10 +5,12 @@ template position t at word p lies on the diagonal p - t: a passage copied from
 with words put in or left out for a few neighbouring ones. Votes are aggregated by diagonal, diagonals at most GAP
 apart are merged to spans, and the spans are verified in the text's words: a span's score is the share of the
 template's k-grams that it really has, and SIMILAR of them make a label. Base phrases are templates too: a diagonal
-with all of a phrase's k-grams is a place of it, once its words are verified.
+with all of a phrase's k-grams is a place of it, once its words are verified. A template of fewer than k words has
+k-grams of its own length.
 
-Only hashes leave the workers, and of them only those of templates are shuffled. The templates are a parameter of
-bounded size, which is checked before they are broadcast.
+Only hashes leave the workers, and of them only those of templates are shuffled. The templates' k-grams are broadcast up
+to SET_ROWS of them, and the texts that claim a label up to LIST_ROWS; beyond that both joins are shuffled, the k-grams'
+with the frequent ones split.
 
 Rows: a null text counts as empty: no words, no labels, score 0; texts of any length are scanned whole; rows that
 repeat doc_id and text get equal results; doc_id may be null; an empty table gives an empty one; other columns are not
@@ -25,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, table, written
+from .common import LOWER, UPPER, keyed_join, short, table, written
 
 K, GAP, SIMILAR = 3, 3, 0.7
 #: The phrases of the contract and their labels.
@@ -41,8 +43,8 @@ TEMPLATES = {
     "licensed under a creative commons attribution 4 0 international license": "cc-by",
     "all rights reserved": "reserved",
 }
-#: k-grams of all templates together, at most: 4 MB.
-MAX_GRAMS = 200_000
+#: k-grams of templates, of 24 bytes, and texts, of about 100, up to which a side is broadcast: 50 and 30 MB.
+SET_ROWS, LIST_ROWS = 2_000_000, 300_000
 #: Words hashed at once.
 CHUNK = 1 << 18
 
@@ -78,24 +80,22 @@ def grams(w: list[bytes], k: int = K) -> np.ndarray:
     return h
 
 
-def _rolling(df: DataFrame, kind: str, k: int) -> DataFrame:
-    """A row for each text (at -1, gram its number of words), and for each position."""
+def _rolling(df: DataFrame, kind: str, sizes: list[int]) -> DataFrame:
+    """A row for each text (size and at -1, gram its number of words), and for each position and size of gram."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for row in range(whole.num_rows):
                 b = whole.slice(row, 1)
                 w = words(b.column(2)[0].as_py())
-                h = grams(w, k).view(np.int64)
-                for a in range(0, len(h) + 1, CHUNK):
-                    part = h[a : a + CHUNK]
-                    at, gram = np.arange(a, a + len(part), dtype=np.int32), part
-                    if not a:
-                        at, gram = np.concatenate([np.array([-1], np.int32), at]), np.concatenate([np.array([len(w)], np.int64), gram])
-                    index = pa.array(np.zeros(len(at), np.int32))
-                    yield pa.RecordBatch.from_arrays([b.column(0).take(index), b.column(1).take(index), pa.array(at), pa.array(gram)], names=["key", "print", "at", "gram"])
+                for size, h in [(-1, np.array([len(w)], np.int64)), *((k, grams(w, k).view(np.int64)) for k in sizes)]:
+                    for a in range(0, len(h), CHUNK):
+                        part = h[a : a + CHUNK]
+                        at = np.arange(a, a + len(part), dtype=np.int32) if size > 0 else np.array([-1], np.int32)
+                        index = pa.array(np.zeros(len(at), np.int32))
+                        yield pa.RecordBatch.from_arrays([b.column(0).take(index), b.column(1).take(index), pa.array(np.full(len(at), size, np.int32)), pa.array(at), pa.array(part)], names=["key", "print", "size", "at", "gram"])
 
-    return df.mapInArrow(_gathered(run), f"key {kind}, print bigint, at int, gram bigint")
+    return df.mapInArrow(_gathered(run), f"key {kind}, print bigint, size int, at int, gram bigint")
 
 
 def _gathered(run, rows: int = 65_536):
@@ -115,33 +115,42 @@ def _gathered(run, rows: int = 65_536):
     return inner
 
 
-def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: dict[str, str] = TEMPLATES, key: str = "doc_id", text: str = "text", k: int = K, gap: int = GAP, similar: float = SIMILAR) -> DataFrame:
+def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: dict[str, str] = TEMPLATES, key: str = "doc_id", text: str = "text", k: int = K, gap: int = GAP, similar: float = SIMILAR, set_rows: int = SET_ROWS, list_rows: int = LIST_ROWS) -> DataFrame:
     """Per row of docs: key, n_words, places (start and label of each phrase) and spans (template label, score, first and
     last word of each verified span)."""
     spark = docs.sparkSession
     known = [(p.encode().split(), label, True) for p, label in phrases.items()] + [(t.encode().split(), label, False) for t, label in templates.items()]
-    if any(len(w) < k for w, _, _ in known) or sum(len(w) for w, _, _ in known) > MAX_GRAMS:
-        raise ValueError(f"templates need {k} words at least, and {MAX_GRAMS} together at most")
-    rows = [(h, t, i) for t, (w, _, _) in enumerate(known) for i, h in enumerate(grams(w, k).view(np.int64).tolist())]
-    posted = spark.createDataFrame(rows, "gram bigint, t int, i int")
+    known = [x for x in known if x[0]]
+    sizes = sorted({min(k, len(w)) for w, _, _ in known}) or [k]
+    posted = [(min(k, len(w)), h, t, i, len(w) - min(k, len(w)) + 1) for t, (w, _, _) in enumerate(known) for i, h in enumerate(grams(w, min(k, len(w))).view(np.int64).tolist())]
+    kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
+    posted = spark.createDataFrame(pa.table([pa.array(c, kind) for c, kind in zip(list(zip(*posted, strict=True)) or [()] * 5, kinds, strict=True)], names=["size", "gram", "t", "i", "need"]))
     docs = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("print"), F.col(text).alias("text"))
     kind = docs.schema["key"].dataType.simpleString()
 
-    hits = _rolling(docs, kind, k).join(F.broadcast(posted), "gram", "left").where("at = -1 or t is not null")  # MAX_GRAMS rows
-    hits = written(hits, "hits")
-    texts = hits.where("at = -1").select("key", "print", F.col("gram").alias("n_words"))
-    votes = hits.where("at >= 0").groupBy("key", "print", "t", (F.col("at") - F.col("i")).alias("diagonal")).agg(F.collect_set("i").alias("positions"))
+    rolled = _rolling(docs, kind, sizes)
+    if short(posted, set_rows):
+        hits = written(rolled.join(F.broadcast(posted), ["size", "gram"], "left").where("at = -1 or t is not null"), "hits")
+        texts, hits = hits.where("at = -1"), hits.where("at >= 0")
+    else:
+        rolled = written(rolled, "rolled")
+        texts, rolled = rolled.where("at = -1"), rolled.where("at >= 0")
+        lists = posted.groupBy("size", "gram").agg(F.collect_list(F.struct("t", "i", "need")).alias("posted"))  # the templates' own places
+        counts = rolled.groupBy("size", "gram").agg(F.count("*").alias("n"))
+        found = keyed_join(rolled, written(counts.join(lists, ["size", "gram"]), "posted"), ["size", "gram"], 0)
+        hits = written(found.select("key", "print", "at", F.explode("posted").alias("p")).select("key", "print", "at", "p.*"), "hits")
+    texts = texts.select("key", "print", F.col("gram").alias("n_words"))
+    votes = hits.groupBy("key", "print", "t", "need", (F.col("at") - F.col("i")).alias("diagonal")).agg(F.collect_set("i").alias("positions"))
     by = Window.partitionBy("key", "print", "t").orderBy("diagonal")
     fresh = (F.col("diagonal") - F.lag("diagonal").over(by) > gap).cast("int")
-    merged = votes.withColumn("span", F.sum(F.coalesce(fresh, F.lit(0))).over(by)).groupBy("key", "print", "t", "span")
+    merged = votes.withColumn("span", F.sum(F.coalesce(fresh, F.lit(0))).over(by)).groupBy("key", "print", "t", "need", "span")
     merged = merged.agg(F.min("diagonal").alias("low"), F.max("diagonal").alias("high"), F.size(F.array_distinct(F.flatten(F.collect_list("positions")))).alias("votes"))
-    size = F.create_map(*[F.lit(x) for t, (w, _, _) in enumerate(known) for x in (t, len(w) - k + 1)])[F.col("t")]
-    merged = merged.where(F.col("votes") >= size * similar)
-    claims = merged.groupBy("key", "print").agg(F.array_sort(F.collect_list(F.struct("t", "low", "high"))).alias("claims"))
-
+    merged = merged.where(F.col("votes") >= F.col("need") * similar)
+    claims = written(merged.groupBy("key", "print").agg(F.array_sort(F.collect_list(F.struct("t", "low", "high"))).alias("claims")), "claims")
+    few = short(claims, list_rows)
     claims = claims.select(F.col("key").alias("c_key"), F.col("print").alias("c_print"), "claims")
     same = F.col("key").eqNullSafe(F.col("c_key")) & (F.col("print") == F.col("c_print"))
-    held = docs.join(claims, same).select("key", "print", "text", "claims")
+    held = docs.join(F.broadcast(claims) if few else claims, same).select("key", "print", "text", "claims")
     out = "places array<struct<at:bigint,label:string>>, spans array<struct<label:string,score:double,first:bigint,last:bigint>>"
     kinds = [pa.list_(pa.struct([("at", pa.int64()), ("label", pa.string())])), pa.list_(pa.struct([("label", pa.string()), ("score", pa.float64()), ("first", pa.int64()), ("last", pa.int64())]))]
 
@@ -163,12 +172,13 @@ def _verified(w: list[bytes], claims: list[tuple[int, int, int]], known: list, k
     places, spans = [], []
     for t, low, high in claims:
         template, label, phrase = known[t]
-        n = len(template) - k + 1
-        has = [(d + i, i) for d in range(low, high + 1) for i in range(n) if 0 <= d + i and w[d + i : d + i + k] == template[i : i + k]]
+        size = min(k, len(template))
+        n = len(template) - size + 1
+        has = [(d + i, i) for d in range(low, high + 1) for i in range(n) if 0 <= d + i and w[d + i : d + i + size] == template[i : i + size]]
         if phrase:
             places += [{"at": d, "label": label} for d in range(max(low, 0), high + 1) if w[d : d + len(template)] == template]
         if len({i for _, i in has}) >= n * similar:
-            spans.append({"label": label, "score": len({i for _, i in has}) / n, "first": min(p for p, _ in has), "last": max(p for p, _ in has) + k - 1})
+            spans.append({"label": label, "score": len({i for _, i in has}) / n, "first": min(p for p, _ in has), "last": max(p for p, _ in has) + size - 1})
     return sorted(places, key=lambda x: (x["at"], x["label"])), spans
 
 
