@@ -7,8 +7,9 @@ counts per language are the set bits over its n-grams; each count c of n is corr
 positives, (c - f n) / (1 - f), and the largest decides, ties by the smaller name. The score is that corrected count's
 share of n.
 
-Training reads whole texts of at most SAMPLE documents of each language, those with the smallest hashes of their keys;
-prediction reads every whole text. What the driver gets is the table, of SLOTS masks at most.
+Training reads whole texts of at most SAMPLE documents of each language, those with the smallest hashes of their keys, and
+learns the LANGUAGES most frequent languages (of equally frequent ones the smaller name); prediction reads every whole
+text. What the driver gets is the names and the table, of SLOTS masks at most.
 
 Rows: null texts and texts without a letter are `und` with score 0; with no language learned every text is; a text with
 letters but no known n-gram gets the first language by name, with score 0; very long texts are counted in blocks; rows
@@ -26,10 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import about, extended, table, written
+from .common import extended, table, written
 
 #: Documents of a language that are learned from, at most; its share of them that an n-gram must stand in.
 SAMPLE, SHARE = 1000, 0.005
+#: Languages that are learned, at most: a column of anything else than languages doesn't make masks without bound.
+LANGUAGES = 1024
 #: From so many documents of a language on an n-gram must stand in two at least.
 FEW = 20
 SIZES, SLOTS, HASHES = (3, 4), 1 << 18, 3
@@ -127,19 +130,19 @@ def held_out(key: str):
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE, share: float = SHARE) -> Filters:
-    """Learns from text and lang of documents that are not held out, at most `sample` of each language."""
+def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE, share: float = SHARE, most: int = LANGUAGES) -> Filters:
+    """Learns from text and lang of documents that are not held out, at most `sample` of each of `most` languages."""
     mine = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
     mine = mine.where(~held_out("key") & F.col("key").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = {r.lang: r["n"] for r in mine.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    languages = sorted(sizes)
+    counts = mine.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most).collect()
+    languages = sorted(r.lang for r in counts)
     if not languages:
         return Filters([], np.zeros((SLOTS, 1), np.uint64))
     index = {name: i for i, name in enumerate(languages)}
     # Before ranking, each language is cut to about twice the sample, so that no task ranks more, whatever the input.
-    near = F.lit(False)
-    for name, n in sizes.items():
-        near = near | ((F.col("lang") == name) & about(2 * sample, n, "key"))
+    sizes = docs.sparkSession.createDataFrame([(r.lang, min(1.0, 2 * sample / r["n"]) if r["n"] > 2 * sample else 1.1) for r in counts], "lang string, part double")
+    mine = mine.join(F.broadcast(sizes), "lang")  # `most` rows
+    near = F.pmod(F.xxhash64("key"), F.lit(1 << 40)) / float(1 << 40) < F.col("part")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("key"), "key", "print"))
     few = mine.where(near).select("lang", "key", F.xxhash64("text").alias("print")).distinct()
     chosen = written(few.withColumn("rank", rank).where(F.col("rank") <= sample).drop("rank"), "sample")
@@ -159,8 +162,8 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
             yield pa.RecordBatch.from_arrays([pa.array(np.tile(b.column(0).to_numpy(), HASHES)), pa.array(np.concatenate(at))], names=["l", "slot"])
 
     docs_of = chosen.groupBy("lang").agg(F.count("*").alias("docs"))
-    least = F.create_map(*[x for name, i in index.items() for x in (F.lit(name), F.lit(i))])[F.col("lang")]
-    docs_of = docs_of.select(least.alias("l"), F.greatest(F.ceil(F.col("docs") * share), F.when(F.col("docs") < FEW, 1).otherwise(2)).alias("least"))
+    numbers = docs.sparkSession.createDataFrame(list(index.items()), "lang string, l int")
+    docs_of = docs_of.join(F.broadcast(numbers), "lang").select("l", F.greatest(F.ceil(F.col("docs") * share), F.when(F.col("docs") < FEW, 1).otherwise(2)).alias("least"))
     common = texts.mapInArrow(seen, "l int, h bigint").groupBy("l", "h").agg(F.count("*").alias("n"))
     common = common.join(F.broadcast(docs_of), "l").where("n >= least").select("l", "h")  # a row for each language
     word = F.floor(F.col("l") / 64).cast("int")
