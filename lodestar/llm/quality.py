@@ -9,8 +9,8 @@ sigmoid(w x - t_j). The expected grade is the sum of these, and the last of them
 what selection uses.
 
 Grades of the tables here: 0 toxic, 1 not toxic but of low quality, 2 neither. Fitting takes at most SAMPLE labelled
-documents, those with the smallest hashes of their keys, gathers their hashed features on the driver (a bounded number
-of them, whole texts), and runs full-batch gradient steps. Every whole text is scored.
+documents, those with the smallest hashes of their keys, as long as these have FEATURES hashed features in all; gathers
+these on the driver (whole texts), and runs full-batch gradient steps. Every whole text is scored.
 
 Rows: null and empty texts have form marks only and are scored; labels with a null key or null grades are not learned
 from; of labels that repeat a key the lowest grade counts; without labels every text has expected grade null and is
@@ -29,11 +29,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import about, extended, table
+from .common import about, extended, table, written
 
 DIMENSIONS = 1 << 18
 #: Labelled documents that are learned from, at most.
 SAMPLE = 6000
+#: Features of them that the driver gathers, at most: 120 MB.
+FEATURES = 30_000_000
 STEPS, RATE, RIDGE = 1000, 0.1, 1e-3
 DF, Z = 2, 4.0
 #: Documents with at least this probability of the best grade are kept.
@@ -54,7 +56,7 @@ class _Buckets(dict):
         word, shape = token.strip(EDGES).lower(), token
         for pattern, by in _RUNS:
             shape = pattern.sub(by, shape)
-        names = [f"w{word}", *(f"b{word[:n]}" for n in (4, 5) if len(word) > n), f"s{shape[:12]}"]
+        names = [f"w{word}", *(f"b{word[:n]}" for n in (4, 5) if len(word) > n), f"s{shape}"]
         made = tuple(map(_bucket, names))
         if len(self) >= 400_000:
             self.clear()
@@ -118,6 +120,19 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
+def likelihood(score: np.ndarray, cuts: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """The weighted negative log-likelihood of grades y (from 0), and its slopes by each row's score and by the cuts."""
+    n, m = len(y), len(cuts)
+    upper = np.concatenate([np.ones((n, 1)), _sigmoid(score[:, None] - cuts), np.zeros((n, 1))], axis=1)
+    p = np.maximum(upper[np.arange(n), y] - upper[np.arange(n), y + 1], 1e-12)
+    slope = upper * (1 - upper)  # of each tail; 0 at both ends
+    ds = -weight * (slope[np.arange(n), y] - slope[np.arange(n), y + 1]) / p
+    dc = np.zeros(m)
+    np.add.at(dc, y[y > 0] - 1, (weight * slope[np.arange(n), y] / p)[y > 0])
+    np.add.at(dc, y[y < m], (-weight * slope[np.arange(n), y + 1] / p)[y < m])
+    return float(-(weight * np.log(p)).sum()), ds, dc
+
+
 def fit_arrays(rows: list[np.ndarray], grades: np.ndarray, steps: int = STEPS, rate: float = RATE, ridge: float = RIDGE) -> CumulativeLink:
     """Maximum likelihood with a ridge, by Adagrad steps on all rows. Thresholds are kept
     in order after each step. Every row has the form's marks, so none is empty."""
@@ -137,14 +152,7 @@ def fit_arrays(rows: list[np.ndarray], grades: np.ndarray, steps: int = STEPS, r
     weight = np.array([1 / max(1, (y == g).sum()) ** 0.5 for g in range(m + 1)])[y]  # a grade weighs as the root of its rows
     weight *= n / weight.sum()
     for _ in range(steps):
-        s = np.add.reduceat(w[at], start)
-        upper = np.concatenate([np.ones((n, 1)), _sigmoid(s[:, None] - cuts), np.zeros((n, 1))], axis=1)
-        p = np.maximum(upper[np.arange(n), y] - upper[np.arange(n), y + 1], 1e-12)
-        slope = upper * (1 - upper)  # of each tail; 0 at both ends
-        ds = -weight * (slope[np.arange(n), y] - slope[np.arange(n), y + 1]) / p
-        dc = np.zeros(m)
-        np.add.at(dc, y[y > 0] - 1, (weight * slope[np.arange(n), y] / p)[y > 0])
-        np.add.at(dc, y[y < m], (-weight * slope[np.arange(n), y + 1] / p)[y < m])
+        _, ds, dc = likelihood(np.add.reduceat(w[at], start), cuts, y, weight)
         dw = np.bincount(at, weights=ds[owner], minlength=len(used)) / n + ridge * w
         dc /= n
         gw += dw**2
@@ -156,8 +164,9 @@ def fit_arrays(rows: list[np.ndarray], grades: np.ndarray, steps: int = STEPS, r
     return CumulativeLink(weights, cuts, least)
 
 
-def fit(docs: DataFrame, grades: DataFrame, key: str = "doc_id", text: str = "text", grade: str = "grade", sample: int = SAMPLE) -> CumulativeLink | None:
-    """grades: key and grade (integer)."""
+def fit(docs: DataFrame, grades: DataFrame, key: str = "doc_id", text: str = "text", grade: str = "grade", sample: int = SAMPLE, most: int = FEATURES) -> CumulativeLink | None:
+    """grades: key and grade (integer). most: features that are gathered; the documents that would pass it, by the hash of
+    the key, are left out, but for the first one."""
     rated = grades.select(F.col(key).alias("key"), F.col(grade).cast("int").alias("grade")).dropna().groupBy("key").agg(F.min("grade").alias("grade"))
     # Cut to about twice the sample first, so that the last ranking sees no more, whatever the input.
     chosen = rated.where(about(2 * sample, rated.count(), "key")).orderBy(F.xxhash64("key"), "key").limit(sample)
@@ -165,11 +174,20 @@ def fit(docs: DataFrame, grades: DataFrame, key: str = "doc_id", text: str = "te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([features(t).tolist() for t in b.column(1).to_pylist()], pa.list_(pa.int32()))], names=["grade", "features"])
-
-    t = texts.select("grade", "text").mapInArrow(run, "grade int, features array<int>").toArrow()  # of `sample` documents
-    if not t.num_rows:
+            found = [features(t).tolist() for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(list(map(len, found)), pa.int32()), pa.array(found, pa.list_(pa.int32()))], names=["place", "grade", "size", "features"])
+
+    made = written(texts.select(F.xxhash64("key").alias("place"), "grade", "text").mapInArrow(run, "place bigint, grade int, size int, features array<int>"), "features")
+    sizes = sorted(map(tuple, made.select("place", "size").collect()))  # of `sample` documents
+    total, last = 0, None
+    for place, size in sizes:
+        total += size
+        if total > most and last is not None:
+            break
+        last = place
+    if last is None:
         return None
+    t = made.where(F.col("place") <= last).orderBy("place", "grade").select("grade", "features").toArrow()
     lists = t.column("features").combine_chunks()
     at = lists.flatten().to_numpy().astype(np.int64)
     rows = np.split(at, np.cumsum(lists.value_lengths().to_numpy())[:-1])
