@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestar.llm import bpe, decontaminate, langid, line_dedup, simhash
-from lodestar.llm.common import free_name, ship, table, written
+from lodestar.llm.common import free_name, keyed_join, ship, short, table, written
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,35 +22,46 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return judged.where((F.col(lang) != langid.UNKNOWN) & (F.col(score) >= langid.MIN_SCORE)).select(*docs.columns)
 
 
-#: Fixed values of the line-dedup stage: documents in which a long line recurs, and share of the documents in which one of
-#: under line_dedup.MIN_TOKENS tokens does.
-LONG_LINE_DOCS, SHORT_LINE_SHARE = 2, 0.002
+#: Fixed value of the line-dedup stage: a document with this share of its words in passages that stand elsewhere is left to
+#: near-dedup, which sees a copy whole and not what would be left of it.
+COPY_SHARE = 0.4
 
 
 def no_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops lines of recurring templates, long lines that stand in two documents, and documents of which no word is left."""
-    n_lines, n_dropped = free_name(docs, "n_lines"), free_name(docs, "n_dropped")
-    out = line_dedup.dedup_lines(docs, n_lines=n_lines, n_dropped=n_dropped, long_docs=LONG_LINE_DOCS, short_share=SHORT_LINE_SHARE)
+    """Drops lines of recurring templates, passages that stand in two documents, and documents of which no word is left.
+    Copies of documents keep their passages."""
+    n_lines, n_dropped, n_cut = (free_name(docs, c) for c in ("n_lines", "n_dropped", "n_cut"))
+    out = line_dedup.dedup_lines(docs, whole=COPY_SHARE, n_lines=n_lines, n_dropped=n_dropped, n_cut=n_cut)
     return out.where((F.col(n_dropped) == 0) | F.col("text").rlike(r"[^\x09-\x0D\x20]")).select(*docs.columns)
 
 
 #: Fixed values of the near-dedup stage: words of a shingle, and the least Jaccard similarity of near copies.
 NEAR_WORDS, NEAR_LEAST = 5, 0.8
+#: Rows of 24 bytes up to which the list of documents that go is broadcast.
+MARK_ROWS = 1_000_000
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with a component's smallest doc_id (null last); of texts that share that id, the one with the
     smallest hash, and of equal rows any one. Near copies are what op4 links and texts of which NEAR_LEAST of the shingles of
-    NEAR_WORDS words are shared. Kept texts are shuffled once, those of repeated rows twice."""
+    NEAR_WORDS words are shared. Texts are shuffled only if more than MARK_ROWS of them go."""
     ship(spark)
     rows = simhash.near_duplicates(docs, words=NEAR_WORDS, least=NEAR_LEAST).groupBy("root", F.col("key").isNull().alias("no_key"), "key", "print").agg(F.count("*").alias("n"))
-    kept = rows.groupBy("root").agg(F.min(F.struct("no_key", "key", "print", "n")).alias("least"))
-    name = {c: free_name(docs, f"kept_{c}") for c in ("key", "print", "n")}
-    kept = kept.select(*[F.col(f"least.{c}").alias(x) for c, x in name.items()])
-    same = docs["doc_id"].eqNullSafe(F.col(name["key"])) & (F.xxhash64(docs["text"]) == F.col(name["print"]))
-    found = docs.join(kept, same)
-    rank = F.row_number().over(Window.partitionBy("doc_id", name["print"]).orderBy(F.xxhash64(*docs.columns)))
-    single, several = found.where(F.col(name["n"]) == 1), found.where(F.col(name["n"]) > 1).withColumn(name["n"], rank).where(F.col(name["n"]) == 1)
+    rows = written(rows, "members")
+    kept = rows.groupBy("root").agg(F.min(F.struct("no_key", "key", "print")).alias("least"), F.max("n").alias("most"), F.count("*").alias("members")).where("most > 1 or members > 1")
+    kept = written(kept, "kept")
+    # What changes: rows that go (0), and rows of which one stays (1).
+    marks = keyed_join(rows, kept, ["root"], MARK_ROWS, n="members").select("key", "print", "n", (F.col("print") == F.col("least.print")) & F.col("key").eqNullSafe(F.col("least.key")))
+    marks = marks.toDF("key", "print", "n", "stays").where("not stays or n > 1")
+    mark, key, text = free_name(docs, "mark"), free_name(docs, "mark_key"), free_name(docs, "mark_print")
+    marks = written(marks.select(F.col("key").alias(key), F.col("print").alias(text), F.col("stays").cast("int").alias(mark)), "marks")
+    same = docs["doc_id"].eqNullSafe(F.col(key)) & (F.xxhash64(docs["text"]) == F.col(text))
+    found = docs.join(F.broadcast(marks) if short(marks, MARK_ROWS) else marks, same, "left")
+    single = found.where(F.col(mark).isNull())
+    if not marks.where(F.col(mark) == 1).limit(1).count():
+        return single.select(*docs.columns)
+    rank = F.row_number().over(Window.partitionBy("doc_id", text).orderBy(F.xxhash64(*docs.columns)))
+    several = found.where(F.col(mark) == 1).withColumn(mark, rank).where(F.col(mark) == 1)
     return single.unionByName(several).select(*docs.columns)
 
 

@@ -1,11 +1,14 @@
 """Pairs of texts whose sets of word shingles are similar, by banded minhashes with exact verification.
 
-A set's minhashes under BANDS x ROWS hash functions are folded band by band; sets that agree on a band are candidates,
-and each candidate pair's Jaccard similarity is computed from the sets themselves. A pair of similarity s agrees on no
-band with a probability of (1 - s^ROWS)^BANDS: 5e-8 at 0.8, less above. Nothing that is linked falls short of `least`.
+A set's BANDS x ROWS minhashes are folded band by band; sets that agree on a band are candidates, and each candidate
+pair's Jaccard similarity is computed from the sets themselves. A pair of similarity s agrees on no band with a
+probability of (1 - s^ROWS)^BANDS: 5e-8 at 0.8, less above. Nothing that is linked falls short of `least`. Sets of up to
+SMALL shingles are hashed by as many functions; larger ones are dealt into as many bins by one, of which each gives its
+smallest; sets between the two sizes, that may be similar to either kind, have both.
 
-Candidates of a band's value are tied to its smallest set first; what that leaves in different components is compared
-pair by pair, so that a large group of near copies gives a star and not its pairs.
+Candidates of a band's value are compared with one of them, its hub; what that leaves in different components is compared
+with other hubs, until fewer pairs are left than candidates (or HUBS rounds are over), which are compared pair by pair. So
+a large group of near copies gives a few stars and not its pairs.
 
 Rows: a text without words has no set and is in no pair; a text of fewer than `size` words is one shingle; texts of any
 length count whole, in blocks.
@@ -13,22 +16,27 @@ length count whole, in blocks.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import graph
-from .common import written
+from .common import keyed_join, short, written
 
 BANDS, ROWS = 32, 4
-#: Shingles that are hashed by all functions at once.
-CHUNK = 4096
-#: Rows of 8 bytes up to which a list of texts is broadcast.
-LIST_ROWS = 300_000
+#: Shingles up to which every function hashes all of them.
+SMALL = 512
+#: Rounds of hubs.
+HUBS = 6
+#: Rows of 16 bytes, of bands or texts, up to which a list is broadcast.
+LIST_ROWS = 1_000_000
+#: Pairs beyond which a set's comparisons are dealt over several tasks.
+HOT_PAIRS = 2000
 
 
 def shingles(text: str | None, size: int) -> np.ndarray:
@@ -36,8 +44,7 @@ def shingles(text: str | None, size: int) -> np.ndarray:
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    digest = xxhash.xxh64_intdigest
-    h = np.fromiter(map(digest, words), np.uint64, len(words))
+    h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
     n = max(1, len(h) - size + 1)
     out = np.full(n, min(len(h), size), np.uint64)
     for i in range(min(len(h), size)):
@@ -50,86 +57,115 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+@lru_cache(maxsize=1)
 def _functions() -> tuple[np.ndarray, np.ndarray]:
     r = np.random.default_rng(42)
     return r.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1), r.integers(0, 1 << 63, BANDS * ROWS, np.uint64)
 
 
-def bands(hashes: np.ndarray) -> np.ndarray:
-    """One value for each band."""
-    times, plus = _functions()
-    least = np.full(BANDS * ROWS, (1 << 64) - 1, np.uint64)
-    for at in range(0, len(hashes), CHUNK):
-        part = hashes[at : at + CHUNK]
-        for i in range(BANDS * ROWS):
-            x = part * times[i] + plus[i]
-            least[i] = min(least[i], (x ^ (x >> np.uint64(32))).min())
-    out = np.arange(BANDS, dtype=np.uint64)
+def _folded(least: np.ndarray, kind: int) -> np.ndarray:
+    out = np.arange(BANDS, dtype=np.uint64) + np.uint64(BANDS * kind)
     for column in least.reshape(BANDS, ROWS).T:
         out = _mixed(out * np.uint64(0x9E3779B97F4A7C15) + column)
     return out
 
 
-def _sets(df: DataFrame, size: int) -> DataFrame:
-    """df: print, text. (print, id, bands): a hash of the text's set and the set's bands."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                b = whole.slice(at, 512)
-                rows = [(p, h) for p, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if len(h := shingles(t, size))]
-                ids = [np.uint64(xxhash.xxh64_intdigest(h.tobytes())).view(np.int64) for _, h in rows]
-                values = pa.array([bands(h).view(np.int64) for _, h in rows], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.int64()), pa.array(ids, pa.int64()), values], names=["print", "id", "bands"])
-
-    return df.mapInArrow(run, "print bigint, id bigint, bands array<bigint>")
-
-
-def _hashes(df: DataFrame, size: int) -> DataFrame:
-    """df: id, text. (id, hashes): the set itself."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def bands(hashes: np.ndarray, least: float = 0.8) -> np.ndarray:
+    """The values of a set's bands, one or two for each band. hashes: sorted."""
+    out = []
+    if len(hashes) <= math.ceil(SMALL / least):
+        times, plus = _functions()
+        x = hashes[:, None] * times + plus
+        out.append(_folded((x ^ (x >> np.uint64(32))).min(axis=0), 0))
+    if len(hashes) > SMALL:
+        bins = np.arange(BANDS * ROWS, dtype=np.uint64)
+        bound = bins * np.uint64((1 << 64) // (BANDS * ROWS))
+        start = np.searchsorted(hashes, bound)
+        end = np.append(start[1:], len(hashes))
+        out.append(_folded(np.where(start < end, hashes[np.minimum(start, len(hashes) - 1)], bins), 1))
+    return np.concatenate(out)
+
+
+def columns(texts: list[str | None], size: int, least: float) -> tuple[list[pa.Array], list[str]]:
+    """id (a hash of the set; null without words) and bands of each text."""
+    ids: list[int | None] = []
+    values: list[np.ndarray | None] = []
+    for t in texts:
+        h = shingles(t, size)
+        ids.append(int(np.uint64(xxhash.xxh64_intdigest(h.tobytes())).view(np.int64)) if len(h) else None)
+        values.append(bands(h, least).view(np.int64) if len(h) else None)
+    return [pa.array(ids, pa.int64()), pa.array(values, pa.list_(pa.int64()))], ["id", "bands"]
+
+
+def _sets(texts: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """(id, hashes): the sets themselves. ids: id, and key and print of a text that has it."""
+
+    def run(batches):
         for whole in batches:
             for at in range(0, whole.num_rows, 64):
                 b = whole.slice(at, 64)
                 values = pa.array([shingles(t, size).view(np.int64) for t in b.column(1).to_pylist()], pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([b.column(0), values], names=["id", "hashes"])
 
-    return df.mapInArrow(run, "id bigint, hashes array<bigint>")
-
-
-def _verified(pairs: DataFrame, texts: DataFrame, sets: DataFrame, size: int, least: float) -> DataFrame:
-    """The pairs (a, b) of ids whose sets are as similar as `least`."""
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    one = written(sets.join(ids, "id", "left_semi").groupBy("id").agg(F.min("print").alias("print")), "candidates")
-    small = F.broadcast(one) if one.limit(LIST_ROWS + 1).count() <= LIST_ROWS else one
-    found = texts.join(small, "print").select("id", "text")
-    # Equal texts share a print; any one of them gives the set.
-    hashes = written(_hashes(found, size).dropDuplicates(["id"]), "sets")
-    both = pairs.join(hashes.select(F.col("id").alias("a"), F.col("hashes").alias("x")), "a").join(hashes.select(F.col("id").alias("b"), F.col("hashes").alias("y")), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    return both.where(shared >= F.lit(least) * (F.size("x") + F.size("y") - shared)).select("a", "b")
-
-
-def links(texts: DataFrame, roots: DataFrame, size: int, least: float) -> DataFrame:
-    """texts: print, text. roots: print, root (long) of what is linked already. Edges (a, b) of roots that connect what the
-    pairs of texts with a similarity of `least` or more connect beyond that."""
-    sets = written(_sets(texts, size).dropDuplicates(["print"]), "bands")
-    linked = sets.join(roots, "print").select("id", "root", "bands")
-    first = linked.groupBy("id").agg(F.min("root").alias("first"), F.first("bands").alias("bands"))
-    first = written(first, "ids")
-    same = linked.select("id", "root").join(first.select("id", "first"), "id").where("root <> first").select(F.col("root").alias("a"), F.col("first").alias("b"))
-    posted = first.select("id", F.col("first").alias("root"), F.explode("bands").alias("band"))
-    open_ = posted.groupBy("band").agg(F.min(F.struct("root", "id")).alias("least"), F.max("root").alias("most")).where("least.root <> most")
-    posted = written(posted.join(open_.select("band", F.col("least.id").alias("least")), "band"), "candidates")
-    star = written(posted.where("id <> least").select(F.least("id", "least").alias("a"), F.greatest("id", "least").alias("b")).distinct(), "pairs")
-    name = lambda e: e.join(first.select(F.col("id").alias("a"), F.col("first").alias("x")), "a").join(first.select(F.col("id").alias("b"), F.col("first").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    edges = written(same.unionByName(name(_verified(star, texts, sets, size, least))).distinct(), "edges")
-    # What the stars leave apart: all pairs of different components.
-    groups = graph.components(edges).select(F.col("node").alias("root"), F.col("root").alias("to"))
-    left = posted.join(groups, "root", "left").select("band", "id", F.coalesce("to", "root").alias("root"))
-    apart = left.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band")
-    left = written(left.join(apart, "band"), "candidates")
-    pairs = left.alias("l").join(left.alias("r"), "band").where("l.id < r.id and l.root <> r.root").select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct()
-    pairs = written(pairs.join(star, ["a", "b"], "left_anti"), "pairs")
-    return edges.unionByName(name(_verified(pairs, texts, sets, size, least)))
+    few = short(ids, LIST_ROWS)
+    ids = ids.withColumnsRenamed({"key": "_key", "print": "_print"})
+    found = texts.join(F.broadcast(ids) if few else ids, (F.col("print") == F.col("_print")) & F.col("key").eqNullSafe(F.col("_key"))).select("id", "text")
+    # Rows may repeat key and text: any one of them gives the set.
+    return written(found.mapInArrow(run, "id bigint, hashes array<bigint>").dropDuplicates(["id"]), "sets")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b, x, y) of ids whose sets are as similar as `least`."""
+    for side, name in (("a", "_x"), ("b", "_y")):
+        n = pairs.groupBy(side).agg(F.count("*").alias("_n"))
+        own = written(n.join(sets.select(F.col("id").alias(side), F.col("hashes").alias(name)), side), "sides")
+        pairs = keyed_join(pairs, own, [side], 0, n="_n", hot_rows=HOT_PAIRS)
+    shared = F.size(F.array_intersect("_x", "_y"))
+    return pairs.where(shared >= F.lit(least) * (F.size("_x") + F.size("_y") - shared)).drop("_x", "_y")
+
+
+def links(texts: DataFrame, rows: DataFrame, groups: DataFrame, size: int, least: float) -> DataFrame:
+    """texts: key, print, text. rows: key, print, fp, id, bands. groups: node and root, of fingerprints that are linked
+    already. Edges (a, b) of roots that connect what the pairs of texts with a similarity of `least` or more connect
+    beyond that."""
+    one = F.min(F.struct(F.col("key").isNull().alias("no_key"), "key", "print"))
+    kinds = rows.where("id is not null").groupBy("id", "fp").agg(one.alias("one"), F.first("bands").alias("bands"))
+    kinds = kinds.join(groups.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    kinds = written(kinds, "kinds")
+    first = written(kinds.groupBy("id").agg(F.min("root").alias("root"), F.max("root").alias("last"), F.min("one").alias("one"), F.first("bands").alias("bands")), "ids")
+    apart = first.where("root <> last").select("id", F.col("root").alias("b"))
+    edges = written(kinds.select("id", F.col("root").alias("a")).join(apart, "id").where("a <> b").select("a", "b").distinct(), "edges")
+
+    posted = first.select("id", "root", F.explode("bands").alias("band"))
+    open_ = posted.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low <> high")
+    posted = written(keyed_join(posted, written(open_.select("band", "n"), "open"), ["band"], LIST_ROWS), "candidates")
+    wanted = posted.select("id").distinct().join(first, "id").select("id", F.col("one.key").alias("key"), F.col("one.print").alias("print"))
+    sets = _sets(texts, written(wanted, "wanted"), size)
+
+    tested = None
+    for turn in range(HUBS + 1):
+        now = graph.components(edges).select(F.col("node").alias("root"), F.col("root").alias("to"))
+        posted = posted.join(now, "root", "left").select("band", "id", F.coalesce("to", "root").alias("root"))
+        each = posted.groupBy("band", "root").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id")).alias("least"))
+        open_ = each.groupBy("band").agg(F.count("*").alias("kinds"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"), F.min(F.struct("least.h", "least.id", "root")).alias("hub")).where("kinds > 1")
+        open_ = written(open_.select("band", "n", ((F.col("n") * F.col("n") - F.col("own")) / 2).alias("pairs"), F.col("hub.id").alias("hub"), F.col("hub.root").alias("hub_root")), "open")
+        count = open_.agg(F.sum("pairs").alias("pairs"), F.sum("n").alias("n")).first()
+        if not count.n:
+            break
+        posted = written(keyed_join(posted, open_, ["band"], LIST_ROWS), "candidates")
+        last = turn == HUBS or count.pairs <= 2 * count.n
+        if last:
+            l, r = posted.alias("l"), posted.alias("r")
+            pairs = l.join(r, "band").where("l.id < r.id and l.root <> r.root").select(F.col("l.id").alias("a"), F.col("r.id").alias("b"), F.col("l.root").alias("x"), F.col("r.root").alias("y"))
+        else:
+            star = posted.where("root <> hub_root")
+            pairs = star.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"), F.least("root", "hub_root").alias("x"), F.greatest("root", "hub_root").alias("y"))
+        pairs = pairs.dropDuplicates(["a", "b"])
+        pairs = written(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        tested = pairs.select("a", "b") if tested is None else tested.unionByName(pairs.select("a", "b"))
+        more = _verified(pairs, sets, least).select(F.col("x").alias("a"), F.col("y").alias("b"))
+        edges = written(edges.unionByName(more).distinct(), "edges")
+        posted = posted.select("band", "id", "root")
+        if last:
+            break
+    return edges

@@ -26,10 +26,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import graph, jaccard
-from .common import table, written
+from .common import keyed_join, table, written
 
 #: Longest posting list that one task compares in memory (512 KB of fingerprints, about a second).
 LIST_ROWS = 32_768
+#: Rows of some 30 bytes up to which posting lists' sizes, and fingerprints' components, are broadcast: 10 MB.
+POST_ROWS = 300_000
 #: Fingerprints of a list that are compared with the list at once.
 BLOCK = 512
 #: Shingles whose bits are tallied at once.
@@ -62,19 +64,22 @@ def fingerprint(text: str | None, size: int = 3) -> int:
     return int(np.packbits(counts * 2 > len(last), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3) -> DataFrame:
-    """(key, fp, print): the fingerprint of each row as a long with the same bits, and a hash of its text."""
+def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3, words: int | None = None, least: float = 0.8) -> DataFrame:
+    """(key, fp, print): the fingerprint of each row as a long with the same bits, and a hash of its text. words: also id
+    and bands, of the set of its shingles of so many words (see jaccard)."""
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 b = whole.slice(at, 512)
-                fps = np.fromiter((fingerprint(t, size) for t in b.column(1).to_pylist()), np.uint64, b.num_rows)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64)), b.column(2)], names=["key", "fp", "print"])
+                texts = b.column(1).to_pylist()
+                fps = np.fromiter((fingerprint(t, size) for t in texts), np.uint64, b.num_rows)
+                more = jaccard.columns(texts, words, least) if words else ([], [])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64)), b.column(2), *more[0]], names=["key", "fp", "print", *more[1]])
 
     df = df.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("print"))
-    return df.mapInArrow(run, f"key {kind}, fp bigint, print bigint")
+    return df.mapInArrow(run, f"key {kind}, fp bigint, print bigint" + (", id bigint, bands array<bigint>" if words else ""))
 
 
 def _bytes_at(positions: tuple[int, ...]) -> Column:
@@ -155,9 +160,14 @@ def _blanked(lists: DataFrame, distance: int) -> DataFrame:
         rows += [(sum(1 << p for p in five), ~sum(1 << b for b in blank)) for blank in combinations(bits, distance)]
     masks = lists.sparkSession.createDataFrame([(slot, m if m >= -(1 << 63) else m + (1 << 64)) for slot, m in rows], "slot int, mask bigint")
     # 56 x 2024 masks, whatever the input
-    under = lists.join(F.broadcast(masks), "slot").select("slot", "mask", F.col("fp").bitwiseAND(F.col("mask")).alias("rest"), "fp")
+    under = written(lists.join(F.broadcast(masks), "slot").select("slot", "mask", F.col("fp").bitwiseAND(F.col("mask")).alias("rest"), "fp"), "blanked")
     star = under.groupBy("slot", "mask", "rest").agg(F.min("fp").alias("b"), F.count("*").alias("n")).where("n > 1")
-    return under.join(star.drop("n"), ["slot", "mask", "rest"]).where("fp <> b").select(F.col("fp").alias("a"), "b").distinct()
+    return keyed_join(under, written(star, "stars"), ["slot", "mask", "rest"], POST_ROWS).where("fp <> b").select(F.col("fp").alias("a"), "b").distinct()
+
+
+def _with_sizes(posted: DataFrame, sizes: DataFrame) -> DataFrame:
+    """posted with the length of each list in n."""
+    return keyed_join(posted, written(sizes.withColumn("rows", F.col("n")), "sizes"), ["slot", "post"], POST_ROWS, n="rows")
 
 
 def links(fps: DataFrame, distance: int = 3, list_rows: int = LIST_ROWS) -> DataFrame:
@@ -168,7 +178,7 @@ def links(fps: DataFrame, distance: int = 3, list_rows: int = LIST_ROWS) -> Data
     shared = BYTES - distance
     posted = _postings(fps, quads())
     sizes = posted.groupBy("slot", "post").agg(F.count("*").alias("n")).where("n > 1")
-    shared_lists = written(posted.join(sizes, ["slot", "post"]), "postings")
+    shared_lists = written(_with_sizes(posted, sizes), "postings")
     edges = _compare(shared_lists.where(F.col("n") <= list_rows).drop("n"), distance, shared)
     if not shared_lists.where(F.col("n") > list_rows).limit(1).count():
         return edges
@@ -178,7 +188,7 @@ def links(fps: DataFrame, distance: int = 3, list_rows: int = LIST_ROWS) -> Data
     byte = F.expr("shiftleft(cast(255 as bigint), 8 * p)")
     again = long_.select((F.expr("slot | shiftleft(1, p)")).alias("slot"), F.col("post").bitwiseOR(F.col("fp").bitwiseAND(byte)).alias("post"), "fp").distinct()
     sizes = again.groupBy("slot", "post").agg(F.count("*").alias("n")).where("n > 1")
-    again = written(again.join(sizes, ["slot", "post"]), "postings")
+    again = written(_with_sizes(again, sizes), "postings")
     edges = edges.unionByName(_compare(again.where(F.col("n") <= list_rows).drop("n"), distance, shared))
     return edges.unionByName(_blanked(again.where(F.col("n") > list_rows).drop("n"), distance))
 
@@ -187,20 +197,17 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size
     """(key, fp, print, component, root): each row's fingerprint, a hash of its text, the smallest key that it reaches
     over links, and the smallest fingerprint that it reaches, which tells components apart whose keys are all null.
     least: also links texts whose shingles of `words` words have a Jaccard similarity of `least` or more."""
-    rows = written(fingerprints(df, key, text, size), "fingerprints")
-    distinct = rows.groupBy("fp").agg(F.min("key").alias("first"))
-    edges = links(distinct.select("fp"), distance, list_rows)
-    groups = graph.components(edges)
+    rows = written(fingerprints(df, key, text, size, None if least is None else words, least or 0.8), "fingerprints")
+    distinct = written(rows.groupBy("fp").agg(F.min("key").alias("first"), F.count("*").alias("n")), "distinct")
+    groups = graph.components(links(distinct.select("fp"), distance, list_rows))
     if least is not None:
-        roots = rows.select("print", "fp").distinct().join(groups.withColumnRenamed("node", "fp"), "fp", "left")
-        roots = roots.groupBy("print").agg(F.min(F.coalesce("root", "fp")).alias("root"))
-        texts = df.select(F.xxhash64(text).alias("print"), F.col(text).alias("text"))
-        more = jaccard.links(texts, roots, words, least)
-        known = groups.select(F.col("node").alias("a"), F.col("root").alias("b"))
-        groups = graph.components(known.unionByName(more))
-    rooted = distinct.join(groups.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+        texts = df.select(F.col(key).alias("key"), F.xxhash64(text).alias("print"), F.col(text).alias("text"))
+        more = jaccard.links(texts, rows, groups, words, least)
+        groups = graph.components(groups.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+    rooted = distinct.join(groups.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root"))
     first = rooted.groupBy("root").agg(F.min("first").alias("component"))
-    return rows.join(rooted.join(first, "root").select("fp", "component", "root"), "fp").select("key", "fp", "print", "component", "root")
+    rooted = written(rooted.join(first, "root").select("fp", "component", "root", "n"), "rooted")
+    return keyed_join(rows.select("key", "fp", "print"), rooted, ["fp"], POST_ROWS).select("key", "fp", "print", "component", "root")
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
