@@ -1,5 +1,6 @@
 import hashlib
 import random
+import zlib
 
 import numpy as np
 import public_tokenizers
@@ -8,10 +9,12 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lodestar.llm import bpe, graph, langid, simhash
+from lodestar.llm import bpe, common, graph, jaccard, langid, simhash
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 LONG = "ab " * 200_000
+#: Of LONG every shingle is the same.
+LONG_PRINT = xxhash.xxh64_intdigest(b"ab ab ab", 42)
 #: doc_id, text, lang, and columns whose names the operators use themselves.
 EDGES = [(1, None, "en", "x", 5), (2, "", None, None, None), (3, "   \n\t", "en", "x", 1), (4, "one two", "fr", "y", 2), (4, "one two", "fr", "y", 2), (None, "one two", "fr", "y", 3), (5, LONG, "en", "z", 4), (6, "123 !!", "de", None, 0)]
 SCHEMA = "doc_id long, text string, lang string, score string, fp int"
@@ -110,8 +113,7 @@ def test_quads_cover_every_five_positions():
 def test_fingerprints(edges):
     for r in simhash.fingerprints(edges).collect():
         text = next(x[1] for x in EDGES if x[0] == r.key)
-        if text != LONG:
-            assert r.fp & (1 << 64) - 1 == plain_fingerprint(text)
+        assert r.fp & (1 << 64) - 1 == (LONG_PRINT if text == LONG else plain_fingerprint(text))
 
 
 @pytest.mark.parametrize("list_rows", [simhash.LIST_ROWS, 8])
@@ -153,7 +155,7 @@ def test_op4_on_a_table(spark, sf):
     rows = simhash.op4_simhash(spark, sf).collect()
     fps = [int(r.fingerprint, 16) for r in rows]
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
-    assert all(f == plain_fingerprint(texts[r.doc_id]) for r, f in list(zip(rows, fps, strict=True))[:40])
+    assert all(f == plain_fingerprint(texts[r.doc_id]) for r, f in list(zip(rows, fps, strict=True)))
     want = plain_components(fps)
     least = {}
     for r, w in zip(rows, want, strict=True):
@@ -161,6 +163,56 @@ def test_op4_on_a_table(spark, sf):
     assert all(r.component_id == least[w] for r, w in zip(rows, want, strict=True))
 
 
+def test_fingerprint_in_chunks(monkeypatch):
+    text = " ".join(f"w{i * i % 97}" for i in range(500))
+    whole = simhash.fingerprint(text)
+    monkeypatch.setattr(simhash, "CHUNK", 7)
+    assert simhash.fingerprint(text) == whole == plain_fingerprint(text)
+
+
+def test_near_duplicates_of_frequent_fingerprints(spark, monkeypatch):
+    """One text in half of the rows, with every list too long to broadcast."""
+    monkeypatch.setattr(simhash, "POST_ROWS", 0)
+    monkeypatch.setattr(common, "HOT_ROWS", 20)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        docs = spark.createDataFrame([(i, "the same words again" if i % 2 else f"other words {i * i} here {i}") for i in range(200)], "doc_id long, text string")
+        rows = simhash.near_duplicates(docs)
+        assert {r.component for r in rows.where("key % 2 = 1").collect()} == {1}
+        assert rows.count() == 200
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+@pytest.mark.parametrize("chunk", [1 << 20, 16])
+def test_components_in_chunks(spark, chunk):
+    rng = random.Random(9)
+    edges = [(rng.randint(0, 400), rng.randint(0, 400)) for _ in range(220)] + [(500, 501 + i) for i in range(150)] + [(-3, -3)]
+    root = {x: x for e in edges if e[0] != e[1] for x in e}
+    for a, b in edges:
+        if a != b and root[a] != root[b]:
+            low, high = sorted((root[a], root[b]))
+            root = {x: low if r == high else r for x, r in root.items()}
+    found = graph.components(spark.createDataFrame(edges, "a long, b long"), chunk, hot_rows=40)
+    assert {r.node: r.root for r in found.collect()} == root
+
+
+def test_bands_of_similar_sets():
+    """Sets at a similarity of 0.8 or more share a band, whichever sizes they have."""
+    rng = np.random.default_rng(6)
+    for n in (1, 2, 5, 40, 500, 520, 600, 700, 5000):
+        for _ in range(20):
+            a = rng.integers(0, 1 << 63, n, np.uint64) * np.uint64(2)
+            k = n // 10  # a tenth of the shingles each has alone: 0.8 of the union is shared
+            b = np.concatenate([a[k:], rng.integers(0, 1 << 63, k, np.uint64) * np.uint64(2)])
+            a, b = np.unique(a), np.unique(b)
+            assert len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b))
+            assert np.intersect1d(jaccard.bands(a), jaccard.bands(b)).size
+    shorter, longer = np.unique(rng.integers(0, 1 << 63, 639, np.uint64)), None
+    longer = shorter[:511]
+    assert np.intersect1d(jaccard.bands(shorter), jaccard.bands(longer)).size
+
+
 def test_components_of_a_long_chain(spark):
     n = 300
     links = spark.range(n).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
@@ -205,6 +257,40 @@ def test_langid_masks_hold_all_languages(spark):
     assert all(r.lang == r.lang_pred for r in langid.identify(df, filters).collect())
 
 
+def test_langid_equals_plain_sets(spark):
+    """The same n-grams in plain sets: counts by the filters' masks are theirs, corrected for what Bloom filters add."""
+    docs = [(i, t, lang) for i, (t, lang) in enumerate([("the cat and the dog are here", "en"), ("le chat et le chien sont la", "fr"), ("the house is old and the cat too", "en"), ("la maison est vieille et le chat aussi", "fr")] * 3)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    filters = langid.fit(df, share=0.0)
+
+    def plain(text):
+        x = "\0" + (text or "").lower() + "\0"
+        x = [c if c.isalpha() else "" for c in x]
+        return [tuple(x[i : i + n]) for n in langid.SIZES for i in range(len(x) - n + 1) if all(x[i + 1 : i + n - 1])]
+
+    known = {lang: {} for lang in filters.languages}
+    for i, t, lang in docs:
+        if not (zlib.crc32(str(i).encode()) % 5 == 0):
+            for g in set(plain(t)):
+                known[lang][g] = known[lang].get(g, 0) + 1
+    least = {lang: 1 for lang in known}  # under FEW documents one is enough
+    for text in ("the dog and the house", "le chien est la", "maison cat", "zzz qqq"):
+        grams = plain(text)
+        share = {}
+        for at, lang in enumerate(filters.languages):
+            f = filters.false_rate[at]
+            true = sum(known[lang].get(g, 0) >= least[lang] for g in grams)
+            share[lang] = max(0.0, (true - f * len(grams)) / (1 - f)) / len(grams)
+        name, score = (x[0] for x in filters.predict([text]))
+        assert abs(score - max(share.values())) < 0.02 and (max(share.values()) == 0 or share[name] == max(share.values()))
+
+
+def test_langid_learns_the_most_frequent_languages(spark):
+    docs = [(i, "the cat and the dog", "en") for i in range(30)] + [(100 + i, "le chat et le chien", "fr") for i in range(20)] + [(200 + i, f"noise {i}", f"x{i}") for i in range(40)]
+    filters = langid.fit(spark.createDataFrame(docs, "doc_id long, text string, lang string"), most=2)
+    assert filters.languages == ["en", "fr"]
+
+
 def test_langid_long_text_in_blocks(monkeypatch):
     text = "der hund und die katze " * 50
     whole = [np.sort(np.concatenate([h for h, _ in langid.ngrams([text, "x"])]))]

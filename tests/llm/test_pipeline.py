@@ -11,31 +11,29 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from lodestar.llm import langid, line_dedup, simhash
+from lodestar.llm import jaccard, langid, line_dedup, simhash
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def plain_near_copies(docs):
-    fps = {}
+    """By all pairs: fingerprints of three-word shingles within 3 bits, or five-word shingles with a Jaccard similarity of 0.8."""
+    docs = sorted(docs, key=lambda d: d["doc_id"])
+    fps, sets = [], []
     for d in docs:
         words = d["text"].encode().lower().split()
         shingles = [b" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []
         h = np.array([xxhash.xxh64_intdigest(s, 42) for s in shingles], np.uint64)
         bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=int) if len(h) else np.zeros(64, int)
-        fps[d["doc_id"]] = np.packbits(bits * 2 > len(h), bitorder="little").view(np.uint64)[0]
-    ids = sorted(fps)
-    kept, group = [], {}
-    values = np.array([fps[i] for i in ids], np.uint64)
-    for n, i in enumerate(ids):
-        near = [ids[m] for m in np.flatnonzero(np.bitwise_count(values[:n] ^ values[n]) <= 3)]
-        roots = {group[m] for m in near}
-        group[i] = min(roots | {i})
-        for k, r in list(group.items()):
-            if r in roots:
-                group[k] = group[i]
-    kept = {g for g in group.values()}
-    return [d for d in docs if d["doc_id"] in kept]
+        fps.append(np.packbits(bits * 2 > len(h), bitorder="little").view(np.uint64)[0])
+        sets.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set())
+    group, values = list(range(len(docs))), np.array(fps, np.uint64)
+    for n in range(len(docs)):
+        near = set(np.flatnonzero(np.bitwise_count(values[:n] ^ values[n]) <= 3).tolist())
+        near |= {m for m in range(n) if (both := len(sets[m] & sets[n])) and both >= 0.8 * (len(sets[m]) + len(sets[n]) - both)}
+        roots = {group[m] for m in near} | {n}
+        group = [min(roots) if g in roots else g for g in group]
+    return [docs[g] for g in sorted(set(group))]
 
 
 def test_pipeline_equals_plain_python(spark, sf):
@@ -105,13 +103,45 @@ def test_edited_copies_are_near_copies(spark, sf):
 
 def test_long_lines_of_few_documents_are_dropped(spark, sf):
     line = " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(93))
-    numbers = lambda i: " ".join(str(i * 1000 + n) for n in range(60))
+    numbers = lambda i: " ".join(str(i * 1000 + n) for n in range(200))
     docs = spark.createDataFrame([(i, f"own {i} here\n{line}\n{numbers(i)}" if i < 4 else f"own {i}\nshort line of two documents") for i in range(6)], "doc_id long, text string")
     out = {r.doc_id: r.text for r in corpus_pipeline.no_recurring_lines(spark, docs, sf).collect()}
     assert line in out[0] and all(out[i] == f"own {i} here\n{numbers(i)}" for i in (1, 2, 3))
     assert out[4] == "own 4\nshort line of two documents" and out[5] == "own 5\nshort line of two documents"
 
 
+def test_copies_are_left_to_near_dedup(spark, sf):
+    """A copy with an edit in its second sentence is whole for near_dedup, which keeps one of both."""
+    text = lambda e: " ".join(f"{' '.join(f'w{s * 20 + i}x' for i in range(20))}{' edited' if s == 1 and e else ''}." for s in range(10))
+    docs = spark.createDataFrame([(1, text(False)), (2, text(True)), (3, " ".join(f"v{i}" for i in range(200)))], "doc_id long, text string")
+    lines = corpus_pipeline.no_recurring_lines(spark, docs, sf)
+    assert {r.doc_id: r.text for r in lines.collect()}[2] == text(True)
+    assert sorted(r.doc_id for r in corpus_pipeline.one_of_near_copies(spark, lines, sf).collect()) == [1, 3]
+
+
+def test_a_large_group_of_near_copies(spark, sf, monkeypatch):
+    """Each copy with edits of its own, far from most others: found over hubs, and pair by pair at last."""
+    words = [f"w{i * i % 997}x{i}" for i in range(200)]
+    edit = lambda d: " ".join(f"new{d}x{i}" if i in (7 + d % 30, 60 + 2 * d % 70, 140 + d % 50) else w for i, w in enumerate(words))
+    rows = [(d, edit(d)) for d in range(60)] + [(100 + d, " ".join(f"own{d}x{i}" for i in range(50))) for d in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for _, t in rows]
+    group = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if (both >= 0.8 * len(sets[i] | sets[j]) or (simhash.fingerprint(rows[i][1]) ^ simhash.fingerprint(rows[j][1])).bit_count() <= 3) and group[i] != group[j]:
+                low, high = sorted((group[i], group[j]))
+                group = [low if g == high else g for g in group]
+    want = sorted(rows[g][0] for g in set(group))
+    assert sorted(r.doc_id for r in corpus_pipeline.one_of_near_copies(spark, docs, sf).collect()) == want
+    monkeypatch.setattr(jaccard, "HUBS", 0)
+    monkeypatch.setattr(jaccard, "LIST_ROWS", 0)
+    monkeypatch.setattr(jaccard, "HOT_PAIRS", 5)
+    monkeypatch.setattr(corpus_pipeline, "MARK_ROWS", 0)
+    assert sorted(r.doc_id for r in corpus_pipeline.one_of_near_copies(spark, docs, sf).collect()) == want
+
+
 def test_short_lines_of_many_documents_are_dropped(spark, sf):
     own = lambda i: f"own{chr(97 + i % 26)}{chr(97 + i // 26)} text"
     docs = spark.createDataFrame([(i, own(i) + "\nAll rights reserved." + ("\nChance." if i < 15 else "")) for i in range(30)], "doc_id long, text string")

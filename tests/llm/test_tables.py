@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestar.llm import decontaminate, hnsw, licenses, line_dedup, quality, urlfilter, warc
+from lodestar.llm import common, decontaminate, hnsw, licenses, line_dedup, quality, urlfilter, warc
 from lodestar.llm.queries import QUERIES, SQL
 
 TABLES = "documents pages benchmark embeddings labels".split()
@@ -59,6 +59,60 @@ def test_line_dedup_edges(spark):
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
 
 
+def test_passages_inside_lines_and_over_lines(spark):
+    say = lambda *w: " ".join(w) + "."
+    passage = [say(*(f"p{chr(97 + s)}{chr(97 + i)}" for i in range(12))) for s in range(4)]
+    own = lambda d, n=9: say(*(f"own{chr(97 + d)}{chr(97 + i)}" for i in range(n)))
+    docs = [
+        (1, f"{own(1)} {' '.join(passage)} {own(2)}"),  # the first place stays
+        (2, f"{own(3)} {passage[0]} {passage[1]} Yes! {passage[2]} {passage[3]} {own(4)}\nlast line"),  # inside a line, with a short sentence in it
+        (3, f"{own(5)}\n{passage[0]} {passage[1]}\n\n{passage[2]}\n{own(6)}"),  # over lines
+        (4, f"{own(7)} {passage[0]} {passage[1]} {own(8)}"),  # 24 words are no passage
+        (5, f"\x01a. {passage[0]} {passage[1]} {passage[2]} {own(9)}\x01"),  # the mark itself in the text
+        (None, f"{own(10)} {passage[0]} {passage[1]} {passage[2]} {own(11)}"),
+    ]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    out = {r.doc_id: r for r in line_dedup.dedup_lines(df).collect()}
+    assert out[1].text == docs[0][1] and out[1].n_cut == 0 and out[4].text == docs[3][1]
+    assert out[2].text == f"{own(3)} {own(4)}\nlast line" and (out[2].n_cut, out[2].n_dropped) == (4, 0)
+    assert out[3].text == f"{own(5)}\n\n{own(6)}" and (out[3].n_lines, out[3].n_dropped, out[3].n_cut) == (5, 2, 3)
+    assert out[5].text == f"\x01a. {own(9)}\x01" and out[5].n_cut == 3
+    assert out[None].text == f"{own(10)} {own(11)}"
+    whole = {r.doc_id: r for r in line_dedup.dedup_lines(df, whole=0.5).collect()}
+    assert whole[2].text == docs[1][1] and whole[2].n_cut == 0 and whole[None].text == docs[5][1]
+
+
+def test_line_dedup_of_short_lines(spark):
+    docs = [(i, f"own{chr(97 + i)} text\nAll rights reserved.") for i in range(25)]
+    out = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert out[0] == docs[0][1] and all(out[i] == f"own{chr(97 + i)} text" for i in range(1, 25))
+
+
+def test_line_dedup_of_many_lines(spark):
+    """Twelve texts of 20,000 lines that all recur: a row that carried its text would take 12 x 20,000 x 600 KB."""
+    text = "\n".join(f"a line of some words no {chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}" for i in range(20_000))
+    docs = spark.createDataFrame([(i, text) for i in range(12)], "doc_id long, text string")
+    plan = line_dedup._by_line(docs, "doc_id", "text")._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"Generate posexplode\(lines#\d+\), \[2\], false", plan)
+    out = sorted(line_dedup.dedup_lines(docs).collect())
+    assert out[0].text == text and all((r.text, r.n_lines, r.n_dropped) == ("", 20_000, 20_000) for r in out[1:])
+
+
+@pytest.mark.parametrize("rows", [0, 10**6])
+def test_keyed_join_splits_frequent_keys(spark, rows):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        many = spark.range(3000).select(F.when(F.col("id") % 2 == 0, 7).otherwise(F.col("id")).alias("k"), F.col("id").alias("v"))
+        one = many.groupBy("k").agg(F.count("*").alias("n"), F.min("v").alias("least")).where("k <> 5")
+        found = common.keyed_join(many, one, ["k"], rows, "left", hot_rows=50)
+        assert sorted(map(tuple, found.collect()), key=repr) == sorted(((7 if v % 2 == 0 else v, v, None if v == 5 else 0 if v % 2 == 0 or v == 7 else v) for v in range(3000)), key=repr)
+        if not rows:
+            sizes = found.groupBy(F.spark_partition_id()).count().collect()
+            assert max(r["count"] for r in sizes) < 1500  # half of the rows have one key
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
 # Decontamination
 
 
@@ -110,6 +164,15 @@ def test_licenses_edges(spark):
     assert by[6].spans[0]["label"] == "mit" and 0.7 <= by[6].spans[0]["score"] < 1
     assert by[None].spans[0]["label"] == "reserved" and by[7].places[0]["label"] == "apache-2"
     assert licenses.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert rows_of(licenses.scan(df, set_rows=0, list_rows=0)) == rows_of(licenses.scan(df))
+
+
+def test_licenses_of_short_phrases(spark):
+    df = spark.createDataFrame([(1, "cc by nc, mit mit"), (2, "by cc"), (3, "a cc by")], "doc_id long, text string")
+    for rows in (0, licenses.SET_ROWS):
+        found = {r.key: [(p["at"], p["label"]) for p in r.places] for r in licenses.scan(df, {"cc by": "two", "mit": "one", "cc by nc": "three"}, {}, set_rows=rows).collect()}
+        assert found == {1: [(0, "three"), (0, "two"), (3, "one"), (4, "one")], 2: [], 3: [(1, "two")]}
 
 
 # Urls
@@ -130,11 +193,26 @@ def test_url_index_confirms_strings(tmp_path, monkeypatch):
     """All keys collide: stored strings decide."""
     monkeypatch.setattr(urlfilter, "digest", lambda strings: np.zeros(len(list(strings)), np.uint64))
     path = tmp_path / "index"
-    path.write_bytes(urlfilter.build({f"h{i}.com/": "block" for i in range(20)}, []))
+    path.write_bytes(urlfilter.build(urlfilter.kinds_of({f"h{i}.com/": "block" for i in range(20)}, [])))
     index = urlfilter.Index(str(path))
     assert index.judge(["h7.com", "x.com"], ["/a", "/"])[:2] == (["h7.com/", None], ["block", "allow"])
 
 
+def test_urls_of_many_files_and_long_hosts(spark):
+    """A list that needs many files, given as entries or as a table, and hosts of more labels than any entry has."""
+    blocked = [f"h{i}.example/" for i in range(40)] + ["a.b.c.d.e/x/", "org/"]
+    urls = [f"http://www.h{i}.example/a" for i in range(0, 60, 3)] + ["http://z.a.b.c.d.e/x/y", "http://b.c.d.e/x/", "http://" + "l." * 20_000 + "h1.example/", "http://" + "x" * 50_000 + "/", "http://fr.org/fr/", "http://h1.example./", "http://..org/"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    one = rows_of(urlfilter.filter_urls(df, blocked=blocked))
+    assert rows_of(urlfilter.filter_urls(df, blocked=blocked, file_entries=3)) == one
+    assert rows_of(urlfilter.filter_urls(df, blocked=spark.createDataFrame([(b,) for b in [*blocked, blocked[0], None]], "entry string"), file_entries=5)) == one
+    verdicts = [r.verdict for r in sorted(urlfilter.filter_urls(df, blocked=blocked).collect())]
+    assert verdicts == ["block" if i < 40 else "allow" for i in range(0, 60, 3)] + ["block", "allow", "block", "allow", "allow", "allow", "block"]
+    index = urlfilter.Index()
+    index.labels, index.host = 2, 9
+    assert list(index.domains("l." * 10_000 + "h1.org")) == ["org", "h1.org"]
+
+
 # WARC
 
 
@@ -146,7 +224,7 @@ def test_loser_tree():
 
 
 def test_warc_round_trip_and_order(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(warc, "FILE_RECORDS", 3)
+    monkeypatch.setattr(warc, "CLASSES", ((0, 3), (1000, 1)))
     monkeypatch.setattr(warc, "MERGE_ROWS", 6)
     big = "é\r\n\r\nWARC/1.1\r\n" * 200
     pages = [(1, "http://b.com/x", big), (2, "http://a.com/\r\ny", big), (2, "http://a.com/\r\ny", big), (3, None, None), (4, "http://b.com/x", ""), (5, "http://b.com/x", "short"), (6, "http://b.com/x", "short"), (None, "u", big), (7, "http://www.a.com/", "<p>ü</p>")]
@@ -167,6 +245,20 @@ def test_warc_round_trip_and_order(spark, tmp_path, monkeypatch):
     assert warc.archive_and_index(df.limit(0)).count() == 0
 
 
+def test_warc_of_extreme_keys_and_large_payloads(spark, monkeypatch):
+    monkeypatch.setattr(warc, "LIST_ROWS", 0)  # recurring payloads are found by a shuffle
+    monkeypatch.setattr(common, "HOT_ROWS", 2)
+    big = "x" * 5_000_000
+    keys = [-(1 << 63), (1 << 63) - 1, 10**13, 0, -5, 7]
+    pages = [(k, "http://a.com/", big if k > 0 else "y" * 2000) for k in keys] + [(k, "http://b.com/", "small") for k in (11, 12)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    found = {r.key: (r.kind, r.refers_to, r.payload_bytes) for r in warc.archive_and_index(df).collect()}
+    top, low = (1 << 63) - 1, 0
+    assert found == {k: (("response", None) if k in (top, low, 11, 12) else ("revisit", top if k > 0 else low)) + (5 if k in (11, 12) else 5_000_000 if k > 0 else 2000,) for k in [*keys, 11, 12]}
+    times = df.withColumn("at", F.timestamp_seconds(F.when(F.col("page_id") == 11, 5).otherwise(0)))
+    assert [r.key for r in warc.archive_and_index(times, date="at").where("url = 'http://b.com/'").orderBy("position").collect()] == [12, 11]
+
+
 # Vectors
 
 
@@ -206,6 +298,25 @@ def test_hnsw_one_large_shard_with_norms_and_copies(spark):
     assert sum(len(got[q] & set(want[q])) for q in want) >= 0.95 * sum(map(len, want.values()))
 
 
+def test_hnsw_blocks_shards_and_ties(spark, monkeypatch):
+    """Queries in many blocks, shards by bytes, scores that tie, and clusters that no link would join by nearness alone."""
+    monkeypatch.setattr(hnsw, "PACK_BYTES", 8 * 8 * 3)
+    grid = [(i, [float(i % 5 == j) for j in range(8)]) for i in range(200)]  # five vectors, 40 copies of each
+    df = spark.createDataFrame(grid, "vec_id long, embedding array<double>")
+    rows = hnsw.neighbours(df, k=5, query_bytes=500, shard_bytes=2000, shards=2).collect()
+    got = {}
+    for r in sorted(rows, key=lambda r: (r.query_id, r["rank"])):
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert got == {q: [i for i in range(0, 200, 5) if i != q][:5] for q in range(0, 200, 20)}
+    rng = np.random.default_rng(3)
+    far = [(i, (1000 * (i % 7 == 0) + rng.normal(size=6)).tolist()) for i in range(700)]
+    rows = hnsw.neighbours(spark.createDataFrame(far, "vec_id long, embedding array<double>"), shards=1).collect()
+    want, found = plain_neighbours(far), {}
+    for r in rows:
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    assert sum(len(found[q] & set(want[q])) for q in want) >= 0.95 * sum(map(len, want.values()))
+
+
 def test_hnsw_edges(spark):
     nan, inf = float("nan"), float("inf")
     vectors = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [0.5, 0.5]), (3, None), (4, []), (5, [0.0, 0.0]), (6, [nan, 1.0]), (7, [inf, 1.0]), (8, [None, 1.0]), (None, [1.0, 1.0]), (20, [1.0, 2.0, 3.0]), (40, [-1.0, 0.0])]
@@ -241,3 +352,31 @@ def test_quality_edges(spark):
     rows = quality.score(docs, two).collect()
     assert len(rows) == 5 and all(0 <= r.p_best <= 1 and 0 <= r.expected_grade <= 2 for r in rows)
     assert quality.score(docs.limit(0), two).count() == 0
+
+
+def test_quality_likelihood_slopes():
+    """The slopes are those of the likelihood, by differences; and a fit is at least as likely as its neighbours."""
+    rng = np.random.default_rng(4)
+    score, cuts, y, weight = rng.normal(size=30), np.array([-0.7, 0.4, 1.5]), rng.integers(0, 4, 30), rng.uniform(0.5, 2, 30)
+    plain = lambda s, c: -sum(w * np.log((1 / (1 + np.exp(-(x - c[g - 1]))) if g else 1) - (1 / (1 + np.exp(-(x - c[g]))) if g < 3 else 0)) for x, g, w in zip(s, y, weight, strict=True))
+    loss, ds, dc = quality.likelihood(score, cuts, y, weight)
+    assert abs(loss - plain(score, cuts)) < 1e-9
+    step = lambda n, i: 1e-6 * (np.arange(n) == i)
+    assert all(abs((plain(score + step(30, i), cuts) - plain(score - step(30, i), cuts)) / 2e-6 - ds[i]) < 1e-5 for i in range(30))
+    assert all(abs((plain(score, cuts + step(3, i)) - plain(score, cuts - step(3, i))) / 2e-6 - dc[i]) < 1e-5 for i in range(3))
+
+
+def test_quality_bounded_features(spark):
+    docs = spark.createDataFrame([(i, f"good{i} words here" if i % 2 else f"BAD{i} !!!! junk 999") for i in range(40)], "doc_id long, text string")
+    grades = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, grade int")
+    whole, few = quality.fit(docs, grades), quality.fit(docs, grades, most=100)
+    assert np.count_nonzero(few.weights) < np.count_nonzero(whole.weights)
+    assert quality.fit(docs, grades, most=1) is not None
+    rows = quality.score(docs.withColumns({"expected_grade": F.lit("x"), "p_best": F.lit("y")}), whole).collect()
+    assert all((r.expected_grade > 0.5) == (r.doc_id % 2 == 1) for r in rows)
+
+
+def test_quality_reads_whole_shapes():
+    """Tokens that differ after their shape's first twelve signs only have different features."""
+    a, b = (set(quality.features(f"a1b2c3d4e5f6g7h8{x}").tolist()) for x in ("i", "9"))
+    assert len(a - b) >= 2
