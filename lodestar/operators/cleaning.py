@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ranks import quantile_row, quantiles, quantiles_by
+from ..functions.ranks import along, quantile_row, quantiles, quantiles_by
 
 MAD_SCALE = 1.4826
 
@@ -39,22 +39,22 @@ def drop_missing(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def fill_along(df: DataFrame, column: str, order: Sequence[str], partition: Sequence[str] = (), method: str = "ffill") -> DataFrame:
-    """ffill, bfill, or linear interpolation between the neighbours by row number (after the last value: that value)."""
-    by = Window.partitionBy(*partition).orderBy(*order)
-    back, fore = by.rowsBetween(Window.unboundedPreceding, 0), by.rowsBetween(0, Window.unboundedFollowing)
-    c = F.col(column)
-    before, after = F.last(c, True).over(back), F.first(c, True).over(fore)
-    if method == "ffill":
-        return df.withColumn(column, before)
-    if method == "bfill":
-        return df.withColumn(column, after)
-    if method != "linear":
+    """ffill, bfill, or linear interpolation between the neighbours by row number (after the last value: that value). Without
+    a partition rows are dealt by ranges of the order, so that no task sees all of them."""
+    if method not in ("ffill", "bfill", "linear"):
         raise ValueError(f"method {method} is none of ffill, bfill, linear")
-    d = df.withColumn("_n", F.row_number().over(by))
-    n = F.when(c.isNotNull(), F.col("_n"))
-    d = d.withColumns({"_b": before, "_a": after, "_nb": F.last(n, True).over(back), "_na": F.first(n, True).over(fore)})
+    c = F.col(column)
+    if partition:
+        by = Window.partitionBy(*partition).orderBy(*order)
+        back, fore = by.rowsBetween(Window.unboundedPreceding, 0), by.rowsBetween(0, Window.unboundedFollowing)
+        d = df.withColumn("_n", F.row_number().over(by))
+        n = F.when(c.isNotNull(), F.col("_n"))
+        d = d.withColumns({"_b": F.last(c, True).over(back), "_a": F.first(c, True).over(fore), "_nb": F.last(n, True).over(back), "_na": F.first(n, True).over(fore)})
+    else:
+        d = along(df, column, order)
     line = F.col("_b") + (F.col("_a") - F.col("_b")) * (F.col("_n") - F.col("_nb")) / (F.col("_na") - F.col("_nb"))
-    return d.withColumn(column, F.when(c.isNotNull(), c).when(F.col("_a").isNull(), F.col("_b")).otherwise(line)).drop("_n", "_b", "_a", "_nb", "_na")
+    made = {"ffill": F.col("_b"), "bfill": F.col("_a"), "linear": F.when(c.isNotNull(), c).when(F.col("_a").isNull(), F.col("_b")).otherwise(line)}[method]
+    return d.withColumn(column, made).drop("_n", "_b", "_a", "_nb", "_na")
 
 
 def outlier_bounds(df: DataFrame, columns: Sequence[str], method: str = "iqr", factor: float | None = None) -> dict[str, tuple[float, float]]:
