@@ -8,7 +8,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ranks import running
+from ..functions.ranks import ranked, running
 from ..time import as_time
 from .segments import risk_segment
 
@@ -20,9 +20,8 @@ def _hash(key: str, seed: int) -> Column:
 
 def stratified_split(df: DataFrame, key: str, stratum: str, test: float = 0.2, seed: int = 42) -> DataFrame:
     """split = test for that share of each stratum, by rank of the key's hash."""
-    w = Window.partitionBy(stratum)
-    rank = F.row_number().over(w.orderBy(_hash(key, seed), key))
-    return df.withColumn("split", F.when(rank <= F.round(F.count("*").over(w) * test), "test").otherwise("train"))
+    d = ranked(df, stratum, [_hash(key, seed).alias("h"), F.col(key).alias("k")])
+    return d.withColumn("split", F.when(F.col("_rank") <= F.round(F.col("_size") * test), "test").otherwise("train")).drop("_rank", "_size")
 
 
 def hash_split(df: DataFrame, key: str, test: float = 0.2, seed: int = 42) -> DataFrame:
@@ -40,6 +39,22 @@ def folds(df: DataFrame, key: str, k: int = 5, seed: int = 42) -> DataFrame:
     return df.withColumn("fold", F.least(F.floor(_hash(key, seed) * k), F.lit(k - 1)).cast("int"))
 
 
+def cv_folds(df: DataFrame, key: str, k: int = 5, kind: str = "stratified", by: str | None = None, seed: int = 42) -> DataFrame:
+    """df with fold, from 0. stratified: each class of `by` dealt evenly, by rank of the key's hash; group: values of `by`
+    stay together; time: in the order of `by`, with k test parts of equal size at the end, numbered from 1, each to be
+    tested on what comes before it (fold 0 is never tested)."""
+    if kind == "group":
+        return folds(df, by or key, k, seed)
+    if kind == "stratified":
+        d = ranked(df, by or key, [_hash(key, seed).alias("h"), F.col(key).alias("k")])
+        return d.withColumn("fold", ((F.col("_rank") - 1) % k).cast("int")).drop("_rank", "_size")
+    if kind != "time":
+        raise ValueError(f"folds {kind} are none of stratified, group, time")
+    d = ranked(df.withColumn("_all", F.lit(1)), "_all", [F.col(by or key).alias("t"), F.col(key).alias("k")])
+    size = F.floor(F.col("_size") / (k + 1))
+    return d.withColumn("fold", F.greatest(F.lit(0), k - F.floor((F.col("_size") - F.col("_rank")) / size)).cast("int")).drop("_rank", "_size", "_all")
+
+
 def class_weights(df: DataFrame, target: str) -> DataFrame:
     each = df.groupBy(target).agg(F.count("*").alias("n"))
     return each.join(F.broadcast(each.agg(F.sum("n").alias("_n"), F.count("*").alias("_k")))).select(target, (F.col("_n") / (F.col("_k") * F.col("n"))).alias("weight"))  # one row
@@ -152,30 +167,49 @@ def retraining_reasons(performance_drop: float, psi: float, age_days: int, volum
     return [n for n, hit in rules.items() if hit]
 
 
-def train(df: DataFrame, features: Sequence[str], target: str, kind: str = "logistic", weight: str | None = None):
-    """A fitted Spark ML pipeline: logistic, forest or boosted."""
+def train(df: DataFrame, features: Sequence[str], target: str, kind: str = "logistic", weight: str | None = None, **options):
+    """A fitted Spark ML pipeline: logistic, forest or boosted. options: the classifier's parameters."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
 
     made = {"logistic": LogisticRegression, "forest": RandomForestClassifier, "boosted": GBTClassifier}[kind]
-    options = {"labelCol": target, "featuresCol": "_features"} | ({"weightCol": weight} if weight else {})
+    options = {"labelCol": target, "featuresCol": "_features"} | ({"weightCol": weight} if weight else {}) | options
     return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="_features", handleInvalid="skip"), made(**options)]).fit(df)
 
 
-def cross_validate(df: DataFrame, key: str, features: Sequence[str], target: str, kind: str = "logistic", k: int = 5, seed: int = 42) -> DataFrame:
-    """(fold, roc_auc, average_precision) of models that were trained on the other folds."""
+def cross_validate(df: DataFrame, key: str, features: Sequence[str], target: str, kind: str = "logistic", k: int = 5, seed: int = 42, strategy: str = "hash", by: str | None = None, repeats: int = 1, **options) -> DataFrame:
+    """(fold, roc_auc, average_precision) of models that were trained on the other folds. strategy: hash, or one of
+    cv_folds; over time, on earlier folds only. repeats: with other seeds, folds numbered on."""
     from pyspark.ml.functions import vector_to_array
 
-    d = folds(df, key, k, seed)
     out = None
-    for i in range(k):
-        scored = train(d.where(F.col("fold") != i), features, target, kind).transform(d.where(F.col("fold") == i))
-        r = ranking(scored.select(target, vector_to_array("probability")[1].alias("_p")), target, "_p").select(F.lit(i).alias("fold"), "roc_auc", "average_precision")
-        out = r if out is None else out.unionByName(r)
+    for n in range(repeats):
+        d = folds(df, key, k, seed + n) if strategy == "hash" else cv_folds(df, key, k, strategy, target if strategy == "stratified" else by, seed + n)
+        for i in range(1, k + 1) if strategy == "time" else range(k):
+            rest = F.col("fold") < i if strategy == "time" else F.col("fold") != i
+            scored = train(d.where(rest), features, target, kind, **options).transform(d.where(F.col("fold") == i))
+            r = ranking(scored.select(target, vector_to_array("probability")[1].alias("_p")), target, "_p").select(F.lit(n * k + i).alias("fold"), "roc_auc", "average_precision")
+            out = r if out is None else out.unionByName(r)
     return out
 
 
+def stability(cv: DataFrame, metric: str = "average_precision", most: float = 0.10) -> DataFrame:
+    """Mean and population deviation of a metric over folds, and whether the deviation is at most `most`."""
+    return cv.agg(F.avg(metric).alias("mean"), F.stddev_pop(metric).alias("std")).withColumn("stable", F.col("std") <= most)
+
+
+def search(df: DataFrame, key: str, features: Sequence[str], target: str, grid: dict[str, Sequence], kind: str = "logistic", metric: str = "average_precision", tries: int | None = None, seed: int = 42, **cv) -> list[tuple[dict, float]]:
+    """Parameters of a grid, or `tries` drawn from it, with their mean metric over folds, best first."""
+    import itertools
+    import random
+
+    every = [dict(zip(grid, values, strict=True)) for values in itertools.product(*grid.values())]
+    chosen = every if tries is None or tries >= len(every) else random.Random(seed).sample(every, tries)
+    found = [(options, cross_validate(df, key, features, target, kind, seed=seed, **cv, **options).agg(F.avg(metric)).first()[0]) for options in chosen]
+    return sorted(found, key=lambda x: (x[1] is None, -(x[1] or 0.0), str(x[0])))
+
+
 def compare(models: dict[str, dict[str, float]], metric: str = "roc_auc") -> list[tuple[str, float]]:
     """Models by a metric, best first, ties by name."""
     return sorted(((n, m[metric]) for n, m in models.items()), key=lambda x: (-x[1], x[0]))
@@ -183,8 +217,8 @@ def compare(models: dict[str, dict[str, float]], metric: str = "roc_auc") -> lis
 
 def assign_arms(df: DataFrame, key: str, stratum: str, arms: Sequence[str] = ("control", "treatment"), seed: int = 42) -> DataFrame:
     """Arms of an experiment, of equal size within each stratum, by rank of the key's hash."""
-    rank = F.row_number().over(Window.partitionBy(stratum).orderBy(_hash(key, seed), key)) - 1
-    return df.withColumn("arm", F.element_at(F.array(*map(F.lit, arms)), (rank % len(arms) + 1).cast("int")))
+    d = ranked(df, stratum, [_hash(key, seed).alias("h"), F.col(key).alias("k")])
+    return d.withColumn("arm", F.element_at(F.array(*map(F.lit, arms)), ((F.col("_rank") - 1) % len(arms) + 1).cast("int"))).drop("_rank", "_size")
 
 
 def with_noise(df: DataFrame, columns: Sequence[str], share: float, seed: int = 42) -> DataFrame:

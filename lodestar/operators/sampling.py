@@ -66,39 +66,47 @@ def knn_impute(df: DataFrame, key: str, columns: Sequence[str], k: int = 5, refe
 
 def undersample(df: DataFrame, key: str, target: str, seed: int = 42) -> DataFrame:
     """Every class cut to about the size of the rarest: rows by the hash of their keys."""
-    n = {r[0]: r["n"] for r in df.groupBy(target).agg(F.count("*").alias("n")).collect()}
-    least = min(n.values())
+    each = df.where(F.col(target).isNotNull()).groupBy(F.col(target).alias("_class")).agg(F.count("*").alias("_n"))
+    each = each.join(F.broadcast(each.agg(F.min("_n").alias("_least"))))  # one row
     u = F.pmod(F.crc32(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")).cast("binary")), F.lit(1_000_003)) / 1_000_003.0
-    keep = F.lit(False)
-    for c, size in n.items():
-        keep = keep | ((F.col(target) == c) & (u < least / size))
-    return df.where(keep)
+    return df.join(each, F.col(target) == F.col("_class")).where(u < F.col("_least") / F.col("_n")).select(*df.columns)
 
 
-def smote(df: DataFrame, key: str, columns: Sequence[str], target: str, minority, copies: int = 1, k: int = 5, seed: int = 42) -> DataFrame:
+def smote(df: DataFrame, key: str, columns: Sequence[str], target: str, minority, copies: int = 1, k: int = 5, seed: int = 42, block: int = BLOCK) -> DataFrame:
     """df's columns and target with `copies` synthetic rows for each row of the minority: points between it and one of its k
-    nearest rows of that class in its block. Rows are dealt over blocks of about BLOCK by hash, so that no task holds a
-    class."""
-    few = df.where(F.col(target) == minority).dropna(subset=list(columns)).select(F.col(key).cast("string").alias("_k"), *[F.col(c).cast("double") for c in columns])
-    blocks = max(1, few.count() // BLOCK)
-
-    def make(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("_k")
-        x = f[list(columns)].to_numpy(dtype=float)
-        if len(x) < 2:
-            return pd.DataFrame(columns=list(columns))
-        sd = np.where((s := x.std(axis=0)) > 0, s, 1.0)
-        z = x / sd
-        rng, out = np.random.default_rng(seed), []
-        for i in range(len(x)):
-            d = ((z - z[i]) ** 2).sum(axis=1)
-            d[i] = np.inf
-            near = np.argsort(d, kind="stable")[: min(k, len(x) - 1)]
-            for _ in range(copies):
-                out.append(x[i] + rng.random() * (x[rng.choice(near)] - x[i]))
-        return pd.DataFrame(out, columns=list(columns))
-
-    schema = ", ".join(f"`{c}` double" for c in columns)
-    made = few.withColumn("_b", F.pmod(F.xxhash64("_k"), F.lit(blocks))).groupBy("_b").applyInPandas(make, schema)
-    real = df.select(*[F.col(c).cast("double").alias(c) for c in columns], target)
-    return real.unionByName(made.withColumn(target, F.lit(minority)).select(*columns, F.col(target).cast(df.schema[target].dataType)))
+    nearest rows of that class, by the columns over their deviations in the class. Blocks of about `block` rows are compared
+    with each other by matrix products, and each row's nearest of all blocks merged. Keys are to be distinct."""
+    v, w = [f"_v{i}" for i in range(len(columns))], [f"_w{i}" for i in range(len(columns))]
+    few = df.where(F.col(target) == minority).dropna(subset=list(columns)).select(F.col(key).cast("string").alias("_k"), *[F.col(c).cast("double").alias(x) for c, x in zip(columns, v, strict=True)])
+    stats = few.agg(F.count("*").alias("n"), *[F.stddev_pop(x).alias(x) for x in v]).first()
+    sd = np.array([stats[x] or 1.0 for x in v])
+    blocks = -(-stats["n"] // block) or 1
+
+    def nearest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame(columns=["_k", "_d", "_near", *v, *w])
+        r = right.sort_values("_near", kind="stable")
+        x, y = left[v].to_numpy(dtype=float), r[w].to_numpy(dtype=float)
+        a, b = x / sd, y / sd
+        d = np.maximum((a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None] - 2 * a @ b.T, 0)
+        d[left["_k"].to_numpy()[:, None] == r["_near"].to_numpy()[None]] = np.inf
+        near = np.argsort(d, axis=1, kind="stable")[:, :k]
+        rows, at = np.repeat(np.arange(len(x)), near.shape[1]), near.ravel()
+        ok = np.isfinite(d[rows, at])
+        rows, at = rows[ok], at[ok]
+        out = {"_k": left["_k"].to_numpy()[rows], "_d": d[rows, at], "_near": r["_near"].to_numpy()[at]}
+        return pd.DataFrame(out | {n: x[rows, i] for i, n in enumerate(v)} | {n: y[at, i] for i, n in enumerate(w)})
+
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    left = few.withColumn("_i", place("_k")).withColumn("_j", every)
+    # Columns of its own: both sides come from the same rows.
+    right = few.select(F.col("_k").alias("_near"), *[F.col(a).alias(b) for a, b in zip(v, w, strict=True)]).withColumn("_j", place("_near")).withColumn("_i", every)
+    schema = ", ".join(["_k string, _d double, _near string", *[f"{x} double" for x in (*v, *w)]])
+    found = left.groupBy("_i", "_j").cogroup(right.groupBy("_i", "_j")).applyInPandas(nearest, schema)
+    best = found.groupBy("_k", *v).agg(F.slice(F.array_sort(F.collect_list(F.struct("_d", "_near", *w))), 1, k).alias("_best"))
+    draw = lambda n, c: F.pmod(F.xxhash64("_k", c, F.lit(seed + n)), F.lit(1 << 30))
+    made = best.withColumn("_c", F.explode(F.sequence(F.lit(1), F.lit(copies)))).withColumn("_one", F.get("_best", (draw(0, "_c") % F.size("_best")).cast("int")))
+    step = draw(1, "_c") / float(1 << 30)
+    made = made.select(*[(F.col(x) + step * (F.col(f"_one.{y}") - F.col(x))).alias(c) for c, x, y in zip(columns, v, w, strict=True)], F.lit(minority).cast(df.schema[target].dataType).alias(target))
+    return df.select(*[F.col(c).cast("double").alias(c) for c in columns], target).unionByName(made)

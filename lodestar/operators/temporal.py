@@ -8,7 +8,8 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ranks import quantile_row
+from ..functions.ranks import quantile_row, running
+from ..scratch import written
 from ..time import as_time, days_between, exact_days
 
 AGGREGATES = {"sum": lambda v: F.coalesce(F.sum(v), F.lit(0.0)), "mean": F.avg, "count": F.count, "max": F.max, "min": F.min}
@@ -87,6 +88,20 @@ def entity_lifecycle(events: DataFrame, entity: str, time: str) -> DataFrame:
     return out.withColumn("duration_days", days_between(F.col("last_event"), F.col("first_event")))
 
 
+def events_per_entity(lives: DataFrame) -> DataFrame:
+    """Distribution of the entities' numbers of events: one row."""
+    q = quantile_row(lives, ["event_count"], [0.25, 0.5, 0.75]).select(*[F.col("event_count")[i].alias(n) for i, n in enumerate(("q25", "median", "q75"))])
+    n = F.col("event_count").cast("double")
+    return lives.agg(F.count("*").alias("entities"), F.min(n).alias("min"), F.max(n).alias("max"), F.avg(n).alias("mean"), F.coalesce(F.stddev_samp(n), F.lit(0.0)).alias("std")).join(F.broadcast(q))  # one row
+
+
+def pooled_gap(events: DataFrame, entity: str, time: str) -> DataFrame:
+    """Mean days between successive events of an entity, over all entities: from each one's span and number, unsorted."""
+    t = F.unix_micros(F.col(time).cast("timestamp"))
+    each = events.groupBy(entity).agg((F.max(t) - F.min(t)).alias("span"), (F.count(t) - 1).alias("gaps")).where("gaps > 0")
+    return each.agg(F.try_divide(F.sum("span") / 86_400_000_000.0, F.sum("gaps").cast("double")).alias("mean_gap_days"))
+
+
 def lifecycle_quadrants(lives: DataFrame) -> DataFrame:
     """Long or short by the median duration, intense or sparse by the median of events per day (a day at least)."""
     d = lives.withColumn("intensity", F.col("event_count") / F.greatest(F.col("duration_days"), F.lit(1)))
@@ -124,10 +139,33 @@ def trend(periods: DataFrame, time: str, value: str) -> DataFrame:
 
 
 def autocorrelation(series: DataFrame, order: str, value: str, lags: Sequence[int]) -> DataFrame:
-    """Pearson correlation of value with itself some rows before, one row for each lag. series has a row for each day."""
-    w = Window.orderBy(order)
-    x = series.select(F.col(value).alias("x"), *[F.lag(value, k).over(w).alias(f"l{k}") for k in lags])
-    return x.agg(*[F.corr("x", f"l{k}").alias(f"c{k}") for k in lags]).select(F.explode(F.array(*[F.struct(F.lit(k).alias("lag"), F.col(f"c{k}").alias("correlation")) for k in lags])).alias("r")).select("r.*")
+    """Pearson correlation of value with itself some rows before, one row for each lag, over series of any length: rows are
+    numbered by running counts and met by number. Values of order are to be distinct."""
+    d = written(running(series.select(F.col(order).alias("o"), F.col(value).cast("double").alias("x"), F.lit(1).alias("one")), "o", ["one"]).select(F.col("one_running").alias("n"), "x"), "series")
+    earlier = d.select(F.explode(F.array(*map(F.lit, lags))).alias("lag"), "n", F.col("x").alias("y")).select("lag", (F.col("n") + F.col("lag")).alias("n"), "y")
+    found = d.join(earlier, "n").groupBy("lag").agg(F.corr("x", "y").alias("correlation"))
+    every = series.sparkSession.createDataFrame([(k,) for k in lags], "lag int")
+    return every.join(F.broadcast(found), "lag", "left").select("lag", "correlation")  # a row for each lag
+
+
+#: Names of periods.
+PERIODS = {7: "weekly", 14: "bi-weekly", 21: "tri-weekly", 30: "monthly", 90: "quarterly", 180: "semi-annual", 365: "yearly"}
+
+
+def acf_seasonality(series: DataFrame, order: str, value: str, lags: Sequence[int] = (7, 14, 21, 30), least: float = 0.3, most: int = 3) -> DataFrame:
+    """Periods of the series, by rows: lags under half of its length at which the autocovariance over the variance (both
+    about the mean of all rows) is above `least`, the `most` strongest. Rows are numbered by running counts and met with
+    the rows a lag before them by number; no task holds the series."""
+    rows = series.where(F.col(value).isNotNull()).select(F.struct(order, value).alias("o"), F.col(value).cast("double").alias("x"), F.lit(1).alias("one"))
+    d = written(running(rows, "o", ["one"]).select(F.col("one_running").alias("n"), "x"), "series")
+    stats = d.agg(F.count("*").alias("rows"), F.avg("x").alias("mean"), F.var_pop("x").alias("var"))
+    shifted = d.select(F.explode(F.array(*map(F.lit, lags))).alias("lag"), "n", F.col("x").alias("y")).select("lag", (F.col("n") + F.col("lag")).alias("n"), "y")
+    both = d.join(shifted, "n").join(F.broadcast(stats))  # one row
+    each = both.groupBy("lag", "rows", "var").agg(F.avg((F.col("x") - F.col("mean")) * (F.col("y") - F.col("mean"))).alias("cov"))
+    name = F.create_map(*[F.lit(x) for kv in PERIODS.items() for x in kv])[F.col("lag")]
+    strength = F.coalesce(F.try_divide("cov", "var"), F.lit(0.0))
+    found = each.select(F.col("lag").alias("period"), F.coalesce(name, F.concat(F.col("lag").cast("string"), F.lit("-day"))).alias("name"), strength.alias("strength"), "rows")
+    return found.where((F.col("strength") > least) & (F.col("rows") >= 14) & (F.col("period") < F.floor(F.col("rows") / 2))).orderBy(F.desc("strength"), "period").limit(most).drop("rows")
 
 
 def momentum(events: DataFrame, entity: str, time: str, value: str, reference: str | datetime, short: int = 7, long: int = 30) -> DataFrame:
