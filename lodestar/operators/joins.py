@@ -81,6 +81,37 @@ def key_overlap(left: DataFrame, left_key: str, right: DataFrame, right_key: str
     return s.select("left_keys", "right_keys", "shared_keys", score.alias("score"), F.concat(side("_ma"), F.lit(":"), side("_mb")).alias("cardinality"))
 
 
+#: What names of identifiers hold.
+ID_NAMES = ("_id", "id", "_key", "key", "_code", "code")
+
+
+def join_candidates(left: Sequence[str], right: Sequence[str], left_name: str | None = None, right_name: str | None = None) -> list[tuple[str, str]]:
+    """Pairs of columns that may join two tables: equal names of identifiers, `id` with `<table>_id`, and names that end in
+    `_id` of which one holds the other."""
+    ids = lambda names: [n for n in names if any(p in n.lower() for p in ID_NAMES)]
+    out = {(c, c) for c in left if c in right and (c in ids(left) or c in ids(right))}
+    if left_name and "id" in left and f"{left_name.lower()}_id" in right:
+        out.add(("id", f"{left_name.lower()}_id"))
+    if right_name and "id" in right and f"{right_name.lower()}_id" in left:
+        out.add((f"{right_name.lower()}_id", "id"))
+    out |= {(a, b) for a in ids(left) for b in ids(right) if a != b and a.endswith("_id") and b.endswith("_id") and (a[:-3] in b[:-3] or b[:-3] in a[:-3])}
+    return sorted(out)
+
+
+def relationship(left: DataFrame, right: DataFrame, left_name: str | None = None, right_name: str | None = None, pairs: Sequence[tuple[str, str]] | None = None) -> DataFrame:
+    """The candidate pair with the largest overlap of values (of equal ones the first by name): its columns, overlap,
+    coverage of either side, cardinality, and the join that suits; no row if none reaches .01."""
+    out = None
+    for a, b in pairs or join_candidates(left.columns, right.columns, left_name, right_name):
+        one = key_overlap(left, a, right, b).select(F.lit(a).alias("left_column"), F.lit(b).alias("right_column"), "*")
+        out = one if out is None else out.unionByName(one)
+    if out is None:
+        return left.sparkSession.createDataFrame([], "left_column string, right_column string, score double, left_coverage double, right_coverage double, cardinality string, join string")
+    covered = lambda side: F.try_divide(F.col("shared_keys").cast("double"), F.col(f"{side}_keys").cast("double"))
+    out = out.where("score >= 0.01").orderBy(F.desc("score"), "left_column", "right_column").limit(1)  # of a few candidates
+    return out.select("left_column", "right_column", "score", covered("left").alias("left_coverage"), covered("right").alias("right_coverage"), "cardinality", F.when(F.col("cardinality") == "1:N", "left").otherwise("inner").alias("join"))
+
+
 def missing_keys(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return left.join(right, key, "left_anti").select(key).distinct()
 

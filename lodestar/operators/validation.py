@@ -32,28 +32,6 @@ def ranges(df: DataFrame, rules: dict[str, str | tuple[float, float]]) -> DataFr
     return _rows(row, "column", list(rules))
 
 
-def quality_gate(df: DataFrame, target: str | None = None, dates: Sequence[str] = (), as_of: Column | None = None) -> DataFrame:
-    """(check_id, subject, severity, value): missing values over half (DQ001) or .3 (DQ002), share of repeated rows over .1
-    (DQ003), target imbalance under .01 (DQ010) or .1 (DQ011), future dates (DQ020), numbers stored as text (DQ030)."""
-    kinds = dict(df.dtypes)
-    n = F.count("*").cast("double")
-    aggs = [F.struct((1 - F.try_divide(F.count(c).cast("double"), n)).alias("missing"), (F.avg(F.expr(f"try_cast(`{c}` as double)").isNotNull().cast("double")) if kinds[c] == "string" else F.lit(0.0)).alias("numeric")).alias(c) for c in df.columns]
-    row = df.agg(*aggs)
-    found = [F.struct(F.when(F.col(f"{c}.missing") > 0.5, "DQ001").when(F.col(f"{c}.missing") > 0.3, "DQ002").alias("check_id"), F.lit(c).alias("subject"), F.when(F.col(f"{c}.missing") > 0.5, "critical").otherwise("high").alias("severity"), F.col(f"{c}.missing").alias("value")) for c in df.columns]
-    found += [F.struct(F.when(F.col(f"{c}.numeric") > 0.9, "DQ030").alias("check_id"), F.lit(c).alias("subject"), F.lit("low").alias("severity"), F.col(f"{c}.numeric").alias("value")) for c in df.columns if kinds[c] == "string"]
-    out = row.select(F.explode(F.array(*found)).alias("r")).select("r.*")
-    each = df.groupBy(F.xxhash64(*df.columns).alias("h"), F.md5(F.to_json(F.struct(*df.columns))).alias("m")).agg(F.count("*").alias("n"))
-    repeated = each.agg((1 - F.count("*") / F.sum("n")).alias("value")).select(F.when(F.col("value") > 0.1, "DQ003").alias("check_id"), F.lit("rows").alias("subject"), F.lit("medium").alias("severity"), "value")
-    out = out.unionByName(repeated)
-    if target:
-        share = df.where(F.col(target).isNotNull()).groupBy(target).agg(F.count("*").alias("n")).agg((F.min("n") / F.sum("n")).alias("value"))
-        out = out.unionByName(share.select(F.when(F.col("value") < 0.01, "DQ010").when(F.col("value") < 0.1, "DQ011").alias("check_id"), F.lit(target).alias("subject"), F.lit("high").alias("severity"), "value"))
-    if dates and as_of is not None:
-        late = df.agg(*[F.avg((F.col(c).cast("timestamp") > as_of).cast("double")).alias(c) for c in dates])
-        out = out.unionByName(late.select(F.explode(F.array(*[F.struct(F.when(F.col(c) > 0, "DQ020").alias("check_id"), F.lit(c).alias("subject"), F.lit("high").alias("severity"), F.col(c).alias("value")) for c in dates])).alias("r")).select("r.*"))
-    return out.where("check_id is not null")
-
-
 def temporal_quality(df: DataFrame, entity: str, time: str, as_of: Column, sequence: str | None = None) -> DataFrame:
     """Repeated entity and time (TQ001), future times (TQ003), and rows whose time is before that of the entity's row before
     it in sequence (TQ004); counts and shares."""
@@ -86,6 +64,28 @@ def series_shape(df: DataFrame, entity: str, time: str) -> DataFrame:
     return out.withColumns({"rows_per_entity": per, "frequency": frequency, "kind": F.when(per <= 1, "snapshot").otherwise("events")})
 
 
+#: Hours of an expected frequency.
+HOURS = {"hourly": 1, "daily": 24, "weekly": 168, "monthly": 720, "quarterly": 2184, "yearly": 8760}
+
+
+def series_validation(df: DataFrame, entity: str, time: str, frequency: str | None = None, sequence: str | None = None, allowed: int = 3) -> DataFrame:
+    """One row over all entities: times that repeat, entities whose times are out of order in `sequence`, gaps of more than
+    `allowed` periods (of the given frequency, or of the median gap), the entities with such gaps, the largest in periods,
+    the percentage of entities without, and a score from 100 that these lower."""
+    t = F.col(time).cast("timestamp")
+    again = df.where(t.isNotNull()).groupBy(entity, t.alias("t")).agg(F.count("*").alias("n")).where("n > 1").agg(F.count("*").alias("repeated_times"), F.count_distinct(entity).alias("entities_repeated"))
+    steps = df.select(F.col(entity).alias("e"), (exact_days(t, F.lag(t).over(Window.partitionBy(entity).orderBy(t))) * 24).alias("h"), ((t < F.lag(t).over(Window.partitionBy(entity).orderBy(sequence))) if sequence else F.lit(False)).alias("back"))
+    period = quantile_row(steps, ["h"], [0.5]).select(F.col("h")[0].alias("_p")) if frequency is None else df.sparkSession.createDataFrame([(float(HOURS[frequency]),)], "_p double")
+    wide = F.col("h") > F.col("_p") * allowed
+    each = steps.join(F.broadcast(period)).groupBy("e").agg(F.count(F.when(wide, 1)).alias("gaps"), F.max(F.when(wide, F.floor(F.col("h") / F.col("_p")))).alias("widest"), F.count(F.when(F.col("back"), 1)).alias("back"))  # one row
+    one = each.agg(F.count("*").alias("entities"), F.count(F.when(F.col("gaps") > 0, 1)).alias("entities_with_gaps"), F.coalesce(F.sum("gaps"), F.lit(0)).alias("gaps"), F.coalesce(F.max("widest"), F.lit(0)).alias("largest_gap"), F.count(F.when(F.col("back") > 0, 1)).alias("entities_out_of_order"))
+    one = one.join(F.broadcast(again))  # one row
+    rate = lambda c: F.try_divide(F.col(c).cast("double"), F.col("entities").cast("double"))
+    some = lambda c: F.when(rate(c) > 0.1, 20).when(rate(c) > 0.01, 10).otherwise(0)
+    gap = F.when(rate("entities_with_gaps") > 0.2, 20).when(rate("entities_with_gaps") > 0.1, 10).when(rate("entities_with_gaps") > 0.05, 5).otherwise(0)
+    return one.withColumns({"coverage_pct": 100 * (1 - rate("entities_with_gaps")), "score": 100 - some("entities_repeated") - some("entities_out_of_order") - gap})
+
+
 def leakage(df: DataFrame, features: Sequence[str], target: str, high: float = 0.9, medium: float = 0.7) -> DataFrame:
     """Per feature: correlation with a 0/1 target, whether the classes' ranges are apart, overlap of the ranges in percent of
     their union, and a severity."""
