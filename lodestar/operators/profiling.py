@@ -22,6 +22,7 @@ PII = {
     "ssn": r"\b\d{3}-\d{2}-\d{4}\b",
     "credit_card": r"\b\d{4}[-\s]?\d{4}[-\s]?\d{4}[-\s]?\d{4}\b",
 }
+#: Formats of dates and times that are tried.
 TIME_FORMATS = ("yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "yyyy/MM/dd", "dd/MM/yyyy", "MM/dd/yyyy", "dd-MM-yyyy", "MM-dd-yyyy", "dd.MM.yyyy", "yyyyMMdd", "yyyy-MM-dd'T'HH:mm:ss", "MMM d, yyyy")
 
 
@@ -196,7 +197,7 @@ def granularity(df: DataFrame, entity: str) -> DataFrame:
 
 @dataclass(frozen=True)
 class Check:
-    """A check of a profile row: severity where the condition on its columns holds."""
+    """A check of a profile row, which fails where the condition on its columns holds. severity may be a case expression."""
 
     id: str
     kind: str
@@ -206,11 +207,11 @@ class Check:
 
 #: Check ids, severities and thresholds, as SQL over the profiles above.
 CHECKS = (
-    Check("FQ001", "universal", "critical", "null_pct > 95"), Check("FQ001", "universal", "high", "null_pct > 70 and null_pct <= 95"), Check("FQ001", "universal", "medium", "null_pct > 20 and null_pct <= 70"),
+    Check("FQ001", "universal", "case when null_pct > 95 then 'critical' when null_pct > 70 then 'high' when null_pct > 20 then 'medium' else 'critical' end", "null_pct > 70"),
     Check("FQ003", "universal", "critical", "distinct = 1"),
     Check("NC001", "numeric", "high", "100.0 * iqr_outliers / n > 5"), Check("NC002", "numeric", "medium", "100.0 * iqr_outliers / n > 1"), Check("NC003", "numeric", "medium", "abs(skewness) > 2"),
     Check("NC004", "numeric", "medium", "100.0 * zeros / n > 50"), Check("NC005", "numeric", "high", "negatives > 0"), Check("NC006", "numeric", "critical", "infinite > 0"), Check("NC007", "numeric", "high", "std = 0"),
-    Check("NUM002", "numeric", "medium", "abs(skewness) > 1"), Check("NUM003", "numeric", "medium", "100.0 * iqr_outliers / n > 10"), Check("NUM004", "numeric", "low", "100.0 * zeros / n > 50"),
+    Check("NUM002", "numeric", "medium", "abs(skewness) > 1"), Check("NUM003", "numeric", "medium", "100.0 * iqr_outliers / n > 5"), Check("NUM004", "numeric", "low", "100.0 * zeros / n > 50"),
     Check("FQ005", "numeric", "high", "100.0 * iqr_outliers / n > 50"), Check("FQ011", "numeric", "critical", "iqr_outliers = n"),
     Check("CN001", "categorical", "high", "cardinality > 100"), Check("CN002", "categorical", "medium", "cardinality > 50"), Check("CN003", "categorical", "medium", "rare_categories > 10"), Check("CN004", "categorical", "high", "rare_pct > 20"),
     Check("CN005", "categorical", "low", "case_variants > 0"), Check("CN006", "categorical", "low", "padded_values > 0"), Check("CN007", "categorical", "high", "cardinality = 1"), Check("CAT003", "categorical", "medium", "rare_pct > 20"), Check("CAT004", "categorical", "low", "unknown_tokens > 0"),
@@ -222,8 +223,8 @@ CHECKS = (
     Check("TG001", "target", "critical", "nulls > 0"), Check("TG004", "target", "high", "unexpected > 0"), Check("TX004", "text", "medium", "distinct > 0.95 * n"),
     Check("CN008", "similar", "medium", "pairs > 0"), Check("FQ008", "meaning", "medium", "type = 'unknown'"), Check("LEAK001", "meaning", "critical", "type = 'identifier' and feature"),
     Check("ID001", "identifier", "critical", "duplicated_values > 0"), Check("ID003", "identifier", "high", "nulls > 0"),
-    Check("TG002", "target", "high", "minority_pct < 1"), Check("TG003", "target", "medium", "minority_pct < 10"), Check("TG005", "target", "critical", "classes = 1"), Check("CAT002", "target", "high", "imbalance_ratio > 20"),
-    Check("DT001", "datetime", "high", "future > 0"), Check("DT002", "datetime", "medium", "placeholders > 0.05 * n"),
+    Check("TG002", "target", "high", "minority_pct < 1"), Check("TG003", "target", "medium", "minority_pct < 10"), Check("TG005", "target", "critical", "classes = 1"), Check("CAT002", "target", "high", "imbalance_ratio > 5"),
+    Check("DT001", "datetime", "high", "future > 0"), Check("DT002", "datetime", "medium", "100.0 * placeholders / n > 0.05"),
     Check("TX001", "text", "critical", "with_email + with_phone + with_ssn + with_credit_card > 0"), Check("TX002", "text", "high", "100.0 * empty / n > 50"), Check("TX003", "text", "medium", "mean_length < 10"),
 )
 
@@ -232,7 +233,7 @@ def run_checks(profile: DataFrame, kind: str, column: str | None = None) -> Data
     """(column, check_id, severity, passed) for the profile rows; a condition on null passes."""
     checks = [c for c in CHECKS if c.kind == kind]
     name = F.col("column") if column is None else F.lit(column)
-    rows = F.array(*[F.struct(F.lit(c.id).alias("check_id"), F.lit(c.severity).alias("severity"), (~F.coalesce(F.expr(c.failed), F.lit(False))).alias("passed")) for c in checks])
+    rows = F.array(*[F.struct(F.lit(c.id).alias("check_id"), (F.expr(c.severity) if c.severity.startswith("case ") else F.lit(c.severity)).alias("severity"), (~F.coalesce(F.expr(c.failed), F.lit(False))).alias("passed")) for c in checks])
     return profile.select(name.alias("column"), F.explode(rows).alias("c")).select("column", "c.*")
 
 
@@ -245,6 +246,7 @@ def similar_values(df: DataFrame, column: str, k: int = 100, least: float = 0.8)
     return a.join(F.broadcast(b), F.col("a") < F.col("b")).select("a", "b", s.alias("similarity")).where((F.col("similarity") > least) & (F.col("similarity") < 1))  # k values
 
 
+#: The profiles that fit a semantic type.
 KINDS = {
     "identifier": ("universal", "identifier"), "target": ("universal", "target"), "binary": ("universal", "binary"), "numeric_continuous": ("universal", "universal_numeric", "numeric"), "numeric_discrete": ("universal", "universal_numeric", "numeric"),
     "categorical_nominal": ("universal", "categorical", "similar"), "categorical_ordinal": ("universal", "categorical"), "categorical_cyclical": ("universal", "categorical"), "datetime": ("universal", "datetime"), "text": ("universal", "text"), "unknown": ("universal",),
@@ -278,6 +280,53 @@ def explore(df: DataFrame, as_of: Column, types: dict[str, str] | None = None, f
     return whole
 
 
+# What distributions suggest
+
+#: Skewness that is high and moderate, percentages of zeros and outliers, kurtosis of heavy tails.
+SKEWED, BENT, ZEROS, OUTLIERS, HEAVY = 2.0, 1.0, 30.0, 5.0, 3.0
+
+
+def distribution(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Per column what its numbers look like, and the transformation that suits, with its priority: zeros beside a skewed
+    rest, negative values, outliers, and skewness decide, in that order."""
+    d = numeric(df, columns).where("n > 0")
+    zero, out = 100.0 * F.col("zeros") / F.col("n"), 100.0 * F.col("iqr_outliers") / F.col("n")
+    skew, bent = F.abs("skewness") > SKEWED, (F.abs("skewness") > BENT) & (F.abs("skewness") <= SKEWED)
+    d = d.withColumns({"zero_pct": zero, "outlier_pct": out, "highly_skewed": F.coalesce(skew, F.lit(False)), "zero_inflated": zero > ZEROS, "heavy_tails": F.coalesce(F.col("kurtosis") > HEAVY, F.lit(False))})
+    rules = [
+        (F.col("zero_inflated") & skew, "zero_inflation_handling", "high"), (F.col("zero_inflated"), "zero_inflation_handling", "medium"), ((F.col("negatives") > 0) & skew, "yeo_johnson", "high"),
+        (skew & (out > OUTLIERS), "cap_then_log", "high"), (skew & (F.col("min") > 0), "log_transform", "high"), (skew, "yeo_johnson", "high"),
+        (bent & (F.col("min") >= 0), "sqrt_transform", "medium"), (bent, "yeo_johnson", "medium"), (out > OUTLIERS, "cap_outliers", "medium"),
+    ]
+    transform, priority = F.lit("none"), F.lit("low")
+    for when, name, urgency in reversed(rules):
+        transform, priority = F.when(when, name).otherwise(transform), F.when(when, urgency).otherwise(priority)
+    return d.select("column", "n", "mean", "std", "skewness", "kurtosis", "zero_pct", "outlier_pct", "highly_skewed", "zero_inflated", "heavy_tails", transform.alias("transform"), priority.alias("priority"))
+
+
+#: Categories of a column that are few and some, share of a rare one, ratio of unequal ones, entropy (of the
+#: largest possible) that is low, percentage of the three commonest that is high.
+FEW, SOME, RARE, UNEQUAL, NARROW, CONCENTRATED = 5, 20, 0.01, 10.0, 0.5, 90.0
+
+
+def category_distribution(df: DataFrame, column: str, cyclical: bool = False, ordinal: bool = False) -> DataFrame:
+    """One row: categories, how unequal and concentrated they are, and the encoding that suits, with its priority."""
+    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count("*").alias("n"))
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
+    top3 = counts.orderBy(F.desc("n")).limit(3).agg(F.sum("n").alias("top3"))  # a sum of three counts
+    p = F.col("n") / F.col("total")
+    d = counts.join(F.broadcast(total)).agg(F.count("*").alias("categories"), F.try_divide(F.max("n").cast("double"), F.min("n").cast("double")).alias("imbalance_ratio"), (-F.sum(p * F.log2(p + 1e-10))).alias("entropy"), (100 * F.max(p)).alias("top1_pct"), F.count(F.when(p < RARE, 1)).alias("rare"), F.max("total").alias("total"))  # one row
+    most = F.when(F.col("categories") > 1, F.log2(F.col("categories").cast("double"))).otherwise(1.0)
+    d = d.join(F.broadcast(top3)).withColumns({"normalized_entropy": F.col("entropy") / most, "top3_pct": 100.0 * F.col("top3") / F.col("total")})  # one row
+    k, rare = F.col("categories"), F.col("rare") > 0
+    rules = [(F.lit(cyclical), "cyclical", "medium"), (F.lit(ordinal), "ordinal", "medium"), (k == 2, "binary", "low"), (k <= FEW, "one_hot", "low"), ((k <= SOME) & rare, "target", "medium"), (k <= SOME, "one_hot", "low")]
+    encoding, priority = F.lit("target"), F.lit("high")
+    for when, name, urgency in reversed(rules):
+        encoding, priority = F.when(when, name).otherwise(encoding), F.when(when, urgency).otherwise(priority)
+    flags = {"imbalanced": F.col("imbalance_ratio") > UNEQUAL, "low_diversity": F.col("normalized_entropy") < NARROW, "concentrated": F.col("top3_pct") > CONCENTRATED}
+    return d.select(F.lit(column).alias("column"), "categories", "imbalance_ratio", "entropy", "normalized_entropy", "top1_pct", "top3_pct", "rare", *[c.alias(n) for n, c in flags.items()], encoding.alias("encoding"), priority.alias("priority"))
+
+
 def health(checks: DataFrame, null_pct: float) -> DataFrame:
     """100, less half the null percentage (30 at most), 15 for each failed critical check and 5 for each failed medium one;
     0 at least."""
