@@ -101,19 +101,20 @@ def keyed_state(events: DataFrame, key: str, field: str, value: str, time: str,
 
 def threshold_trigger(events: DataFrame, key: str, time: str, condition: Column, cooldown: str, daily_cap: int = 3) -> DataFrame:
     """Firings: per key the events with the condition, of which those within cooldown after one that fired are left out,
-    and per day the first daily_cap. A fold over each key's matching times in order."""
+    and per day the first daily_cap. A fold over each key's matching times in order, which carries the last firing and the
+    day's firings: a step takes the same time however many fired before."""
     t = F.unix_micros(F.col(time).cast("timestamp"))
     hits = events.where(condition).groupBy(key).agg(F.array_sort(F.collect_list(t)).alias("_ts"))
-    kind = "array<bigint>"
+    state = "struct<last:bigint,day:bigint,n:int,fired:array<bigint>>"
+    zero = F.struct(F.lit(None).cast("bigint").alias("last"), F.lit(None).cast("bigint").alias("day"), F.lit(0).alias("n"), F.array().cast("array<bigint>").alias("fired")).cast(state)
 
     def step(acc: Column, x: Column) -> Column:
-        free = (F.size(acc) == 0) | (x - F.element_at(acc, -1) >= _micros(cooldown))
-        today = F.size(F.filter(acc, lambda a: F.floor(a / UNITS["d"]) == F.floor(x / UNITS["d"])))
-        return F.when((F.size(acc) == 0) | (free & (today < daily_cap)), F.concat(acc, F.array(x))).otherwise(acc)
+        day = F.floor(x / UNITS["d"])
+        today = F.when(acc["day"] == day, acc["n"]).otherwise(0)
+        fires = acc["last"].isNull() | ((x - acc["last"] >= _micros(cooldown)) & (today < daily_cap))
+        return F.when(fires, F.struct(x.alias("last"), day.alias("day"), (today + 1).alias("n"), F.concat(acc["fired"], F.array(x)).alias("fired"))).otherwise(acc).cast(state)
 
-    first = F.array().cast(kind)
-    # an empty accumulator has no last element
-    fold = F.aggregate("_ts", first, lambda acc, x: F.when(F.size(acc) == 0, F.array(x)).otherwise(step(acc, x)).cast(kind))
+    fold = F.aggregate("_ts", zero, step, lambda acc: acc["fired"])
     return hits.select(key, F.explode(fold).alias("_at")).select(key, F.floor(F.col("_at") / 1_000_000).alias("fired_at"))
 
 
@@ -133,6 +134,47 @@ def anomaly_trigger(series: DataFrame, key: str, order: str, value: str, z: floa
     return series.withColumns({"_n": F.count(value).over(w), "zscore": score}).where((F.col("_n") >= least) & (F.abs("zscore") >= z)).drop("_n")
 
 
+def composite_trigger(df: DataFrame, conditions: Sequence[Column], logic: str = "AND") -> DataFrame:
+    """df with triggered: all of the conditions hold, or any of them. A condition on null doesn't hold."""
+    if logic not in ("AND", "OR"):
+        raise ValueError(f"logic {logic} is neither AND nor OR")
+    held = [F.coalesce(c, F.lit(False)) for c in conditions]
+    out = F.lit(logic == "AND")
+    for c in held:
+        out = out & c if logic == "AND" else out | c
+    return df.withColumn("triggered", out)
+
+
+def schema_errors(events: DataFrame, required: dict[str, Sequence[str]], schema: str = "event_type", column: str = "props") -> DataFrame:
+    """Each event with errors: properties that its schema requires and its JSON lacks, or that there is no such schema."""
+    keys = F.coalesce(F.json_object_keys(column), F.array().cast("array<string>"))
+    wanted = F.create_map(*[x for name, p in required.items() for x in (F.lit(name), F.array(*map(F.lit, p)).cast("array<string>"))])[F.col(schema)]
+    missing = F.transform(F.array_sort(F.array_except(wanted, keys)), lambda p: F.concat(F.lit("missing "), p))
+    return events.withColumn("errors", F.coalesce(missing, F.array(F.lit("no schema"))))
+
+
+#: Types of visits and of actions in a session, and gaps in seconds from which it is idle.
+VISITS, ACTIONS, IDLE_SECONDS = ("page_view", "app_session"), ("click", "app_action"), 30
+
+
+def entity_features(events: DataFrame, key: str, time: str, kind: str, counted: dict[str, str], as_of: Column, visits: Sequence[str] = VISITS, actions: Sequence[str] = ACTIONS, pages: Sequence[str] = ("page_view",)) -> DataFrame:
+    """Per key: events of each type in counted ({column: type}), minutes since the last event (0 at least), visits, and its
+    events as one session: minutes, pages, actions, and idle seconds (the sum of gaps over IDLE_SECONDS)."""
+    t = F.unix_micros(F.col(time).cast("timestamp"))
+    gap = (t - F.lag(t).over(Window.partitionBy(key).orderBy(t))) / 1e6
+    d = events.select(key, F.col(kind).alias("_kind"), t.alias("_t"), gap.alias("_gap"))
+    n = lambda kinds: F.count(F.when(F.col("_kind").isin(*kinds), 1))
+    return d.groupBy(key).agg(
+        *[n([k]).alias(c) for c, k in counted.items()], F.greatest(F.lit(0.0), (F.unix_micros(as_of) - F.max("_t")) / 6e7).alias("minutes_since_last"), n(visits).alias("visits"),
+        ((F.max("_t") - F.min("_t")) / 6e7).alias("session_minutes"), n(pages).alias("session_pages"), n(actions).alias("session_actions"), F.coalesce(F.sum(F.when(F.col("_gap") > IDLE_SECONDS, F.col("_gap"))), F.lit(0.0)).alias("session_idle_seconds"),
+    )
+
+
+def anomaly_score(current: Column, mean: Column, sd: Column) -> Column:
+    """Deviations from a baseline; a deviation of 0 or none counts as 1."""
+    return (current - mean) / F.when(F.coalesce(sd, F.lit(0.0)) == 0, 1.0).otherwise(sd)
+
+
 def early_warning(df: DataFrame, signals: dict[str, Column]) -> DataFrame:
     """Weighted sum of signals (0 to 1) within 0 and 1, its level, and the signal that weighs most."""
     parts = {n: SIGNALS[n] * F.coalesce(c.cast("double"), F.lit(0.0)) for n, c in signals.items()}
