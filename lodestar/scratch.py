@@ -3,21 +3,26 @@
 from __future__ import annotations
 
 import atexit
-import io
-import os
+import contextlib
 import shutil
 import tempfile
 import uuid
-import zipfile
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: What this process has put into the shared folder, for `clean`.
+_PUT: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir. Only where none is named (tests, one machine) one of our own, which goes with
-    the process."""
+    """The folder in spark.checkpoint.dir. Only where none is named and all runs on one machine (tests) one of our own, which
+    goes with the process."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="lodestar-")
         atexit.register(shutil.rmtree, named, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(named)
@@ -25,7 +30,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _PUT.append(path)
+    return path
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -53,21 +60,20 @@ def put_bytes(spark: SparkSession, path: str, data: bytes) -> str:
     return fs.makeQualified(p).toString()
 
 
-_SHIPPED: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Hands this package to the executors, once for each application: their Python workers import it."""
-    app = spark.sparkContext.applicationId
-    if app in _SHIPPED:
-        return
-    here = os.path.dirname(os.path.abspath(__file__))
-    data = io.BytesIO()
-    with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as z:
-        for folder, _, names in os.walk(here):
-            for n in names:
-                if n.endswith(".py"):
-                    full = os.path.join(folder, n)
-                    z.write(full, os.path.relpath(full, os.path.dirname(here)))
-    spark.sparkContext.addPyFile(put_bytes(spark, shared_path(spark, "lodestar") + ".zip", data.getvalue()))
-    _SHIPPED.add(app)
+def clean(spark: SparkSession, since: int = 0) -> None:
+    """Deletes what this process has put into the shared folder, from the since-th path on. Results that read it must have
+    been written elsewhere."""
+    for path in _PUT[since:]:
+        fs, p = hadoop_path(spark, path)
+        fs.delete(p, True)
+    del _PUT[since:]
+
+
+@contextlib.contextmanager
+def cleaned(spark: SparkSession) -> Iterator[None]:
+    """What is put into the shared folder inside goes at the end."""
+    since = len(_PUT)
+    try:
+        yield
+    finally:
+        clean(spark, since)
