@@ -7,8 +7,8 @@ SMALL shingles are hashed by as many functions; larger ones are dealt into as ma
 smallest; sets between the two sizes, that may be similar to either kind, have both.
 
 Candidates of a band's value are compared with one of them, its hub; what that leaves in different components is compared
-with other hubs, until fewer pairs are left than candidates (or HUBS rounds are over), which are compared pair by pair. So
-a large group of near copies gives a few stars and not its pairs.
+with other hubs, until few pairs are left (or HUBS rounds are over). The rest is compared block by block inside tasks,
+which give the links of a forest. So a large group of near copies gives a few stars and a forest, and never its pairs.
 
 Rows: a text without words has no set and is in no pair; a text of fewer than `size` words is one shingle; texts of any
 length count whole, in blocks.
@@ -31,8 +31,8 @@ from .common import keyed_join, short, written
 BANDS, ROWS = 32, 4
 #: Shingles up to which every function hashes all of them.
 SMALL = 512
-#: Rounds of hubs.
-HUBS = 6
+#: Rounds of hubs, and sets of a block.
+HUBS, BLOCK = 3, 512
 #: Rows of 16 bytes, of bands or texts, up to which a list is broadcast.
 LIST_ROWS = 1_000_000
 #: Pairs beyond which a set's comparisons are dealt over several tasks.
@@ -142,30 +142,88 @@ def links(texts: DataFrame, rows: DataFrame, groups: DataFrame, size: int, least
     wanted = posted.select("id").distinct().join(first, "id").select("id", F.col("one.key").alias("key"), F.col("one.print").alias("print"))
     sets = _sets(texts, written(wanted, "wanted"), size)
 
-    tested = None
     for turn in range(HUBS + 1):
         now = graph.components(edges).select(F.col("node").alias("root"), F.col("root").alias("to"))
         posted = posted.join(now, "root", "left").select("band", "id", F.coalesce("to", "root").alias("root"))
         each = posted.groupBy("band", "root").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id")).alias("least"))
         open_ = each.groupBy("band").agg(F.count("*").alias("kinds"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"), F.min(F.struct("least.h", "least.id", "root")).alias("hub")).where("kinds > 1")
-        open_ = written(open_.select("band", "n", ((F.col("n") * F.col("n") - F.col("own")) / 2).alias("pairs"), F.col("hub.id").alias("hub"), F.col("hub.root").alias("hub_root")), "open")
+        open_ = written(open_.select("band", "n", F.col("n").alias("size"), ((F.col("n") * F.col("n") - F.col("own")) / 2).alias("pairs"), F.col("hub.id").alias("hub"), F.col("hub.root").alias("hub_root")), "open")
         count = open_.agg(F.sum("pairs").alias("pairs"), F.sum("n").alias("n")).first()
         if not count.n:
-            break
+            return edges
         posted = written(keyed_join(posted, open_, ["band"], LIST_ROWS), "candidates")
-        last = turn == HUBS or count.pairs <= 2 * count.n
-        if last:
-            l, r = posted.alias("l"), posted.alias("r")
-            pairs = l.join(r, "band").where("l.id < r.id and l.root <> r.root").select(F.col("l.id").alias("a"), F.col("r.id").alias("b"), F.col("l.root").alias("x"), F.col("r.root").alias("y"))
-        else:
-            star = posted.where("root <> hub_root")
-            pairs = star.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"), F.least("root", "hub_root").alias("x"), F.greatest("root", "hub_root").alias("y"))
-        pairs = pairs.dropDuplicates(["a", "b"])
-        pairs = written(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        tested = pairs.select("a", "b") if tested is None else tested.unionByName(pairs.select("a", "b"))
-        more = _verified(pairs, sets, least).select(F.col("x").alias("a"), F.col("y").alias("b"))
+        if turn == HUBS or count.pairs <= 2 * count.n:
+            return edges.unionByName(_blocks(posted, sets, least))
+        star = posted.where("root <> hub_root")
+        pairs = star.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"), F.least("root", "hub_root").alias("x"), F.greatest("root", "hub_root").alias("y"))
+        more = _verified(written(pairs.dropDuplicates(["a", "b"]), "pairs"), sets, least).select(F.col("x").alias("a"), F.col("y").alias("b"))
         edges = written(edges.unionByName(more).distinct(), "edges")
         posted = posted.select("band", "id", "root")
-        if last:
-            break
     return edges
+
+
+def _blocks(posted: DataFrame, sets: DataFrame, least: float, block: int | None = None) -> DataFrame:
+    """Edges (a, b) of roots that connect what similar sets within a band connect. posted: band, id, root, size (of the band).
+    A band is cut into blocks of about `block` sets; a task compares two of them, or one with itself."""
+    k = F.greatest(F.ceil(F.col("size") / (block or BLOCK)).cast("int"), F.lit(1))
+    own = posted.withColumn("k", k).withColumn("p", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
+    every = own.select("band", "id", "root", "p", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("q"))
+    every = every.select("band", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), "p", "id", "root")
+    n = written(every.groupBy("id").agg(F.count("*").alias("n")).join(sets, "id"), "sides")
+    held = keyed_join(every, n, ["id"], 0, hot_rows=HOT_PAIRS).repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
+
+    def run(batches):
+        out: list[tuple[int, int]] = []
+        rows: list[tuple] = []
+        at = None
+
+        def batch():
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
+
+        for b in batches:
+            sides = b.column(6)
+            for row, place in enumerate(zip(*(b.column(c).to_pylist() for c in range(3)), strict=True)):
+                if place != at:
+                    out += forest(rows, least)
+                    rows, at = [], place
+                rows.append((b.column(3)[row].as_py(), b.column(5)[row].as_py(), sides[row].values.to_numpy().view(np.uint64)))
+            if out:
+                yield batch()
+                out = []
+        out += forest(rows, least)
+        if out:
+            yield batch()
+
+    return held.select("band", "i", "j", "p", "id", "root", "hashes").mapInArrow(run, "a bigint, b bigint")
+
+
+def forest(rows: list[tuple[int, int, np.ndarray]], least: float) -> list[tuple[int, int]]:
+    """Links of roots that connect what similar sets of different roots connect. rows: block, root, set; sets of two blocks
+    are compared across them only, which with one block means each with all."""
+    if len({r for _, r, _ in rows}) < 2:
+        return []
+    blocks = {p for p, _, _ in rows}
+    label = {r: r for _, r, _ in rows}
+
+    def find(x: int) -> int:
+        while label[x] != x:
+            label[x] = label[label[x]]
+            x = label[x]
+        return x
+
+    out = []
+    for p in sorted(blocks)[:1]:
+        mine = [(r, h) for q, r, h in rows if q == p]
+        others = [(r, h) for q, r, h in rows if q != p] if len(blocks) > 1 else mine
+        sizes = np.array([len(h) for _, h in others])
+        flat, start = np.concatenate([h for _, h in others]), np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        for r, h in mine:
+            if all(find(o) == find(r) for o in {o for o, _ in others}):
+                continue
+            shared = np.add.reduceat(h[np.minimum(np.searchsorted(h, flat), len(h) - 1)] == flat, start)
+            for i in np.flatnonzero(shared >= least * (len(h) + sizes - shared)).tolist():
+                a, b = find(r), find(others[i][0])
+                if a != b:
+                    label[max(a, b)] = min(a, b)
+                    out.append((max(a, b), min(a, b)))
+    return out

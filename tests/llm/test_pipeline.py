@@ -136,6 +136,7 @@ def test_a_large_group_of_near_copies(spark, sf, monkeypatch):
     want = sorted(rows[g][0] for g in set(group))
     assert sorted(r.doc_id for r in corpus_pipeline.one_of_near_copies(spark, docs, sf).collect()) == want
     monkeypatch.setattr(jaccard, "HUBS", 0)
+    monkeypatch.setattr(jaccard, "BLOCK", 7)  # many blocks within a band
     monkeypatch.setattr(jaccard, "LIST_ROWS", 0)
     monkeypatch.setattr(jaccard, "HOT_PAIRS", 5)
     monkeypatch.setattr(corpus_pipeline, "MARK_ROWS", 0)
