@@ -29,9 +29,11 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
+def shared_path(spark: SparkSession, name: str, keep: bool = False) -> str:
+    """A path of its own in the shared folder. keep: `clean` leaves it, as executors may fetch it at any time."""
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    _PUT.append(path)
+    if not keep:
+        _PUT.append(path)
     return path
 
 
