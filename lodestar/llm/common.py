@@ -74,7 +74,7 @@ def ship(spark: SparkSession) -> None:
                 if n.endswith(".py"):
                     full = os.path.join(folder, n)
                     z.write(full, os.path.relpath(full, os.path.dirname(here)))
-    spark.sparkContext.addPyFile(put_bytes(spark, shared_path(spark, "lodestar") + ".zip", data.getvalue()))
+    spark.sparkContext.addPyFile(put_bytes(spark, shared_path(spark, "lodestar", keep=True) + ".zip", data.getvalue()))
     _SHIPPED.add(app)
 
 
