@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from .operators import gates, joins, modeling, profiling, temporal, transforms, validation
 from .queries import _AUC, QUERIES, REF, SQL, Tables, query
+from .scratch import shared_path
+from .sources import snapshots, tables
 from .streaming import events as stream
 
 _CHECK = "column check_id severity passed"
@@ -347,4 +349,81 @@ def _hash_split(t: Tables) -> DataFrame:
     return d.groupBy("o_custkey").agg(F.count("*").alias("n"), F.count_distinct("split").alias("k")).agg(F.sum("n").alias("rows"), F.count(F.when(F.col("k") > 1, 1)).alias("both"))
 
 
+@query("cyclical_names", "event_id", "day_sin day_cos", """
+  select event_id, sin(2 * pi() * d / 7) as day_sin, cos(2 * pi() * d / 7) as day_cos from (select event_id, list_position(['monday', 'tuesday', 'wednesday', 'thursday', 'friday', 'saturday', 'sunday'], lower(dayname(ts))) - 1 as d from events)""")
+def _cyclical_names(t: Tables) -> DataFrame:
+    return transforms.cyclical_names(t.events.withColumn("day", F.date_format("ts", "EEEE")), "day")
+
+
+@query("binary_mapping", "o_orderkey flag rest", "", "select o_orderkey, case when o_orderkey % 3 = 0 then 1 else 0 end as flag, case when o_orderkey % 2 = 0 then 1 else 0 end as rest from orders")
+def _binary_mapping(t: Tables) -> DataFrame:
+    k = F.col("o_orderkey")
+    d = t.orders.select("o_orderkey", F.when(k % 3 == 0, "Yes").otherwise("no").alias("flag"), F.when(k % 2 == 0, "west").otherwise("east").alias("rest"))
+    return transforms.binary(transforms.binary(d, "flag"), "rest")
+
+
+@query("useless_columns", "column", "", """select * from (values ('c_custkey'), ('void'), ('same')) v("column")""")
+def _useless(t: Tables) -> DataFrame:
+    d = t.customer.select("c_custkey", "c_acctbal", F.when(F.col("c_custkey") % 50 == 0, F.col("c_custkey")).alias("void"), F.lit(1).alias("same"))
+    return d.sparkSession.createDataFrame([(c,) for c in transforms.useless_columns(d, ["c_custkey"])], "column string")
+
+
+# Joins by entity
+
+
+@query("first_target", "event_id user_id event_type", "", """
+  select event_id, user_id, first as event_type from events join (select user_id, min((ts, event_type)) filter (where event_type <> 'view') as f from events group by user_id) using (user_id), lateral (select f[2] as first)""")
+def _first_target(t: Tables) -> DataFrame:
+    return joins.with_first_target(t.events.withColumn("event_type", F.when(F.col("event_type") != "view", F.col("event_type"))), "user_id", "event_type", "ts")
+
+
+@query("training_labels", "o_orderkey o_orderstatus", "", "select o_orderkey, o_orderstatus from orders where o_orderdate <= timestamp '1999-01-01'")
+def _training_labels(t: Tables) -> DataFrame:
+    return joins.training_labels(t.orders, "o_orderkey", "o_orderstatus", "o_orderdate", "1999-01-01")
+
+
+@query("common_rows", "o_orderkey o_custkey", "", "select o_orderkey, o_custkey from orders where o_custkey in (select c_custkey from customer where c_acctbal > 0)")
+def _common_rows(t: Tables) -> DataFrame:
+    return joins.common_rows(t.orders, t.customer.where("c_acctbal > 0").withColumnRenamed("c_custkey", "o_custkey"), "o_custkey")
+
+
+# Sources: written to the shared folder and read again
+
+_PLACES = "n_nationkey n_name n_regionkey"
+
+
+def _stored(t: Tables, kind: str, **options: str) -> DataFrame:
+    path = shared_path(t.spark, kind)
+    writer = t.nation.select(*_PLACES.split()).write
+    (writer.option("header", "true") if kind == "csv" else writer).format(kind).save(path)
+    return tables.load(t.spark, tables.SourceConfig("nation", path, kind, options, "n_nationkey int, n_name string, n_regionkey int"))
+
+
+for _kind in ("csv", "json", "orc", "parquet"):
+    query(f"{_kind}_source", _PLACES, "", "select n_nationkey, n_name, n_regionkey from nation")(lambda t, kind=_kind: _stored(t, kind))
+
+
+@query("metadata_source", "c_custkey reference_date", "", "select c_custkey, '2024-01-31' as reference_date from customer")
+def _metadata(t: Tables) -> DataFrame:
+    path = shared_path(t.spark, "metadata")
+    tables.save_with_metadata(t.customer.select("c_custkey"), path, {"reference_date": "2024-01-31"})
+    d = tables.load(t.spark, tables.SourceConfig("customer", path))
+    return d.withColumn("reference_date", F.lit(tables.metadata_of(d)["reference_date"]))
+
+
+@query("snapshot", "o_orderkey version", "", "select o_orderkey, 2 as version from orders where o_orderdate <= timestamp '1999-01-01' and o_orderstatus <> 'P'")
+def _snapshot(t: Tables) -> DataFrame:
+    """The second version, verified by its hash when it is loaded."""
+    store = snapshots.Snapshots(t.spark, shared_path(t.spark, "snapshots"))
+    d = t.orders.select("o_orderkey", F.col("o_orderdate").alias("feature_timestamp"), F.col("o_orderdate").alias("label_timestamp"), (F.col("o_orderstatus") != "P").alias("label_available_flag"))
+    store.create(d.where("o_orderkey % 2 = 0"), "orders", "1998-01-01")
+    return store.load("orders", store.create(d, "orders", "1999-01-01").version).withColumn("version", F.lit(max(store.versions("orders"))))
+
+
+@query("append_keep_last", "c_custkey c_mktsegment", "c_acctbal", "select c_custkey, case when c_custkey % 3 = 0 then 'NEW' else c_mktsegment end as c_mktsegment, c_acctbal + case when c_custkey % 3 = 0 then 1 else 0 end as c_acctbal from customer")
+def _append(t: Tables) -> DataFrame:
+    newer = t.customer.where("c_custkey % 3 = 0").withColumns({"c_mktsegment": F.lit("NEW"), "c_acctbal": F.col("c_acctbal") + 1})
+    return tables.append_keep_last(t.customer.withColumn("o", F.lit(1)), newer.withColumn("o", F.lit(1)), ["c_custkey"], "o")
+
+
 assert set(SQL) <= set(QUERIES)

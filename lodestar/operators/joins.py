@@ -46,6 +46,14 @@ def point_in_time_by_entity(base: DataFrame, features: DataFrame, entity: str, b
     return held.groupBy(entity).agg(F.max(t).alias(feature_time), *[F.max_by(v, F.when(F.col(v).isNotNull(), t)).alias(v) for v in values])
 
 
+def with_first_target(events: DataFrame, entity: str, target: str, time: str) -> DataFrame:
+    """events whose target is that of their entity's first event that has one (of events at that time the smallest)."""
+    at = F.struct(F.col(time).cast("timestamp").alias("t"), F.col(target).alias("y"))
+    first = events.groupBy(F.col(entity).alias("_entity")).agg(F.min(F.when(F.col(target).isNotNull(), at))["y"].alias("_target"))
+    both = events.join(first, F.col(entity).eqNullSafe(F.col("_entity")), "left")
+    return both.select(*[F.col("_target").alias(target) if c == target else F.col(c) for c in events.columns])
+
+
 def future_rows(df: DataFrame, feature_time: str, columns: Sequence[str]) -> DataFrame:
     """Per time column, rows in which it is later than the feature time."""
     t = F.col(feature_time).cast("timestamp")
