@@ -109,9 +109,15 @@ def _selected(df: DataFrame, columns: Sequence[str], probabilities: Sequence[flo
         return d.select(*[F.lit(None).cast("array<double>").alias(c) for c in columns]).agg(*[F.max(c).alias(c) for c in columns])
     count = d.agg(*[F.struct(F.count(F.when(F.col(n) < low, 1)).alias("below"), F.count(F.when(F.col(n).between(low, high), 1)).alias("inside")).alias(f"c{k}") for k, (n, _, low, high, _) in enumerate(cells)]).first()
     held = all(count[f"c{k}"].below <= math.floor(r) and math.ceil(r) < count[f"c{k}"].below + count[f"c{k}"].inside for k, (*_, r) in enumerate(cells))
-    if not held or sum(count[f"c{k}"].inside for k in range(len(cells))) > INSIDE:
+    # A bracket of one value, however often it stands, is the quantile.
+    open_ = [k for k, (_, _, low, high, _) in enumerate(cells) if low < high]
+    if not held or sum(count[f"c{k}"].inside for k in open_) > INSIDE:
         return None
-    inside = F.array(*[F.when(F.col(n).between(low, high), F.struct(F.lit(k).alias("k"), F.col(n).alias("x"))) for k, (n, _, low, high, _) in enumerate(cells)])
+    one = {(n, j): F.lit(low) if low == high else F.max(F.when(F.col("k") == k, F.col("v"))) for k, (n, j, low, high, _) in enumerate(cells)}
+    row = [(F.array(*[one[n, j] for j in range(len(probabilities))]) if sketch[n]["n"] else F.lit(None).cast("array<double>")).alias(c) for c, n in zip(columns, x, strict=True)]
+    if not open_:
+        return df.sparkSession.range(1).select(*row)
+    inside = F.array(*[F.when(F.col(n).between(low, high), F.struct(F.lit(k).alias("k"), F.col(n).alias("x"))) for k, (n, _, low, high, _) in enumerate(cells) if k in open_])
     values = d.select(F.explode(inside).alias("r")).where("r is not null").groupBy("r.k", "r.x").agg(F.count("*").alias("n"))
     of = lambda made: F.element_at(F.array(*made), F.col("k") + 1)
     below, rank = of([F.lit(count[f"c{k}"].below) for k in range(len(cells))]), of([F.lit(float(r)) for *_, r in cells])
@@ -120,11 +126,7 @@ def _selected(df: DataFrame, columns: Sequence[str], probabilities: Sequence[flo
     each = values.withColumns({"upto": upto, "rank": rank}).groupBy("k", "rank").agg(at(F.floor("rank")).alias("f"), at(F.ceil("rank")).alias("c"))
     part = F.col("rank") - F.floor("rank")
     each = each.select("k", F.when(part == 0, F.col("f")).otherwise(F.col("f") * (1 - part) + F.col("c") * part).alias("v"))
-    one = {(n, j): k for k, (n, j, *_) in enumerate(cells)}
-    return each.agg(*[
-        (F.array(*[F.max(F.when(F.col("k") == one[n, j], F.col("v"))) for j in range(len(probabilities))]) if sketch[n]["n"] else F.lit(None).cast("array<double>")).alias(c)
-        for c, n in zip(columns, x, strict=True)
-    ])
+    return each.agg(*row)
 
 
 def quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float]) -> dict[str, list[float] | None]:
